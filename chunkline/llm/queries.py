@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from chunkline.llm import bpe, line_dedup
+from chunkline.llm import bpe, chat, langid, line_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_chat": chat.op3_chat,
+        "op5_langid": langid.op5_langid,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op8_bpe": bpe.op8_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op4_line_dedup": line_dedup.OP4_SQL}
