@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkline.llm import bpe, chat, langid, line_dedup
+from chunkline.llm import bpe, chat, decontaminate, langid, line_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op3_chat": chat.op3_chat,
         "op5_langid": langid.op5_langid,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_bpe": bpe.op8_bpe,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
