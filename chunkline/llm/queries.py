@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chunkline.llm import bpe, chat, decontaminate, langid, line_dedup, toxicity
+from chunkline.llm import bpe, chat, decontaminate, html_text, langid, line_dedup, spotsigs, toxicity
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op5_langid": langid.op5_langid,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_spotsigs": spotsigs.op7_spotsigs,
         "op8_bpe": bpe.op8_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_html": html_text.op10_html,
     }
 
 
