@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Code points of texts that a task works on at once.
+AT_ONCE = 4_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else the session's checkpoint folder.
 
@@ -42,3 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sha256_text(c: Column) -> Column:
     """Lowercase hex digest of a string's UTF-8 bytes."""
     return F.sha2(c.cast("binary"), 256)
+
+
+def in_parts(rows: pd.DataFrame, sizes: pd.Series) -> Iterator[pd.DataFrame]:
+    """Runs of rows whose sizes come to about AT_ONCE."""
+    part = (sizes.cumsum() // AT_ONCE).to_numpy()
+    for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
+        if len(at):
+            yield rows.iloc[at]

@@ -17,6 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkline.llm.common import in_parts
 from chunkline.llm.wordhash import chained, mix, word_hash, words_hashed
 
 #: Common words of English, French, German and Spanish.
@@ -29,8 +30,6 @@ ANCHORS = (
 CHAIN = 2
 #: Words between which an anchor looks for its chain, and without a common word for which any word is an anchor.
 REACH = 8
-#: Code points of texts that are worked on at once.
-AT_ONCE = 6_000_000
 
 
 def anchors() -> np.ndarray:
@@ -100,14 +99,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def in_parts(b: pd.DataFrame, sizes: pd.Series) -> Iterator[pd.DataFrame]:
-    """Runs of rows with about AT_ONCE code points."""
-    part = (sizes.cumsum() // AT_ONCE).to_numpy()
-    for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(part)) + 1):
-        if len(at):
-            yield b.iloc[at]
-
-
 def with_next(docs: DataFrame, *, rows_per_bucket: int = 1000) -> DataFrame:
     """(doc_id, text, tail, to) dealt by ranges of doc_id and sorted, for work on neighbours in id order.
 
