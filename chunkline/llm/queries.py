@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from chunkline.llm import bpe, chat, decontaminate, html_text, langid, line_dedup, minhash, spotsigs, toxicity
+from chunkline.llm import bpe, chat, decontaminate, html_text, langid, line_dedup, minhash, spotsigs, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_minhash": minhash.op1_minhash,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_chat": chat.op3_chat,
         "op5_langid": langid.op5_langid,
         "op4_line_dedup": line_dedup.op4_line_dedup,
