@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkline.llm.common import staged
+from chunkline.llm.common import in_parts, staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -180,6 +181,28 @@ def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_co
     return LanguageModel(vocab_path, langs, np.vstack([prob.T, np.zeros((1, len(langs)))]))
 
 
+class Scorer:
+    """Predicts in a task, one batch of texts at a time."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.pieces = model, loaded(model.vocab_path)
+
+    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        m, words = self.model, [words_of(t) for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        has = np.flatnonzero(sizes) if m.langs else []
+        if len(has):
+            codes, known = pd.factorize(np.array([w for ws in words for w in ws], object))
+            each = word_scores(list(known), self.pieces, m.prob)[codes]
+            total = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes[has])[:-1]]))
+            odds = np.exp(total - total.max(1, keepdims=True))
+            best = total.argmax(1)
+            pred[has] = np.array(m.langs, object)[best]
+            score[has] = 1 / odds.sum(1)
+        return pred, score
+
+
 def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) for each row, over whole texts.
 
@@ -189,28 +212,32 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        pieces = loaded(m.vocab_path)
-        for b in batches:
-            words = [words_of(t) for t in b["text"]]
-            sizes = np.array([len(w) for w in words])
-            pred, score = np.full(len(b), "und", object), np.zeros(len(b))
-            has = np.flatnonzero(sizes) if m.langs else []
-            if len(has):
-                codes, known = pd.factorize(np.array([w for ws in words for w in ws], object))
-                each = word_scores(list(known), pieces, m.prob)[codes]
-                total = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes[has])[:-1]]))
-                odds = np.exp(total - total.max(1, keepdims=True))
-                best = total.argmax(1)
-                pred[has] = np.array(m.langs, object)[best]
-                score[has] = 1 / odds.sum(1)
-            yield pd.DataFrame({"id": b["id"], "lang_pred": pred, "score": score})
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for b in in_parts(batch, batch["text"].str.len().fillna(0)):
+                pred, score = scorer.predict(list(b["text"]))
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "lang_pred": pred, "score": score})
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
+def identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a language with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                b = batch.slice(a, 1000)
+                pred, score = scorer.predict(b.column(text_col).to_pylist())
+                yield b.filter(pa.array((pred != "und") & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def default_vocab() -> str:
     import public_tokenizers
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from chunkline.llm import bpe, chat, decontaminate, html_text, langid, line_dedup, minhash, spotsigs, suffix_dedup, toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_html": html_text.op10_html,
+        "pipeline": corpus_pipeline.run,
     }
 
 
