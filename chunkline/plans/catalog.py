@@ -8,23 +8,13 @@ from chunkline.functions import text as T
 from chunkline.functions.ranking import dense_index
 from chunkline.operators import chunks as C
 from chunkline.operators import splits as S
-from chunkline.plans.fixtures import duck, view
+from chunkline.plans.fixtures import view
+from chunkline.plans.registry import Family
 from chunkline.sources import catalog as K
 from chunkline.sources.storage import staged
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = duck(sql)
-        return f
-
-    return add
-
+family = Family()
+query = family.query
 
 CLASS = "coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9_\\s-]', '', 'g'), '\\s+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'unknown')"
 STEM = "regexp_replace(regexp_replace({0}, '^.*/', ''), '\\.[^.]*$', '')"
@@ -58,7 +48,6 @@ def a3(spark, sf):
     return staged(view(spark, sf, "fx_manifest_prev"), "manifest")
 
 
-ALLOC = """n > 1 AS many, round_even(n * 0.1, 0)::BIGINT AS te0, round_even(n * 0.1, 0)::BIGINT AS va0"""
 SPLIT_SQL = """
 g AS (SELECT [G] AS group_key, class_name AS bucket, doc_id, size_bytes FROM fx_sources),
 a AS (SELECT bucket, n, CASE WHEN n <= 1 THEN 0 ELSE greatest(round_even(n * 0.1, 0), 1) END AS te FROM (SELECT bucket, count(*) AS n FROM g GROUP BY bucket)),
