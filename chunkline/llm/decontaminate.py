@@ -81,6 +81,7 @@ def find_leaks(
     # the windows of a pair, then the values that each slot value of the item meets in the document
     found = met.groupBy("doc", "item").agg(F.collect_set(F.struct("h", "islots", "dslots")).alias("w"))
     found = found.withColumn("n", F.size(F.array_distinct(F.col("w.h")))).join(total, "item").where(F.col("n") >= similarity * F.col("n_windows"))
+    found = staged(found.select("doc", "item", "n_windows", "w"), "found-items")
     pair = F.explode(F.transform("w", lambda w: F.struct(w["h"].alias("h"), F.arrays_zip(w["islots"].alias("a"), w["dslots"].alias("b")).alias("s"))))
     rows = found.select("doc", "item", "n_windows", pair.alias("w"))
     values = rows.select("doc", "item", F.explode("w.s").alias("s")).groupBy("doc", "item", "s").agg(F.count("*").alias("n"))
