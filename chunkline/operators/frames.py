@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 def as_array(rows: DataFrame, key: str | list[str], order: str, value: str) -> DataFrame:
     """(key, a): the values of each series in order. A series is one chunk: a bounded number of frames."""
     keys = [key] if isinstance(key, str) else key
-    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("a"))
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]).alias("a"))
 
 
 def zero_filled(rows: DataFrame, key: str, frames: int, *values: str) -> DataFrame:
@@ -62,7 +62,7 @@ def peak_mask(rows: DataFrame, key: str, order: str, value: str, half: int, leas
 def peak_times(rows: DataFrame, key: str, order: str, value: str, fps: float) -> DataFrame:
     """(key, times): peaks in seconds; a peak at most a frame after the running mean of a group joins it."""
     half = max(1, round(3 * fps / 50))
-    at = as_array(peak_mask(rows, key, order, value, half).where("peak").withColumn("f", F.col(order).cast("double")), key, order, "f")
+    at = as_array(peak_mask(rows, key, order, value, half).where("peak").withColumn("at", F.col(order).cast("double")), key, order, "at")
     start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(None).cast("double").alias("mean"), F.lit(0).alias("n"))
 
     def step(s: Column, x: Column) -> Column:
