@@ -114,23 +114,14 @@ def dedup_lines(
         .groupBy("rid", "sig")
         .agg(F.collect_set("pos").alias("drop"))
     )
-    lines = F.col("_lines")
-    joined = docs.withColumn("_rid", rid).withColumn("_sig", sig).join(
-        drops, (F.col("_rid") == F.col("rid")) & (F.col("_sig") == F.col("sig")), "left"
-    )
+    # the rows as structs: their columns may have any names
+    rows = docs.select(F.struct(*docs.columns).alias("row"), rid.alias("rid"), sig.alias("sig"))
+    joined = rows.join(drops, ["rid", "sig"], "left").withColumn("lines", lines_of(F.col("row")[text_col]))
+    lines, gone = F.col("lines"), F.col("drop").isNotNull()
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
-    return (
-        joined.withColumn("_lines", lines_of(F.col(text_col)))
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"))
-        .withColumn(
-            "kept_text",
-            F.when(F.col("drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
-                F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
-            ),
-        )
-        .drop("_rid", "_sig", "rid", "sig", "drop", "_lines")
-    )
+    kept = F.when(gone, F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")).otherwise(F.coalesce(F.col("row")[text_col], F.lit("")))
+    added = {"kept_text": kept, "n_lines": F.size(lines).cast("long"), "n_dropped": F.when(gone, F.size("drop")).otherwise(0).cast("long")}
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
