@@ -121,7 +121,8 @@ def dedup_lines(
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
     kept = F.when(gone, F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")).otherwise(F.coalesce(F.col("row")[text_col], F.lit("")))
     added = {"kept_text": kept, "n_lines": F.size(lines).cast("long"), "n_dropped": F.when(gone, F.size("drop")).otherwise(0).cast("long")}
-    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *[c.alias(n) for n, c in added.items()])
+    done = joined.select("row", *[c.alias(n) for n, c in added.items()])
+    return done.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,10 @@ def with_next(docs: DataFrame, *, rows_per_bucket: int = 1000) -> DataFrame:
     n = max(1, docs.count() // rows_per_bucket)
     cuts = docs.select(F.percentile_approx("key", F.lit([i / n for i in range(1, n)]), 10 * n)).first()[0] if n > 1 else []
     splits = [float("-inf"), *sorted({float(c) + 0.5 for c in cuts or []}), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(docs.withColumn("at", F.col("key").cast("double")))
+    if len(splits) > 2:
+        dealt = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(docs.withColumn("at", F.col("key").cast("double")))
+    else:
+        dealt = docs.withColumn("bucket", F.lit(0))
     dealt = dealt.select("doc_id", "text", "key", "h", F.col("bucket").cast("int").alias("bucket"))
     # one row for each range comes to the driver: ids and hashes only
     heads = dealt.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("m")).orderBy("bucket").collect()
