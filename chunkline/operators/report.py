@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _finite(c: Column) -> Column:
@@ -88,6 +89,14 @@ def in_windows(frames: DataFrame, spans: DataFrame) -> DataFrame:
     return frames.join(F.broadcast(spans), (F.col("frame") >= F.col("lo")) & (F.col("frame") < F.col("hi"))).drop("lo", "hi")
 
 
+def examples(rows: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
+    """(keys, n, first): the count beside at most ``k`` examples, the smallest values. A window keeps k rows a key before any are gathered."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    top = rows.select(*keys, value).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    first = top.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("first"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).join(first, keys)
+
+
 def weighted_mean(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     return rows.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chunkline.functions import series as A
+from chunkline.operators import metrics
 from chunkline.operators import report as R
 from chunkline.operators import stats as S
 from chunkline.plans.fixtures import view
+from chunkline.plans.notes import PAIR, pairs
 from chunkline.plans.registry import Family
+from chunkline.sources.catalog import manifest_diff
 from chunkline.sources.storage import staged
 
 family = Family()
@@ -132,8 +135,6 @@ def b22(spark, sf):
 )
 def e25(spark, sf):
     from chunkline.operators.scores import cosine_fidelity
-    from chunkline.plans.notes import pairs
-
     frames = R.in_windows(pairs(spark, sf), R.window_spans(spark, [[(0, 0.5)], [(0.6, 1)]], 5))
     return rounded(cosine_fidelity(frames, ["window", "pair"], "real", "gen"), "score")
 
@@ -161,3 +162,19 @@ def a8(spark, sf):
     influence = rounded(R.pair_arms(view(spark, sf, "fx_scores"), ["metric_key"]), "cond", "null", "delta")
     latents = view(spark, sf, "embeddings").groupBy("label").agg(F.round(F.avg(F.get("embedding", F.lit(0)).cast("double")), 6).alias("mean"))
     return R.long_report(("influence", influence), ("latents", latents))
+
+
+@query("g8_first_k_examples", "SELECT change, count(*) AS n, list_sort(list(rel_path))[1:5] AS first FROM (SELECT coalesce(p.rel_path, s.rel_path) AS rel_path, CASE WHEN p.rel_path IS NULL THEN 'added' WHEN s.rel_path IS NULL THEN 'removed' WHEN p.size_bytes <> s.size_bytes OR p.mtime_ns <> s.mtime_ns THEN 'changed' ELSE 'same' END AS change FROM fx_manifest_prev p FULL JOIN fx_sources s ON p.rel_path = s.rel_path) GROUP BY change")
+def g8(spark, sf):
+    return R.examples(manifest_diff(view(spark, sf, "fx_manifest_prev"), view(spark, sf, "fx_sources")), ["change"], "rel_path", 5)
+
+
+@query(
+    "k5_metric_registry",
+    f"""WITH {PAIR} SELECT 'chroma' AS cond, 'score' AS metric, pair AS sample_id, round(avg(list_cosine_similarity(t::DOUBLE[], g::DOUBLE[])), 6) AS value FROM p GROUP BY pair
+    UNION ALL SELECT 'energy', 'score', clip_id, round(CASE WHEN stddev_pop(target) > 0 AND stddev_pop(generated) > 0 THEN corr(target, generated) ELSE 'NaN'::DOUBLE END, 6) FROM fx_curves GROUP BY clip_id""",
+)
+def k5(spark, sf):
+    frames = {"chroma": pairs(spark, sf).select(F.col("pair").alias("sample"), F.col("real").alias("target"), F.col("gen").alias("generated"))}
+    frames["energy"] = view(spark, sf, "fx_curves").select(F.col("clip_id").alias("sample"), "target", "generated")
+    return rounded(metrics.evaluate(frames, "sample", "target", "generated"), "value")
