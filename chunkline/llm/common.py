@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Code points of texts that a task works on at once.
 AT_ONCE = 4_000_000
+#: Bits of a broadcast filter (16 MB, at every size of input).
+BITS = 1 << 27
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +45,21 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more, and lets Spark drop the shuffle files of finished jobs.
+
+    Those go when the driver's garbage is collected, which else may come after the disk is full.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        # a staged table is one folder
+        folder = jvm.org.apache.hadoop.fs.Path(t.inputFiles()[0]).getParent() if t.inputFiles() else None
+        if folder is not None:
+            folder.getFileSystem(conf).delete(folder, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,3 +75,16 @@ def in_parts(rows: pd.DataFrame, sizes: pd.Series) -> Iterator[pd.DataFrame]:
     for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
         if len(at):
             yield rows.iloc[at]
+
+
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """BITS bits (a fixed size), those of the keys set. They only spare rows a shuffle; the join that follows decides."""
+    words = keys.selectExpr(f"cast((key & {BITS - 1}) >> 6 AS int) AS w", "shiftleft(1L, cast(key & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(BITS - 1)
+    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
