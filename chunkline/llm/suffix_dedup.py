@@ -10,7 +10,8 @@ strings share at the same place: one row stands for all strings with that minimi
 2. digit: whole contexts; copies of a context are settled at once, by the least document that holds it.
    Of contexts that differ, two can only share a string if they share 17 bytes left or right of the first
    digit; the others drop out.
-3. digit: the remaining contexts' strings of ``length`` bytes, one by one.
+3. digit: runs of 46 bytes, each common to five neighbouring strings of a remaining context.
+4. digit: the strings of ``length`` bytes of the runs that are left, one by one.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkline.llm.common import staged
+from chunkline.llm.common import bits_of, has_bit, release, staged
 from chunkline.llm.wordhash import LETTER, mix, powers
 
-DIGIT = 16
+DIGIT, STEP = 16, 5
 #: Bytes that are worked on at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 NO_ID = -(2**63)
 
 
@@ -79,46 +80,64 @@ def as_bytes(texts: pd.Series) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
+def _met_again(rows: DataFrame) -> DataFrame:
+    """The rows (ctx, h, ...) whose h occurs in several contexts."""
+    twice = rows.groupBy("h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("z")).where("a <> z").select("h")
+    return rows.join(twice, "h").drop("h")
+
+
 def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """(id, spans: array of [start, end) in bytes) of the bytes covered by a string of ``length`` bytes that also starts in a smaller id."""
 
+    spark = docs.sparkSession
+    wanted_bits = None
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, data = b["id"].to_numpy(), as_bytes(b["text"])
-            for doc, key, ctx, lo, n, off in contexts(data, length):
+            for found in contexts(data, length):
+                if wanted_bits is not None:
+                    on = has_bit(wanted_bits.value, found[1])
+                    found = tuple(x[on] for x in found)
+                doc, key, ctx, lo, n, off = found
                 yield pd.DataFrame({"id": ids[doc], "key": key.view(np.int64), "ctx": ctx.view(np.int64), "lo": lo.astype(np.int32), "n": n.astype(np.int16), "off": off.astype(np.int16)})
 
-    rows = docs.mapInPandas(find, "id long, key long, ctx long, lo int, n short, off short")
+    shape = "id long, key long, ctx long, lo int, n short, off short"
     # 1. digit
-    met = staged(rows.select("key", "id").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key"), "digits")
-    rows = staged(rows.join(met, "key"), "shared-digits")
+    met = staged(docs.mapInPandas(find, shape).select("key", "id").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key"), "digits")
+    wanted_bits = spark.sparkContext.broadcast(bits_of(met))
+    rows = staged(docs.mapInPandas(find, shape).join(met, "key"), "shared-digits")
+    release(spark, met)
     # 2. digit
-    held = staged(rows.groupBy("key", "ctx").agg(F.min(F.struct("id", "lo", "n", "off")).alias("r")).select("key", "ctx", "r.*"), "contexts")
+    held = staged(rows.groupBy("ctx").agg(F.min(F.struct("id", "lo", "n", "off", "key")).alias("r")).select("ctx", "r.*"), "contexts")
     several = held.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     wanted = held.join(several, "key").groupBy("id").agg(F.collect_list(F.struct("key", "ctx", "lo", "n", "off")).alias("c"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i, data, c in zip(b["id"], as_bytes(b["text"]), b["c"], strict=True):
-                yield pd.DataFrame({"id": i, "key": [x["key"] for x in c], "ctx": [x["ctx"] for x in c], "n": [x["n"] for x in c], "off": [x["off"] for x in c], "data": [data[x["lo"] : x["lo"] + x["n"] - 1 + length] for x in c]})
-
-    bytes_ = docs.join(wanted, "id").select("id", "text", "c").mapInPandas(cut, "id long, key long, ctx long, n int, off int, data binary")
-    bytes_ = staged(bytes_, "context-bytes")
+    whole = docs.join(wanted, "id").select("id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), "c")
+    cut = F.transform("c", lambda x: F.struct(x["key"].alias("key"), x["ctx"].alias("ctx"), x["n"].cast("int").alias("n"), x["off"].cast("int").alias("off"), F.substring(F.col("data"), x["lo"] + 1, x["n"] + (length - 1)).alias("data")))
+    bytes_ = staged(whole.select("id", F.inline(cut)), "context-bytes")
     side = (length - DIGIT) // 2
     reach = F.length("data") - F.col("off") - DIGIT
-    left = F.when(F.col("off") >= side, F.xxhash64("key", F.lit("l"), F.expr(f"substring(data, off - {side} + 1, {side})")))
-    right = F.when(reach >= side, F.xxhash64("key", F.lit("r"), F.expr(f"substring(data, off + {DIGIT} + 1, {side})")))
-    sides = bytes_.select("key", "ctx", F.explode(F.array_compact(F.array(left, right))).alias("side"))
-    twice = sides.groupBy("side").agg(F.min("ctx").alias("a"), F.max("ctx").alias("z")).where("a <> z").select("side")
-    open_ = sides.join(twice, "side").select("key", "ctx").distinct()
-    # 3. digit
-    strings = bytes_.join(open_, ["key", "ctx"]).select("key", "ctx", "id", "data", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    strings = staged(strings.select("key", "ctx", "id", "j", F.xxhash64("key", F.expr(f"substring(data, j + 1, {length})")).alias("h")), "strings")
+    left = F.when(F.col("off") >= side, F.xxhash64("key", F.lit("l"), F.substring("data", F.col("off") - (side - 1), F.lit(side))))
+    right = F.when(reach >= side, F.xxhash64("key", F.lit("r"), F.substring("data", F.col("off") + (DIGIT + 1), F.lit(side))))
+    open_ = _met_again(bytes_.select("ctx", F.explode(F.array_compact(F.array(left, right))).alias("h"))).select("ctx").distinct()
+    near = staged(bytes_.join(open_, "ctx"), "open-contexts")
+    release(spark, bytes_)
+    # 3. digit: strings whose offsets lie in one run of STEP share all but STEP - 1 of their bytes
+    first, last = F.greatest(F.ceil((F.col("off") - F.col("n") + 2 - STEP) / STEP), F.lit(0)).cast("int"), F.floor(F.col("off") / STEP).cast("int")
+    cores = near.select("ctx", "data", "off", F.explode(F.sequence(first, last)).alias("k"))
+    cores = cores.select("ctx", "k", F.xxhash64("k", F.substring("data", F.col("off") - F.col("k") * STEP + 1, F.lit(length - STEP + 1))).alias("h"))
+    runs = near.join(_met_again(cores).groupBy("ctx").agg(F.collect_set("k").alias("ks")), "ctx")
+    # 4. digit: the strings
+    j = F.explode(F.flatten(F.transform("ks", lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda i: F.col("off") - k * STEP - i), lambda x: (x >= 0) & (x < F.col("n"))))))
+    strings = runs.select("ctx", "id", "data", j.alias("j"))
+    strings = staged(strings.select("ctx", "id", "j", F.xxhash64(F.substring("data", F.col("j") + 1, F.lit(length))).alias("h")), "strings")
     equal = strings.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h", "a")
-    later = strings.join(equal, "h").where("a < id").groupBy("key", "ctx").agg(F.collect_list("j").alias("js"))
+    later = strings.join(equal, "h").where("a < id").groupBy("ctx").agg(F.collect_list("j").alias("js"))
 
-    verdict = held.join(later, ["key", "ctx"], "left").select("key", "ctx", F.col("id").alias("least"), "js")
-    found = rows.join(staged(verdict, "verdicts"), ["key", "ctx"])
+    verdict = held.join(later, "ctx", "left").select("ctx", F.col("id").alias("least"), "js")
+    verdict = staged(verdict, "verdicts")
+    release(spark, held, near, strings)
+    found = rows.join(verdict, "ctx")
     whole = F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e")))
     some = F.transform(F.coalesce("js", F.array().cast("array<int>")), lambda j: F.struct((F.col("lo") + j).alias("s"), (F.col("lo") + j + length).alias("e")))
     spans = found.select("id", F.inline(F.when(F.col("id") > F.col("least"), whole).otherwise(some)))
