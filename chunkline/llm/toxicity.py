@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkline.llm.common import staged
+from chunkline.llm.common import in_parts, staged
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Plain insults, one voter.
@@ -169,8 +169,9 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": shared.value.score(list(b["text"]))})
+        for batch in batches:
+            for b in in_parts(batch, batch["text"].str.len().fillna(0)):
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "score": shared.value.score(list(b["text"]))})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
