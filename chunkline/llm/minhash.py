@@ -6,9 +6,12 @@ time, a component of the signature and a level of weight, and counts where the l
 shingle's weight. A component keeps its earliest point: two texts agree in a component with the probability
 of their weighted Jaccard likeness. Times beyond what a text of that weight needs are never drawn.
 
-Texts with equal multisets are one node. Nodes that share a band are candidates: each is verified against
-the leaders of its bucket. Where a bucket then still has several components, its nodes are verified against
-fresh leaders from other components, in rounds, until a round finds no new link.
+Texts with equal multisets are one node. Nodes that share a band are candidates. A bucket is closed in one
+round: every node outside its largest component is verified against every node of another component, after
+which no pair of two components is untested. Buckets with more such nodes than CLOSE first join what a few
+drawn leaders find, in rounds, while rounds find links; the draw decides the order of the work, not the
+result. Pairs are cut before verification only where they cannot be alike: by their lengths, and by parity
+bitmaps of their shingles, in which two texts differ in at most as many bits as in shingles.
 """
 
 from __future__ import annotations
@@ -18,15 +21,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkline.llm.common import bits_of, has_bit, in_parts, staged
 from chunkline.llm.wordhash import chained, mix, words_hashed
 
 SHINGLE, SIZE, ROWS = 5, 64, 4
-#: Leaders of a bucket in a round.
+#: Leaders of a bucket in a round before it is closed.
 LEADERS = 4
+#: Nodes outside the largest component up to which a bucket is closed at once, and leaders in a part of a closing bucket.
+CLOSE, DEAL = 16, 128
+#: Words of a parity bitmap.
+WORDS = 8
 
 
 def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +102,21 @@ def bag_minhash(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_docs:
     return sig
 
 
+def each_counted(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 32-bit hash for each shingle and its how-manieth occurrence."""
+    kth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return (mix(np.repeat(hashes, counts) + kth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def parity(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n_docs, WORDS) bitmaps of int64: a bit is set where an odd number of a text's elements falls on it."""
+    wide = WORDS * 64
+    on = np.bincount(np.repeat(doc, counts) * wide + each_counted(hashes, counts) % wide, minlength=n_docs * wide) & 1
+    return np.packbits(on.astype(np.uint8).reshape(n_docs, wide), axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame, size: int = SIZE, rows: int = ROWS) -> DataFrame:
-    """(id, n, k1, k2, bands) for (id, text): shingles, a hash of their multiset, a hash for each band."""
+    """(id, n, k1, k2, bands, bits) for (id, text): shingles, a hash of their multiset, a hash for each band, a parity bitmap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,11 +126,12 @@ def signatures(docs: DataFrame, size: int = SIZE, rows: int = ROWS) -> DataFrame
                 k1, k2 = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64)
                 np.add.at(k1, doc, mix(h))
                 np.add.at(k2, doc, mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                sig = bag_minhash(*counted(h, doc), len(b), size)
+                bag = counted(h, doc)
+                sig = bag_minhash(*bag, len(b), size)
                 bands = np.stack([chained([sig[:, i + r] for r in range(rows)]) for i in range(0, size - rows + 1, rows)], 1).view(np.int64)
-                yield pd.DataFrame({"id": b["id"].to_numpy(), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "bands": list(bands)})
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "bands": list(bands), "bits": list(parity(*bag, len(b)))})
 
-    return docs.mapInPandas(run, "id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.mapInPandas(run, "id long, n long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
 def elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -125,8 +146,7 @@ def elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             picked = batch.filter(pa.array(has_bit(bits.value, batch.column("id").to_numpy().view(np.uint64)))).to_pandas()
             for b in in_parts(picked, picked["text"].str.len().fillna(0)):
                 d, h, c = counted(*shingles(list(b["text"])))
-                kth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                els = (mix(np.repeat(h, c) + kth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                els = each_counted(h, c).view(np.int32)
                 ends = np.cumsum(np.bincount(np.repeat(d, c), minlength=len(b)))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(els, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(b["id"].to_numpy(np.int64)), lists], ["id", "els"])
@@ -171,28 +191,49 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("els_a").alias("na"), F.size("els_b").alias("nb"), F.size(F.array_intersect("els_a", "els_b")).alias("both"))
         return met.where(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
-    labels = staged(in_band.select("node", F.col("node").alias("comp")).distinct(), "labels")
-    tested, turn = None, 0
+    def may_be_close(a: str, b: str) -> Column:
+        """False only of pairs that verified() would turn down."""
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        apart = sum((F.bit_count(F.get(f"{a}bits", F.lit(i)).bitwiseXOR(F.get(f"{b}bits", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+        return (F.least(n, m) >= similarity * F.greatest(n, m)) & (apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
+
+    labels = staged(in_band.select("node").distinct().join(first.select(F.col("id").alias("node"), "bits"), "node").withColumn("comp", F.col("node")), "labels")
+    tested, linked, turn = None, True, 0
     while True:
         rows = in_band.join(labels, "node")
-        order = [F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "node").alias("x"), F.struct("node", "n", "comp").alias("l"))).alias(f"l{k}") for k in range(LEADERS)]
-        lead = rows.groupBy("band", "h").agg(*order, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        lead = staged(lead.select("band", "h", F.explode(F.array_distinct(F.array(*[F.col(f"l{k}.l") for k in range(LEADERS)]))).alias("l")), "leaders")
-        close = (F.least("n", "l.n") >= similarity * F.greatest("n", "l.n")) & (F.col("comp") != F.col("l.comp"))
-        pairs = rows.join(lead, ["band", "h"]).where(close).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+        sizes = rows.groupBy("band", "h", "comp").agg(F.count("*").alias("c")).groupBy("band", "h").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("big"))
+        closing = (F.col("m") - F.col("big.c") <= CLOSE) | F.lit(not linked)
+        open_ = staged(sizes.where(F.col("m") > F.col("big.c")).select("band", "h", F.col("big.comp").alias("big"), closing.alias("closing"), F.ceil((F.col("m") - F.col("big.c")) / DEAL).alias("parts")), "open")
+        kinds = {r["closing"] for r in open_.select("closing").distinct().collect()}
+        if not kinds:
+            break
+        rows = staged(rows.join(open_, ["band", "h"]), "open-rows")
+        # a closing bucket: all nodes outside its largest component, dealt out; any other: drawn ones
+        leader = F.struct("node", "n", "comp", "bits").alias("l")
+        every = rows.where("closing and comp <> big").select("band", "h", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), leader)
+        order = [F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "band", "h", "node").alias("x"), leader)).alias(f"l{k}") for k in range(LEADERS)]
+        drawn = rows.where("not closing").groupBy("band", "h").agg(*order)
+        drawn = drawn.select("band", "h", F.lit(0).cast("long").alias("part"), F.explode(F.array_distinct(F.array(*[F.col(f"l{k}.l") for k in range(LEADERS)]))).alias("l"))
+        dealt = rows.withColumn("part", F.explode(F.when(F.col("closing"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+        close = (F.col("comp") != F.col("l.comp")) & may_be_close("", "l.")
+        pairs = dealt.join(every.unionByName(drawn), ["band", "h", "part"]).where(close).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
-        found = verified(pairs)
         of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-        met = staged(found.join(of("a"), "a").join(of("b"), "b").select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct(), "met")
+        met = staged(verified(pairs).join(of("a"), "a").join(of("b"), "b").select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct(), "met")
         turn += 1
-        if not met.limit(1).count():
+        linked = met.limit(1).count() > 0
+        if linked:
+            # components of components: only what this round has joined
+            joined = components(met).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            labels = staged(labels.join(joined, "comp", "left").select("node", "bits", F.coalesce("top", "comp").alias("comp")), "labels")
+        if False not in kinds:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        # components of components: only what this round has joined
-        joined = components(met).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        labels = staged(labels.join(joined, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
+        # closed buckets have no pair left
+        in_band = rows.where("not closing").select("node", "n", "band", "h")
+    labels = labels.select("node", "comp")
     out = sigs.join(nodes, ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "id")).otherwise(F.col("id")))
     out = out.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node"))
     value = lambda c: F.when(F.col(c) != no_id, F.col(c))

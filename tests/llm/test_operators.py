@@ -71,6 +71,28 @@ def test_hubs_and_chains_are_one_class(spark):
     assert {got[i] for i, _ in hub} == {0} and {got[i] for i, _ in chain} == {1000}
 
 
+def test_links_in_crowded_buckets(spark):
+    """Texts that share most bands but are not alike, and pairs among them that are, mostly in those buckets alone."""
+    stem = [f"s{i}" for i in range(240)]
+    texts = [" ".join(stem + [f"t{i}x{j}" for j in range(40)]) for i in range(300)]
+    texts += [" ".join(stem + [f"t{i}x{j}" if j < 12 else f"u{i}x{j}" for j in range(40)]) for i in range(25)]
+    want = dict(enumerate(classes_by_force(texts)))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(want.values())) == 300 and got == want
+
+
+def test_parity_never_parts_alike_texts():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcd"), rng.integers(1, 900))) for _ in range(60)]
+    bag = minhash.counted(*minhash.shingles(texts))
+    bits, els = minhash.parity(*bag, len(texts)), [collections.Counter() for _ in texts]
+    for d, h, c in zip(*bag, strict=True):
+        els[d][int(h)] += int(c)
+    for i, a in enumerate(els):
+        for j, b in enumerate(els[:i]):
+            assert sum(int(x).bit_count() for x in (bits[i] ^ bits[j]).view(np.uint64)) <= sum(((a - b) + (b - a)).values())
+
+
 def test_bag_minhash_is_unbiased():
     a, b = ["x"] * 50 + ["y"] * 30 + ["q"] * 3, ["x"] * 20 + ["y"] * 60 + ["k"]
     h = np.concatenate([minhash.words_hashed(w)[0] for w in (a, b)])
