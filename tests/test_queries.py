@@ -35,3 +35,11 @@ def test_partition_count_changes_nothing(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] == found[2]
+
+
+def test_conditions_of_whole_clips(spark):
+    """Frames after the tenth, and extremes that come later than the 40th sample."""
+    sf = "/root/testdata/sf0.1"
+    for name in ("k1_frame_condition_whole", "k2_global_condition_whole", "k4_add_condition_whole"):
+        compare(spark, sf, QUERIES[name], SQL[name])
+    assert QUERIES["k1_frame_condition_whole"](spark, sf).where("frame >= 10").count() > 0
