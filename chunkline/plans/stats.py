@@ -57,6 +57,10 @@ def firsts(spark, sf, n=8):
     return view(spark, sf, "fx_clips").select("side", F.slice("embedding", 1, n).alias("v"))
 
 
+def wholes(spark, sf):
+    return view(spark, sf, "fx_clips").select("side", F.col("embedding").alias("v"))
+
+
 @query("e10_moments", "SELECT a.side, (a.d)::INT AS i, (b.d)::INT AS j, round(covar_samp(a.v::DOUBLE, b.v::DOUBLE), 6) AS cov FROM fx_latent_dims a JOIN fx_latent_dims b ON a.clip_id = b.clip_id AND a.frame = b.frame WHERE a.d < 8 AND b.d < 8 GROUP BY ALL")
 def e10(spark, sf):
     return rounded(S.covariances(S.moments(firsts(spark, sf), "side", "v"), "side"), "cov")
@@ -68,6 +72,18 @@ def k6(spark, sf):
     return m.select("side", "n", F.round(F.aggregate("sx", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+# The same over whole embeddings; the two above are held to eight channels by their SQL.
+@query("e10_moments_whole")
+def e10_whole(spark, sf):
+    return rounded(S.covariances(S.moments(wholes(spark, sf), "side", "v"), "side"), "cov")
+
+
+@query("k6_moments_agg_whole", "SELECT side, count(*) // 64 AS n, round(sum(v::DOUBLE), 6) AS total FROM fx_latent_dims GROUP BY side")
+def k6_whole(spark, sf):
+    m = S.moments(wholes(spark, sf), "side", "v")
+    return m.select("side", "n", F.round(F.aggregate("sx", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query("e11_frechet_kl")
 def e11(spark, sf):
     c = view(spark, sf, "fx_clips").withColumnRenamed("embedding", "v")
@@ -141,7 +157,7 @@ def e25(spark, sf):
 
 @query("e25_windowed_distances")
 def e25_distances(spark, sf):
-    c = view(spark, sf, "fx_clips").select("side", "frame", F.slice("embedding", 1, 8).alias("v"))
+    c = view(spark, sf, "fx_clips").select("side", "frame", F.col("embedding").alias("v"))
     c = R.in_windows(c, R.window_spans(spark, [[(0, 0.5)], [(0.6, 1)]], 5)).withColumn("k", F.concat_ws("|", "window", "side"))
     m = S.moments(c, "k", "v").withColumn("window", F.substring_index("k", "|", 1)).withColumn("side", F.substring_index("k", "|", -1))
     return rounded(S.distribution_distances(m, "side", "window"), "fd", "kl_real_gen", "kl_gen_real")

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB, and the invariants of those without."""
 
+import numpy as np
 import pytest
 from compare import compare
 
@@ -43,3 +44,31 @@ def test_conditions_of_whole_clips(spark):
     for name in ("k1_frame_condition_whole", "k2_global_condition_whole", "k4_add_condition_whole"):
         compare(spark, sf, QUERIES[name], SQL[name])
     assert QUERIES["k1_frame_condition_whole"](spark, sf).where("frame >= 10").count() > 0
+
+
+@pytest.mark.parametrize("name", ["e10_moments_whole", "j3_running_moments_whole"])
+def test_moments_of_whole_embeddings(spark, name):
+    got = {(r["side"], r["i"], r["j"]): r["cov"] for r in QUERIES[name](spark, SF).collect()}
+    assert len(got) == 2 * 64 * 64
+    for side, v in embeddings_by_side(spark).items():
+        cov = np.cov(np.array([x for _, x in v]), rowvar=False)
+        assert np.allclose([[got[side, i, j] for j in range(64)] for i in range(64)], cov, atol=2e-6)
+
+
+def embeddings_by_side(spark):
+    out = {"real": [], "gen": []}
+    for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect():
+        out["real" if r["vec_id"] // 5 % 2 == 0 else "gen"].append((r["vec_id"] % 5, r["embedding"]))
+    return out
+
+
+def test_windowed_distances_of_whole_embeddings(spark):
+    got = {r["window"]: r["fd"] for r in QUERIES["e25_windowed_distances"](spark, SF).collect()}
+    sides = embeddings_by_side(spark)
+    assert len(got) == 2
+    for window, fd in got.items():
+        frames = (0, 1) if window.startswith("0_") else (3, 4)
+        a, b = (np.array([x for f, x in sides[k] if f in frames], float) for k in ("real", "gen"))
+        ca, cb = np.cov(a, rowvar=False), np.cov(b, rowvar=False)
+        roots = np.sqrt(np.maximum(np.linalg.eigvals(ca @ cb).real, 0)).sum()
+        assert fd == pytest.approx(((a.mean(0) - b.mean(0)) ** 2).sum() + np.trace(ca + cb) - 2 * roots, rel=1e-3)
