@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,36 +109,46 @@ def blocks_of(page: str | None) -> tuple[bool, list[str]]:
     return has_main, [t for i, t in found if i or not has_main]
 
 
-def common_places(a: list[int], b: list[int]) -> list[int]:
-    """Places of ``a`` in a longest common subsequence with ``b``, from the matches alone.
-
-    Where a line stands so often in both that its matches pass a million, the k-th meets the k-th only.
-    """
-    where: dict[int, list[int]] = {}
-    for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    many = sum(len(where.get(x, ())) for x in a) > 1_000_000
-    seen: dict[int, int] = {}
-    ends: list[int] = []
-    links: list[tuple[int, tuple | None]] = []
+def prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with each beginning of ``b``: bit-parallel rows in one integer."""
+    where: dict[int, int] = {}
     for i, x in enumerate(a):
-        js = where.get(x, ())
-        if many and js:
-            k = seen[x] = seen.get(x, -1) + 1
-            js = js[k : k + 1]
-        for j in reversed(js):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    out, link = [], links[-1] if links else None
-    while link:
-        out.append(link[0])
-        link = link[1]
-    return out[::-1]
+        where[x] = where.get(x, 0) | 1 << i
+    # a bit of ``row`` is clear where the length grows; read column by column
+    full = (1 << len(a)) - 1
+    row, out = full, np.zeros(len(b) + 1, np.int64)
+    for j, x in enumerate(b):
+        met = where.get(x, 0)
+        if met:
+            row = ((row + (row & met)) | (row & ~met)) & full
+        out[j + 1] = len(a) - row.bit_count()
+    return out
+
+
+def common_places(a: list[int], b: list[int]) -> list[int]:
+    """Places of ``a`` in a longest common subsequence with ``b``, at every length (Hirschberg: memory of a row)."""
+    out: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        while i < k and j < m and a[i] == b[j]:
+            out.append(i)
+            i, j = i + 1, j + 1
+        while i < k and j < m and a[k - 1] == b[m - 1]:
+            out.append(k - 1)
+            k, m = k - 1, m - 1
+        if i == k or j == m:
+            continue
+        if k - i == 1:
+            if a[i] in b[j:m]:
+                out.append(i)
+            continue
+        half = (i + k) // 2
+        left = prefix_lengths(a[i:half], b[j:m])
+        right = prefix_lengths(a[half:k][::-1], b[j:m][::-1])[::-1]
+        cut = j + int((left + right).argmax())
+        todo += [(i, half, j, cut), (half, k, cut, m)]
+    return sorted(out)
 
 
 def url_host(url: Column) -> Column:

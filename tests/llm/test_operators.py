@@ -325,6 +325,28 @@ def test_frames_of_a_host_go(spark):
     assert all(got[i] == f"Unique text {i} here\n\nAnd {i} more" for i in range(40)) and got[99].startswith("My Site")
 
 
+def test_common_places_at_every_length():
+    """One early line more must not shift lines that stand in both more than a thousand times."""
+    lines = [7] * 1100
+    for i in range(0, 1100, 3):
+        lines[i] = 1000 + i
+    more = [7] + lines
+    many = [7] * 1001 + list(range(5000, 5300))
+    assert len(html_text.common_places(lines * 2, more * 2)) == 2200
+    assert len(html_text.common_places(many, [7, 9] + many)) == len(many)
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (rng.integers(0, rng.integers(1, 9), rng.integers(0, 30)).tolist() for _ in "ab")
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, was = [0], row
+            for j, y in enumerate(b):
+                row.append(was[j] + 1 if x == y else max(was[j + 1], row[j]))
+        got = html_text.common_places(a, b)
+        rest = iter(b)
+        assert got == sorted(set(got)) and len(got) == row[-1] and all(a[i] in rest for i in got)
+
+
 def test_article_texts(spark):
     p = table(spark, "pages").toPandas()
     got = {r["page_id"]: r["text"] for r in queries.queries()["op10_html"](spark, SF).collect()}
