@@ -13,15 +13,19 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkline.llm.common import slices
+
 #: Fixed value: the pattern by which the byte-level vocabulary splits texts before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids are remembered in a worker before the memory is emptied.
-REMEMBERED = 400_000
+#: Pieces whose ids, and pairs of tokens whose fit, are remembered in a worker before that memory is emptied.
+REMEMBERED, PAIRS = 150_000, 500_000
+#: Code points that a task encodes before it passes rows on, and ids that are decoded at once.
+PART, IDS = 500_000, 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -81,7 +85,7 @@ class ByteBpe:
             self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.split = regex.compile(SPLIT)
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -89,9 +93,10 @@ class ByteBpe:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether token b can follow token a in a merged text: no merge along their border comes first."""
-        if (a, b) in self.compatible:
-            return self.compatible[a, b]
-        x, y, limit, ok = a, b, 1 << 60, None
+        key = a << 32 | b
+        if (ok := self.compatible.get(key)) is not None:
+            return ok
+        x, y, limit = a, b, 1 << 60
         rank, single = self.rank, lambda t: self.left[t] == t
         while ok is None:
             made = self.pair.get((x, y))
@@ -105,9 +110,9 @@ class ByteBpe:
             else:
                 limit = rank[y] + 1
                 y = self.left[y]
-        if len(self.compatible) > 4_000_000:
+        if len(self.compatible) >= PAIRS:
             self.compatible.clear()
-        self.compatible[a, b] = ok
+        self.compatible[key] = ok
         return ok
 
     def longest_at(self, piece: str) -> list[int]:
@@ -165,12 +170,18 @@ class ByteBpe:
                 ids += got
         return np.array(ids, "<u4")
 
+    def decoded_bytes(self, ids: np.ndarray) -> bytes:
+        out = []
+        for a in range(0, len(ids), IDS):
+            at = ids[a : a + IDS].astype(np.int64)
+            start, n = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
+            place = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            out.append(self.buffer[place].tobytes())
+        return b"".join(out)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
-        ids = ids.astype(np.int64)
-        start, n = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(ids) else np.zeros(0, np.int64)
-        return self.buffer[at].tobytes().decode("utf-8", "replace")
+        return self.decoded_bytes(ids).decode("utf-8", "replace")
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -183,38 +194,57 @@ def loaded(path: str) -> ByteBpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>, decoded string) for each row; a null text counts as empty and has no ids."""
+def _encoded(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, shape: str, columns) -> DataFrame:
+    """``columns`` makes the columns after the id of a run of texts: from the ids of each, and the encoder."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocab_path)
-        for b in batches:
-            ids = [bpe.encode(t or "") for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "ids": [x.view("<i4") for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+        for batch in batches:
+            for b in slices(batch, "text", PART):
+                made = columns([bpe.encode(t or "") for t in b.column("text").to_pylist()], bpe)
+                yield pa.RecordBatch.from_arrays([b.column("id"), *made.values()], ["id", *made])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(run, f"id {kind}, {shape}").withColumnRenamed("id", id_col)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).view("<i4")))
+
+
+def _text_digests(ids: list[np.ndarray], bpe: ByteBpe) -> pa.Array:
+    return pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string())
+
+
+def encode_documents(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(id_col, ids array<int>, decoded string) for each row; ``digests`` gives decoded_sha256 in place of the text.
+
+    Null and empty texts have no ids. Repeated rows each come back. An empty table gives an empty table; other
+    columns are ignored, whatever their names. Texts of any length are encoded whole; tasks pass rows on in
+    runs of about PART code points.
+    """
+
+    def columns(ids: list[np.ndarray], bpe: ByteBpe) -> dict:
+        if digests:
+            return {"ids": _lists(ids), "decoded_sha256": _text_digests(ids, bpe)}
+        return {"ids": _lists(ids), "decoded": pa.array([bpe.decode(x) for x in ids], pa.string())}
+
+    return _encoded(docs, vocab_path, id_col, text_col, f"ids array<int>, {'decoded_sha256' if digests else 'decoded'} string", columns)
 
 
 def encode_digests(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same work, with digests of ids and decoded text in place of them (made where the ids are)."""
+    """The same work, with digests of ids and decoded text in place of both (made where the ids are)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(vocab_path)
-        for b in batches:
-            rows = []
-            for i, t in zip(b["id"], b["text"], strict=True):
-                ids = bpe.encode(t or "")
-                text = bpe.decode(ids)
-                rows.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            yield out.astype({"id": b["id"].dtype}) if len(out) else out
+    def columns(ids: list[np.ndarray], bpe: ByteBpe) -> dict:
+        return {
+            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+            "decoded_sha256": _text_digests(ids, bpe),
+        }
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = picked.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    return _encoded(docs, vocab_path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
 
 
 def default_vocab() -> str:

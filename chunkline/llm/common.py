@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,14 +71,23 @@ def sha256_text(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
-def in_parts(rows: pd.DataFrame, sizes: pd.Series) -> Iterator[pd.DataFrame]:
-    """Runs of rows whose sizes come to about AT_ONCE."""
-    part = (sizes.cumsum() // AT_ONCE).to_numpy()
+def in_parts(rows: pd.DataFrame, sizes: pd.Series, most: int = AT_ONCE) -> Iterator[pd.DataFrame]:
+    """Runs of rows whose sizes come to about ``most``."""
+    part = (sizes.cumsum() // most).to_numpy()
     for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
         if len(at):
             yield rows.iloc[at]
 
 
+def slices(batch: pa.RecordBatch, text_col: str, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same for an Arrow batch, by the code points of a text column."""
+    sizes = np.asarray(pc.fill_null(pc.utf8_length(batch.column(text_col)), 0), np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    for a, z in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        if a < z:
+            yield batch.slice(a, z - a)
+
+
 def bits_of(keys: DataFrame) -> np.ndarray:
     """BITS bits (a fixed size), those of the keys set. They only spare rows a shuffle; the join that follows decides."""
     words = keys.selectExpr(f"cast((key & {BITS - 1}) >> 6 AS int) AS w", "shiftleft(1L, cast(key & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
