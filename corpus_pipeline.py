@@ -44,9 +44,9 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
-    done = bpe.encode_documents(docs.select("doc_id", "text"), bpe.default_vocab())
-    return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Token ids of each row, and the digest of the text that they decode to. Null texts have none of either length."""
+    done = bpe.encode_documents(docs.select("doc_id", "text"), bpe.default_vocab(), digests=True)
+    return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 STAGES = [
