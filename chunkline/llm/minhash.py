@@ -6,12 +6,14 @@ time, a component of the signature and a level of weight, and counts where the l
 shingle's weight. A component keeps its earliest point: two texts agree in a component with the probability
 of their weighted Jaccard likeness. Times beyond what a text of that weight needs are never drawn.
 
-Texts with equal multisets are one node. Nodes that share a band are candidates. A bucket is closed in one
-round: every node outside its largest component is verified against every node of another component, after
-which no pair of two components is untested. Buckets with more such nodes than CLOSE first join what a few
-drawn leaders find, in rounds, while rounds find links; the draw decides the order of the work, not the
-result. Pairs are cut before verification only where they cannot be alike: by their lengths, and by parity
-bitmaps of their shingles, in which two texts differ in at most as many bits as in shingles.
+Texts with equal multisets are one node. Nodes that share a band are candidates. In each bucket all nodes
+are first verified against one leader, the node with the most candidates of its own (in a group of edited
+copies, most often the original). Where a bucket then still holds several components, the rest is exact: the
+nodes of such buckets meet by their rarest shingles (of two multisets with a likeness of s, each holds one of
+the other's rarest ``n - ceil(s n) + 1``), and every such pair of two components is verified. So no pair that
+shares a band stays untested, whatever the size of a bucket. Pairs are cut before verification only where
+they cannot be alike: by their lengths, and by parity bitmaps of their shingles, in which two texts differ in
+at most as many bits as in shingles.
 """
 
 from __future__ import annotations
@@ -28,10 +30,8 @@ from chunkline.llm.common import bits_of, has_bit, in_parts, staged
 from chunkline.llm.wordhash import chained, mix, words_hashed
 
 SHINGLE, SIZE, ROWS = 5, 64, 4
-#: Leaders of a bucket in a round before it is closed.
-LEADERS = 4
-#: Nodes outside the largest component up to which a bucket is closed at once, and leaders in a part of a closing bucket.
-CLOSE, DEAL = 16, 128
+#: Nodes that share a rare shingle meet in parts of so many.
+DEAL = 1024
 #: Words of a parity bitmap.
 WORDS = 8
 
@@ -116,7 +116,7 @@ def parity(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_docs: int)
 
 
 def signatures(docs: DataFrame, size: int = SIZE, rows: int = ROWS) -> DataFrame:
-    """(id, n, k1, k2, bands, bits) for (id, text): shingles, a hash of their multiset, a hash for each band, a parity bitmap."""
+    """(id, n, k1, k2, bands) for (id, text): shingles, a hash of their multiset in two halves, a hash for each band."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,32 +126,36 @@ def signatures(docs: DataFrame, size: int = SIZE, rows: int = ROWS) -> DataFrame
                 k1, k2 = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64)
                 np.add.at(k1, doc, mix(h))
                 np.add.at(k2, doc, mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                bag = counted(h, doc)
-                sig = bag_minhash(*bag, len(b), size)
-                bands = np.stack([chained([sig[:, i + r] for r in range(rows)]) for i in range(0, size - rows + 1, rows)], 1).view(np.int64)
-                yield pd.DataFrame({"id": b["id"].to_numpy(), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "bands": list(bands), "bits": list(parity(*bag, len(b)))})
+                sig = bag_minhash(*counted(h, doc), len(b), size)
+                bands = np.stack([chained([np.full(len(b), i, np.uint64), *(sig[:, i + r] for r in range(rows))]) for i in range(0, size - rows + 1, rows)], 1).view(np.int64)
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "bands": list(bands)})
 
-    return docs.mapInPandas(run, "id long, n long, k1 long, k2 long, bands array<long>, bits array<long>")
+    return docs.mapInPandas(run, "id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, els) of the wanted ids: a 32-bit hash for each shingle and its how-manieth occurrence.
+    """(id, n, bits, els) of the wanted (id, k1): a 32-bit hash for each shingle and its how-manieth occurrence.
 
     A filter of fixed size spares the other texts the work, not the join that decides; no text is shuffled.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bits_of(wanted.select(F.col("id").alias("key"))))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bits_of(wanted.select(F.col("id").alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            picked = batch.filter(pa.array(has_bit(bits.value, batch.column("id").to_numpy().view(np.uint64)))).to_pandas()
+            picked = batch.filter(pa.array(has_bit(filter_.value, batch.column("id").to_numpy().view(np.uint64)))).to_pandas()
             for b in in_parts(picked, picked["text"].str.len().fillna(0)):
-                d, h, c = counted(*shingles(list(b["text"])))
-                els = each_counted(h, c).view(np.int32)
-                ends = np.cumsum(np.bincount(np.repeat(d, c), minlength=len(b)))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(els, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(b["id"].to_numpy(np.int64)), lists], ["id", "els"])
+                h, doc = shingles(list(b["text"]))
+                k1 = np.zeros(len(b), np.uint64)
+                np.add.at(k1, doc, mix(h))
+                d, h, c = counted(h, doc)
+                els = np.unique(np.repeat(d, c).astype(np.uint64) << np.uint64(32) | each_counted(h, c).astype(np.uint64))
+                n = np.bincount((els >> np.uint64(32)).astype(np.int64), minlength=len(b))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(els.astype(np.uint32).view(np.int32)))
+                bits = pa.array(list(parity(d, h, c, len(b))), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(b["id"].to_numpy(np.int64)), pa.array(k1.view(np.int64)), pa.array(n, pa.int64()), bits, lists], ["id", "k1", "n", "bits", "els"])
 
-    return docs.mapInArrow(run, "id long, els array<int>").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("els").alias("els"))
+    made = docs.mapInArrow(run, "id long, k1 long, n long, bits array<long>, els array<int>")
+    return made.join(wanted, ["id", "k1"], "left_semi").dropDuplicates(["id"]).drop("k1")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,75 +173,92 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """False only of two rows (n, bits) whose multisets are less alike."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.get(f"{a}bits", F.lit(i)).bitwiseXOR(F.get(f"{b}bits", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    return (F.least(n, m) >= similarity * F.greatest(n, m)) & (apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
+
+
+def verified(pairs: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose multisets have the likeness, by their elements."""
+    a, b = (els.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", "bits", "els")]) for x in "ab")
+    met = pairs.join(a, "a").join(b, "b").where(may_be_alike("a", "b", similarity))
+    both = F.size(F.array_intersect("aels", "bels"))
+    return met.withColumn("both", both).where(F.col("both") >= similarity * (F.col("an") + F.col("bn") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def rare_pairs(nodes: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of ``nodes`` (node, comp) of two components that can have the likeness, by prefix filter.
+
+    The elements of a node are ordered by the number of nodes that hold them. Those of one node alone only
+    take places in its prefix. Of a shared element, the nodes outside its largest component meet all others;
+    a crowded element is dealt in parts.
+    """
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
+    own = staged(nodes.join(sizes, "comp").join(els.select(F.col("id").alias("node"), "n", "bits", "els"), "node"), "own-elements")
+    each = own.select("node", F.explode("els").alias("el"))
+    shared = each.groupBy("el").agg(F.count("*").alias("df")).where("df > 1")
+    prefix = each.join(shared, "el").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "el"))).alias("rare"))
+    places = F.size("rare") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1
+    rows = own.drop("els").join(prefix, "node").where(places > 0)
+    rows = staged(rows.select("node", "comp", "size", "n", "bits", F.explode(F.slice(F.col("rare.el"), F.lit(1), places)).alias("el")), "rare-elements")
+    met = rows.groupBy("el").agg(F.count("*").alias("m"), F.max(F.struct("size", "comp")).alias("big"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    met = met.where("lo <> hi").select("el", F.col("big.comp").alias("big"), F.ceil(F.col("m") / DEAL).cast("int").alias("parts"))
+    rows = rows.drop("size").join(met, "el")
+    some = rows.where("comp <> big").select("el", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.struct("node", "comp", "n", "bits").alias("l"))
+    every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # of two nodes outside the largest component, one order is enough
+    apart = (F.col("comp") != F.col("l.comp")) & ((F.col("comp") == F.col("big")) | (F.col("node") < F.col("l.node")))
+    pairs = every.join(some, ["el", "part"]).where(apart & may_be_alike("", "l.", similarity))
+    return pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(id_col, class_id) for each row: the smallest id of its class of near-duplicates.
 
     Null and empty texts (and texts without words) are near nothing: each is a class of its own. Rows that
-    share an id are one document. A null id counts as the smallest and comes back as null. An empty table
-    gives an empty table. Other columns are ignored.
+    share an id are one document (of several texts, that with the least hash); each comes back. A null id
+    counts as the smallest and comes back as null. An empty table gives an empty table. Other columns are
+    ignored, whatever their names.
     """
     no_id = -(2**63)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("id"), F.col(text_col).alias("text"))
-    sigs = staged(signatures(docs), "signatures")
-    nodes = staged(sigs.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node")), "nodes")
-    first = sigs.join(nodes.select(F.col("node").alias("id"), "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id"])
-    in_band = staged(first.select(F.col("id").alias("node"), "n", F.posexplode("bands").alias("band", "h")), "bands")
-    shared = staged(in_band.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1").select("band", "h"), "buckets")
-    in_band = staged(in_band.join(shared, ["band", "h"]), "shared-bands")
-    els = staged(elements(docs, staged(in_band.select(F.col("node").alias("id")).distinct(), "candidates")), "elements")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (els.select(F.col("id").alias(x), F.col("els").alias(f"els_{x}")) for x in "ab")
-        met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("els_a").alias("na"), F.size("els_b").alias("nb"), F.size(F.array_intersect("els_a", "els_b")).alias("both"))
-        return met.where(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-    def may_be_close(a: str, b: str) -> Column:
-        """False only of pairs that verified() would turn down."""
-        n, m = F.col(f"{a}n"), F.col(f"{b}n")
-        apart = sum((F.bit_count(F.get(f"{a}bits", F.lit(i)).bitwiseXOR(F.get(f"{b}bits", F.lit(i)))) for i in range(WORDS)), F.lit(0))
-        return (F.least(n, m) >= similarity * F.greatest(n, m)) & (apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6)
-
-    labels = staged(in_band.select("node").distinct().join(first.select(F.col("id").alias("node"), "bits"), "node").withColumn("comp", F.col("node")), "labels")
-    tested, linked, turn = None, True, 0
-    while True:
-        rows = in_band.join(labels, "node")
-        sizes = rows.groupBy("band", "h", "comp").agg(F.count("*").alias("c")).groupBy("band", "h").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("big"))
-        closing = (F.col("m") - F.col("big.c") <= CLOSE) | F.lit(not linked)
-        open_ = staged(sizes.where(F.col("m") > F.col("big.c")).select("band", "h", F.col("big.comp").alias("big"), closing.alias("closing"), F.ceil((F.col("m") - F.col("big.c")) / DEAL).alias("parts")), "open")
-        kinds = {r["closing"] for r in open_.select("closing").distinct().collect()}
-        if not kinds:
-            break
-        rows = staged(rows.join(open_, ["band", "h"]), "open-rows")
-        # a closing bucket: all nodes outside its largest component, dealt out; any other: drawn ones
-        leader = F.struct("node", "n", "comp", "bits").alias("l")
-        every = rows.where("closing and comp <> big").select("band", "h", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), leader)
-        order = [F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + k), "band", "h", "node").alias("x"), leader)).alias(f"l{k}") for k in range(LEADERS)]
-        drawn = rows.where("not closing").groupBy("band", "h").agg(*order)
-        drawn = drawn.select("band", "h", F.lit(0).cast("long").alias("part"), F.explode(F.array_distinct(F.array(*[F.col(f"l{k}.l") for k in range(LEADERS)]))).alias("l"))
-        dealt = rows.withColumn("part", F.explode(F.when(F.col("closing"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
-        close = (F.col("comp") != F.col("l.comp")) & may_be_close("", "l.")
-        pairs = dealt.join(every.unionByName(drawn), ["band", "h", "part"]).where(close).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-        met = staged(verified(pairs).join(of("a"), "a").join(of("b"), "b").select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct(), "met")
-        turn += 1
-        linked = met.limit(1).count() > 0
-        if linked:
-            # components of components: only what this round has joined
-            joined = components(met).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            labels = staged(labels.join(joined, "comp", "left").select("node", "bits", F.coalesce("top", "comp").alias("comp")), "labels")
-        if False not in kinds:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # closed buckets have no pair left
-        in_band = rows.where("not closing").select("node", "n", "band", "h")
-    labels = labels.select("node", "comp")
-    out = sigs.join(nodes, ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "id")).otherwise(F.col("id")))
-    out = out.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node"))
+    sigs = signatures(docs).groupBy("id").agg(F.count("*").cast("int").alias("rows"), F.min(F.struct("k1", "k2", "n", "bands")).alias("s"))
+    sigs = staged(sigs.select("id", "rows", "s.*"), "signatures")
+    nodes = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "bands")).alias("s"))
+    nodes = staged(nodes.select("k1", "k2", F.col("s.id").alias("node"), "s.bands"), "nodes")
+    banded = nodes.select("node", "k1", F.explode("bands").alias("h"))
+    crowds = banded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    banded = staged(banded.join(crowds, "h"), "shared-bands")
+    wanted = banded.groupBy("node").agg(F.min("k1").alias("k1"), F.sum("m").alias("degree"))
+    wanted = staged(wanted, "candidates")
+    els = staged(elements(docs, wanted.select(F.col("node").alias("id"), "k1")), "elements")
+
+    # each node of a bucket against its leader
+    ranked = banded.select("node", "h").join(wanted.select("node", "degree"), "node")
+    leaders = ranked.groupBy("h").agg(F.min(F.struct((-F.col("degree")).alias("degree"), "node")).alias("top")).select("h", F.col("top.node").alias("b"))
+    stars = banded.select(F.col("node").alias("a"), "h").join(leaders, "h").where("a <> b").select("a", "b").distinct()
+    links = staged(verified(stars, els, similarity), "links")
+    labels = components(links)
+
+    # buckets of several components
+    held = banded.select("node", "h").join(labels, "node", "left").select("node", "h", F.coalesce("comp", "node").alias("comp"))
+    several = held.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+    open_ = staged(held.join(several, "h").select("node", "comp").distinct(), "open-nodes")
+    met = verified(rare_pairs(open_, els, similarity), els, similarity)
+    of = lambda c: open_.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    met = staged(met.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "late-links")
+    tops = components(met).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    # a component without links of its own is a node
+    labels = labels.unionByName(met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    labels = labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+
+    out = sigs.select("id", "rows", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").withColumn("node", F.coalesce("node", "id"))
+    out = out.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     value = lambda c: F.when(F.col(c) != no_id, F.col(c))
-    return out.select(value("id").alias(id_col), value("node").alias("class_id"))
+    out = out.select(value("id").alias(id_col), value("comp").alias("class_id"), F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("row"))
+    return out.drop("row")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,50 @@ def test_links_in_crowded_buckets(spark):
     assert len(set(want.values())) == 300 and got == want
 
 
+def families(n_families, members, words=200):
+    """Families of texts with a likeness of about 0.7 within, and in each two texts with one of about 0.9."""
+    rng = np.random.default_rng(11)
+    texts, planted = [], []
+    for f in range(n_families):
+        stem = [f"f{f}w{i}" for i in range(words)]
+        for m in range(members):
+            own = list(stem)
+            own[-34:] = [f"f{f}m{m}x{i}" for i in range(34)]
+            texts.append(own)
+        a, b = rng.choice(members, 2, replace=False) + f * members
+        texts[b] = texts[a][:-8] + [f"late{f}x{i}" for i in range(8)]
+        planted.append((int(a), int(b)))
+    return [" ".join(t) for t in texts], planted
+
+
+def test_no_link_is_lost_in_families_that_are_not_alike(spark):
+    texts, planted = families(16, 120)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] for a, b in planted) and len(set(got.values())) == len(texts) - len(planted)
+
+
+def test_copies_of_an_original_that_are_not_alike(spark):
+    """Each copy has a likeness of 0.83 to the original and of about 0.7 to the other copies."""
+    rng = np.random.default_rng(2)
+    stem = [f"o{i}" for i in range(300)]
+    texts = [" ".join(stem)]
+    for c in range(400):
+        own = list(stem)
+        for k in rng.choice(58, 5, replace=False):
+            own[k * 5 + 4] = f"c{c}k{k}"
+        texts.append(" ".join(own))
+    got = {r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0}
+
+
+def test_near_duplicates_repeated_ids(spark):
+    other = " ".join(f"z{i}" for i in range(30))
+    d = spark.createDataFrame([(1, COPY), (1, COPY), (2, other), (2, COPY), (3, other), (4, COPY)], "doc_id long, text string")
+    got = minhash.near_duplicates(d).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 1, 2, 2, 3, 4] and {r["class_id"] for r in got if r["doc_id"] in (1, 4)} == {1}
+    assert len({r["class_id"] for r in got if r["doc_id"] == 2}) == 1
+
+
 def test_parity_never_parts_alike_texts():
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abcd"), rng.integers(1, 900))) for _ in range(60)]
