@@ -261,16 +261,78 @@ ITEM = "A train leaves Paris and travels 60 km in 2 hours while the other train
 
 
 def test_leaks(spark):
-    items = spark.createDataFrame([(1, ITEM), (2, None), (3, "1 2 3 4 5 6 7 8 9 10"), (4, "too short")], "item_id long, text string")
+    short = "Name the capital"
+    other = "If Maria buys 12 apples and Tom buys 30 pears, how many pieces of fruit do they have together?"
+    items = spark.createDataFrame([(1, ITEM), (2, None), (3, "1 2 3 4 5 6 7 8 9 10"), (4, short), (5, ""), (6, other), (6, other)], "item_id long, text string")
     same = ITEM.replace("60", "75").replace("Paris", "Berlin")
     mixed = ITEM.replace("60", "75", 1).replace(" 2 ", " 7 ").replace("from Paris", "from Oslo")
-    rows = [(1, "Intro words here. " + ITEM + " And more."), (2, same), (3, mixed), (4, " ".join(ITEM.split()[:12])), (5, None), (6, ""), (7, "9 8 7 6 5 4 3 2 1 " * 50), (1, "Intro words here. " + ITEM + " And more.")]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item", F.lit(0)).withColumn("doc", F.lit(0)).withColumn("h", F.lit(0))
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, items).collect()}
-    assert got == {(1, 1), (2, 1)}
+    rows = [
+        (1, "Intro words here. " + ITEM + " And more."), (1, "Intro words here. " + ITEM + " And more."), (2, same), (3, mixed), (4, " ".join(ITEM.split()[:12])), (5, None), (6, ""), (7, "9 8 7 6 5 4 3 2 1 " * 50),
+        (8, "Please: name the capital!"), (9, "Name a capital"), (10, "0, 1 2 3 4 5 6 7 8 9 10"), (11, ITEM.lower()), (12, ITEM.upper()), (13, "Maria went home.\n" + other.replace("Maria", "Ada").replace("12", "7")),
+        (14, ITEM + " " + same + " " + mixed), (15, "x " * 40_000 + same + " y" * 40_000), (None, other), (16, same.replace("Berlin", "New York")),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("item", "doc", "h", "row", "occ", "toks", "w", "item_id"):
+        d = d.withColumn(c, F.lit(0))
+    found = decontaminate.find_leaks(d, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 1), (8, 4), (10, 3), (11, 1), (12, 1), (13, 6), (14, 1), (15, 1), (None, 6)}
+    assert len(found) == 10
     assert decontaminate.find_leaks(d.limit(0), items).count() == 0 and decontaminate.find_leaks(d, items.limit(0)).count() == 0
 
 
+def leaks_by_force(docs, items, window=5, similarity=0.8):
+    """Every window of every item at every place of every text; occurrences by the places where the item would begin."""
+
+    def toks(text):
+        t = re.sub(r"(\d)[.,](?=\d)", r"\1", text)
+        t = re.sub(rf"(\d)[ -]*((?i:{'|'.join(decontaminate.UNITS)}))(?![^\W_])", "\\1 \x02\\2", t)
+        t = re.sub(r"(\d)(?=[^\W\d_])", r"\1 ", t)
+        t = "".join("\x01" + c if c.isupper() and n.islower() else c for c, n in zip(t, t[1:] + " ", strict=True))
+        return [x for x in re.split(r"[^\w\x01\x02]+|_+", t.lower()) if x]
+
+    kind = lambda t: t[0] if t[0] in "\x01\x02" else "0" if t[0].isdigit() else t
+    out = set()
+    texts = {i: toks(t) for i, t in docs}
+    where = {i: collections.defaultdict(list) for i in texts}
+    for i, t in texts.items():
+        for p in range(len(t) - window + 1):
+            where[i][tuple(map(kind, t[p : p + window]))].append(p)
+    for k, text in items:
+        own = toks(text)
+        places = [p for p in range(len(own) - window + 1) if sum(x[0] > ":" for x in own[p : p + window]) >= 2]
+        for i, t in texts.items():
+            met = sorted((d - p, d, p) for p in places for d in where[i].get(tuple(map(kind, own[p : p + window])), ()))
+            if len({p for _, _, p in met}) < similarity * len(places):
+                continue
+            groups = []
+            for m in met:
+                if not groups or m[0] - groups[-1][-1][0] > min(8, len(places)):
+                    groups.append([])
+                groups[-1].append(m)
+            for g in groups:
+                slots = lambda d, p: [(a, b) for a, b in zip(own[p : p + window], t[d : d + window], strict=True) if a[0] < ":"]
+                seen = collections.Counter(s for _, d, p in g for s in slots(d, p))
+                usual = {}
+                for (a, b), n in seen.items():
+                    usual[a] = max(usual.get(a, (0, "")), (n, b))
+                if len({p for _, d, p in g if all(usual[a][1] == b for a, b in slots(d, p))}) >= similarity * len(places):
+                    out.add((i, k))
+    return out
+
+
+def test_leaks_by_force(spark):
+    """All documents against all items, and re-parameterised items planted in them."""
+    d, b = (table(spark, t).toPandas() for t in ("documents", "benchmark"))
+    rng = np.random.default_rng(4)
+    rows = [(int(i), t or "") for i, t in zip(d.doc_id, d.text, strict=True)]
+    for n, t in enumerate(b.text[:20]):
+        other = re.sub(r"\d+", lambda m: str(rng.integers(10, 99)) if n % 2 else "4711", t)
+        rows.append((10_000 + n, rows[n][1][:500] + "\n" + other + "\n" + rows[n][1][500:900]))
+    items = [(int(i), t) for i, t in zip(b.item_id, b.text, strict=True)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), table(spark, "benchmark")).collect()}
+    assert got == leaks_by_force(rows, items) and len(got) > 5
+
+
 def test_leaks_in_documents(spark):
     d, b = (table(spark, t).toPandas() for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in queries.queries()["op6_decontaminate"](spark, SF).collect()}
