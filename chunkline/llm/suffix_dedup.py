@@ -12,6 +12,10 @@ strings share at the same place: one row stands for all strings with that minimi
    digit; the others drop out.
 3. digit: runs of 46 bytes, each common to five neighbouring strings of a remaining context.
 4. digit: the strings of ``length`` bytes of the runs that are left, one by one.
+
+Digits are compared by hashes. Where a digit only spares work (the first, the sides and the runs) 64 bits are
+enough, since a chance meeting only leaves more rows to the next digit. What settles a string, equal contexts
+and equal strings of the last digit, is compared by two hashes (128 bits).
 """
 
 from __future__ import annotations
@@ -20,163 +24,212 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkline.llm.common import bits_of, has_bit, release, staged
-from chunkline.llm.wordhash import LETTER, mix, powers
+from chunkline.llm.wordhash import chained, mix
 
 DIGIT, STEP = 16, 5
 #: Bytes that are worked on at once.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 NO_ID = -(2**63)
 
 
-def _earliest_least(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the least (leftmost of equals) of each ``w`` values in a row."""
-    val, at, size, n = h, np.arange(len(h)), 1, len(h) - w + 1
+def digits(part: np.ndarray) -> np.ndarray:
+    """A hash of the DIGIT bytes from each place."""
+    words = np.ndarray((len(part) - 7,), "<u8", np.ascontiguousarray(part), strides=(1,)).copy()
+    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += words[8:]
+    return mix(h * np.uint64(0xBF58476D1CE4E5B9))
 
-    def join(a, i, b, j):
-        right = b < a
-        return np.where(right, b, a), np.where(right, j, i)
 
+def least_of(h: np.ndarray, w: int) -> np.ndarray:
+    """The least of each ``w`` values in a row."""
+    out, size, n = h, 1, len(h) - w + 1
     while size * 2 <= w:
-        val, at = join(val[:-size], at[:-size], val[size:], at[size:])
+        out = np.minimum(out[:-size], out[size:])
         size *= 2
-    if size < w:
-        val, at = join(val[:n], at[:n], val[w - size : w - size + n], at[w - size : w - size + n])
-    return at
+    return np.minimum(out[:n], out[w - size : w - size + n])
 
 
-def contexts(data: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def contexts(buf: np.ndarray, begin: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(text number, key, context, start, n, offset): strings start .. start+n-1 of a text share a first digit at start+offset.
 
-    Texts are joined and cut into segments; a string belongs to the segment of its start.
+    Text i is ``buf[begin[i] : begin[i + 1]]``. The bytes are cut into segments; a string belongs to the
+    segment of its start.
     """
-    sizes = np.array([len(d) for d in data], np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    buf, w = np.frombuffer(b"".join(data), np.uint8), length - DIGIT + 1
-    for a in range(0, max(len(buf) - length + 1, 0), SEGMENT):
-        part = buf[a : a + SEGMENT + length - 1]
-        up, down = powers(len(part) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[part] * up[: len(part)])])
-        n = len(part) - length + 1
-        h = mix((sums[DIGIT:] - sums[:-DIGIT]) * down[: len(part) - DIGIT + 1])
-        least = _earliest_least(h, w)
-        doc = np.searchsorted(begin, np.arange(a, a + n), "right") - 1
-        inside = np.flatnonzero(np.arange(a, a + n) + length <= begin[doc + 1])
-        if not len(inside):
-            continue
-        p = least[inside]
-        new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (inside[1:] != inside[:-1] + 1)]))
-        lo, hi, p = inside[new], inside[np.concatenate([new[1:], [len(inside)]]) - 1], p[new]
-        end = hi + length
-        whole = mix((sums[end] - sums[lo]) * down[lo] + (p - lo).astype(np.uint64) * np.uint64(64) + (hi - lo).astype(np.uint64))
-        yield doc[lo], h[p], whole, lo + a - begin[doc[lo]], hi - lo + 1, p - lo
-
-
-def as_bytes(texts: pd.Series) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    w = length - DIGIT + 1
+    for a in range(int(begin[0]), int(begin[-1]) - length + 1, SEGMENT):
+        part = buf[a : min(a + SEGMENT + length - 1, int(begin[-1]))]
+        h = digits(part)
+        least = least_of(h, w)
+        n = len(least)
+        # a run of strings ends where the least hash changes, and with its text
+        texts = begin[np.searchsorted(begin, a) : np.searchsorted(begin, a + n)] - a
+        lo = np.unique(np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, texts]))
+        doc = np.searchsorted(begin, a + lo, "right") - 1
+        hi = np.minimum(np.append(lo[1:], n) - 1, begin[doc + 1] - length - a)
+        lo, hi, doc = (x[hi >= lo] for x in (lo, hi, doc))
+        off = (sliding_window_view(h, w)[lo] == least[lo][:, None]).argmax(1)
+        # equal hashes within a window: the leftmost holds until it is left behind
+        tied = np.flatnonzero(hi > lo + off)
+        if len(tied):
+            more = []
+            for i in tied:
+                at = lo[i] + np.flatnonzero(h[lo[i] : hi[i] + w] == least[lo[i]])
+                first = np.concatenate([[lo[i]], at[:-1] + 1])
+                last = np.minimum(at, hi[i])
+                keep = first <= last
+                more.append((first[keep], last[keep], np.full(keep.sum(), doc[i]), (at - first)[keep]))
+            rest = np.ones(len(lo), bool)
+            rest[tied] = False
+            lo, hi, doc, off = (np.concatenate([x[rest], *m]) for x, m in zip((lo, hi, doc, off), zip(*more, strict=True), strict=True))
+        if len(lo):
+            end = hi + length - DIGIT
+            whole = chained([h[np.minimum(lo + k, end)] for k in range(0, 2 * length - DIGIT, DIGIT)] + [(off * 64 + hi - lo).astype(np.uint64)])
+            yield doc, h[lo + off], whole, lo + a - begin[doc], hi - lo + 1, off
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow column of texts, and where each begins (null texts are empty)."""
+    if column.null_count:
+        column = column.fill_null("")
+    offsets, data = column.buffers()[1:]
+    begin = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), begin
 
 
 def _met_again(rows: DataFrame) -> DataFrame:
-    """The rows (ctx, h, ...) whose h occurs in several contexts."""
+    """The rows (key, ctx, h, ...) whose h occurs in several contexts."""
     twice = rows.groupBy("h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("z")).where("a <> z").select("h")
     return rows.join(twice, "h").drop("h")
 
 
+def span(start: Column, end: Column) -> Column:
+    """[start, end) in one number that sorts by the start."""
+    return F.shiftleft(start.cast("long"), 32).bitwiseOR(end.cast("long"))
+
+
 def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(id, spans: array of [start, end) in bytes) of the bytes covered by a string of ``length`` bytes that also starts in a smaller id."""
+    """(id, sig, spans: array of start << 32 | end, in bytes) of what a string of ``length`` bytes that also starts in a smaller id covers.
 
-    spark = docs.sparkSession
-    wanted_bits = None
+    ``docs``: (id, sig, text); sig tells texts of one id apart.
+    """
+    spark, ctx = docs.sparkSession, ["key", "ctx"]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, data = b["id"].to_numpy(), as_bytes(b["text"])
-            for found in contexts(data, length):
-                if wanted_bits is not None:
-                    on = has_bit(wanted_bits.value, found[1])
-                    found = tuple(x[on] for x in found)
-                doc, key, ctx, lo, n, off = found
-                yield pd.DataFrame({"id": ids[doc], "key": key.view(np.int64), "ctx": ctx.view(np.int64), "lo": lo.astype(np.int32), "n": n.astype(np.int16), "off": off.astype(np.int16)})
-
-    shape = "id long, key long, ctx long, lo int, n short, off short"
+            ids = b.column("id").to_numpy()
+            for doc, key, *_ in contexts(*text_bytes(b.column("text")), length):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc])], ["key", "id"])
+
     # 1. digit
-    met = staged(docs.mapInPandas(find, shape).select("key", "id").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key"), "digits")
+    met = staged(docs.mapInArrow(keys, "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key"), "digits")
     wanted_bits = spark.sparkContext.broadcast(bits_of(met))
-    rows = staged(docs.mapInPandas(find, shape).join(met, "key"), "shared-digits")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sigs = b.column("id").to_numpy(), b.column("sig").to_numpy().astype(np.int64)
+            for found in contexts(*text_bytes(b.column("text")), length):
+                on = has_bit(wanted_bits.value, found[1])
+                doc, key, whole, lo, n, off = (x[on] for x in found)
+                columns = [ids[doc], sigs[doc] << 32 | lo, key.view(np.int64), whole.view(np.int64), (n << 8 | off).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "place", "key", "ctx", "shape"])
+
+    rows = staged(docs.mapInArrow(find, "id long, place long, key long, ctx long, shape int").join(met, "key"), "shared-digits")
     release(spark, met)
     # 2. digit
-    held = staged(rows.groupBy("ctx").agg(F.min(F.struct("id", "lo", "n", "off", "key")).alias("r")).select("ctx", "r.*"), "contexts")
-    several = held.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    wanted = held.join(several, "key").groupBy("id").agg(F.collect_list(F.struct("key", "ctx", "lo", "n", "off")).alias("c"))
-    whole = docs.join(wanted, "id").select("id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), "c")
-    cut = F.transform("c", lambda x: F.struct(x["key"].alias("key"), x["ctx"].alias("ctx"), x["n"].cast("int").alias("n"), x["off"].cast("int").alias("off"), F.substring(F.col("data"), x["lo"] + 1, x["n"] + (length - 1)).alias("data")))
-    bytes_ = staged(whole.select("id", F.inline(cut)), "context-bytes")
+    held = rows.groupBy(*ctx).agg(F.min("id").alias("id"), F.min_by("place", "id").alias("place"), F.min("shape").alias("shape"), F.count("*").alias("m"))
+    held = staged(held, "contexts")
+    several = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    sig, lo = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    n, off = F.shiftright("shape", 8), F.col("shape").bitwiseAND(F.lit(255))
+    wanted = held.join(several, "key").groupBy("id", sig.alias("sig")).agg(F.collect_list(F.struct(*ctx, lo.alias("lo"), n.alias("n"), off.alias("off"))).alias("c"))
+    whole = docs.join(wanted, ["id", "sig"]).select("id", "sig", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "c")
+    # rows of one id and text give their contexts once each
+    cut = whole.select("id", "text", F.inline("c")).select("id", *ctx, "n", "off", F.substring("text", F.col("lo") + 1, F.col("n") + (length - 1)).alias("data"))
+    bytes_ = staged(cut, "context-bytes")
     side = (length - DIGIT) // 2
     reach = F.length("data") - F.col("off") - DIGIT
     left = F.when(F.col("off") >= side, F.xxhash64("key", F.lit("l"), F.substring("data", F.col("off") - (side - 1), F.lit(side))))
     right = F.when(reach >= side, F.xxhash64("key", F.lit("r"), F.substring("data", F.col("off") + (DIGIT + 1), F.lit(side))))
-    open_ = _met_again(bytes_.select("ctx", F.explode(F.array_compact(F.array(left, right))).alias("h"))).select("ctx").distinct()
-    near = staged(bytes_.join(open_, "ctx"), "open-contexts")
+    open_ = _met_again(bytes_.select(*ctx, F.explode(F.array_compact(F.array(left, right))).alias("h"))).distinct()
+    near = staged(bytes_.join(open_, ctx).dropDuplicates(ctx), "open-contexts")
     release(spark, bytes_)
     # 3. digit: strings whose offsets lie in one run of STEP share all but STEP - 1 of their bytes
     first, last = F.greatest(F.ceil((F.col("off") - F.col("n") + 2 - STEP) / STEP), F.lit(0)).cast("int"), F.floor(F.col("off") / STEP).cast("int")
-    cores = near.select("ctx", "data", "off", F.explode(F.sequence(first, last)).alias("k"))
-    cores = cores.select("ctx", "k", F.xxhash64("k", F.substring("data", F.col("off") - F.col("k") * STEP + 1, F.lit(length - STEP + 1))).alias("h"))
-    runs = near.join(_met_again(cores).groupBy("ctx").agg(F.collect_set("k").alias("ks")), "ctx")
+    cores = near.select(*ctx, "data", "off", F.explode(F.sequence(first, last)).alias("k"))
+    cores = cores.select(*ctx, "k", F.xxhash64("k", F.substring("data", F.col("off") - F.col("k") * STEP + 1, F.lit(length - STEP + 1))).alias("h"))
+    runs = near.join(_met_again(cores).groupBy(*ctx).agg(F.collect_set("k").alias("ks")), ctx)
     # 4. digit: the strings
-    j = F.explode(F.flatten(F.transform("ks", lambda k: F.filter(F.transform(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda i: F.col("off") - k * STEP - i), lambda x: (x >= 0) & (x < F.col("n"))))))
-    strings = runs.select("ctx", "id", "data", j.alias("j"))
-    strings = staged(strings.select("ctx", "id", "j", F.xxhash64(F.substring("data", F.col("j") + 1, F.lit(length))).alias("h")), "strings")
-    equal = strings.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h", "a")
-    later = strings.join(equal, "h").where("a < id").groupBy("ctx").agg(F.collect_list("j").alias("js"))
-
-    verdict = held.join(later, "ctx", "left").select("ctx", F.col("id").alias("least"), "js")
+    strings = runs.select(*ctx, "id", "data", "off", "n", F.explode("ks").alias("k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(STEP - 1))))
+    strings = strings.withColumn("j", F.col("off") - F.col("k") * STEP - F.col("i")).where("j >= 0 and j < n")
+    text = F.substring("data", F.col("j") + 1, F.lit(length))
+    strings = staged(strings.select(*ctx, "id", "j", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")), "strings")
+    equal = strings.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h1", "h2", "a")
+    later = strings.join(equal, ["h1", "h2"]).where("a < id").groupBy(*ctx).agg(F.collect_list("j").alias("js"))
+    # contexts that take something away
+    verdict = held.join(later, ctx, "left").where("m > 1 or js is not null").select(*ctx, F.col("id").alias("least"), "js")
     verdict = staged(verdict, "verdicts")
     release(spark, held, near, strings)
-    found = rows.join(verdict, "ctx")
-    whole = F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e")))
-    some = F.transform(F.coalesce("js", F.array().cast("array<int>")), lambda j: F.struct((F.col("lo") + j).alias("s"), (F.col("lo") + j + length).alias("e")))
-    spans = found.select("id", F.inline(F.when(F.col("id") > F.col("least"), whole).otherwise(some)))
-    return spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    found = rows.join(verdict, ctx).select("id", sig.alias("sig"), lo.alias("lo"), n.alias("n"), "least", "js")
+    all_ = F.array(span(F.col("lo"), F.col("lo") + F.col("n") + (length - 1)))
+    some = F.transform("js", lambda j: span(F.col("lo") + j, F.col("lo") + j + length))
+    spans = found.where("id > least or js is not null").select("id", "sig", F.explode(F.when(F.col("id") > F.col("least"), all_).otherwise(some)).alias("span"))
+    return spans.groupBy("id", "sig").agg(F.collect_list("span").alias("spans"))
 
 
-def merged(spans: list, size: int) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted((x["s"], min(x["e"], size)) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        elif s < e:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+def merged(spans: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that the spans cover."""
+    spans = np.sort(spans)
+    start, end = spans >> 32, np.minimum(np.maximum.accumulate(spans & ((1 << 32) - 1)), size)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(spans) else np.zeros(0, np.int64)
+    return start[new], end[np.append(new[1:], len(spans)) - 1] if len(new) else end
 
 
 def dedup_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, digests: bool = False) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept) for each row; ``digests`` gives kept_sha256 in place of the kept bytes.
 
-    Null texts are empty. A null id counts as the smallest. Rows that share an id are one document, in which
-    nothing repeats a smaller one; they should hold one text. An empty table gives an empty table.
+    Null texts are empty. A null id counts as the smallest. Rows that share an id do not repeat each other;
+    each loses what smaller ids hold. An empty table gives an empty table. Other columns are ignored, whatever
+    their names. ``length`` is 32 bytes at least.
     """
+    if length < 2 * DIGIT:
+        raise ValueError(f"length: {length}")
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    sig = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), sig.alias("sig"), text.alias("text"))
     spans = removed_spans(picked, length)
 
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, data, s in zip(b["id"], as_bytes(b["text"]), b["spans"], strict=True):
-                gone = merged(s, len(data)) if s is not None else []
-                cuts = [0, *(x for g in gone for x in g), len(data)]
-                kept = b"".join(data[a:z] for a, z in zip(cuts[::2], cuts[1::2], strict=True))
-                out.append((i, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest() if digests else kept))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", last])
-
-    last = "kept_sha256" if digests else "kept"
-    done = picked.join(spans, "id", "left").mapInPandas(remove, f"id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digests else 'binary'}")
-    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", last)
+            buf, begin = text_bytes(b.column("text"))
+            lists = b.column("spans").fill_null([])
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            count = []
+            kept = []
+            for i in range(b.num_rows):
+                data = buf[begin[i] : begin[i + 1]]
+                start, end = merged(values[ends[i] : ends[i + 1]], len(data))
+                if len(start):
+                    cuts = np.stack([np.append(0, end), np.append(start, len(data))], 1)
+                    data = b"".join(data[a:z].tobytes() for a, z in cuts)
+                else:
+                    data = data.tobytes()
+                count.append((begin[i + 1] - begin[i], begin[i + 1] - begin[i] - len(data), len(start)))
+                kept.append(hashlib.sha256(data).hexdigest() if digests else data)
+            numbers = np.array(count, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(numbers[:, k].copy()) for k in range(3)), pa.array(kept, pa.string() if digests else pa.binary())], names)
+
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"]
+    done = picked.join(spans, ["id", "sig"], "left").select("id", "text", "spans")
+    done = done.mapInArrow(remove, f"id long, n_bytes long, n_removed long, n_spans long, {names[-1]} {'string' if digests else 'binary'}")
+    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).cast(kind).alias(id_col), *names[1:])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,12 +174,24 @@ def test_suffix_dedup(spark):
 
 
 def test_suffix_dedup_odd(spark):
-    got = {r["doc_id"]: r for r in suffix_dedup.dedup_strings(docs(spark)).where("doc_id is null or doc_id <> 7").collect()}
-    assert got[None]["n_removed"] == 0 and got[6]["n_removed"] == len(COPY) and got[6]["kept"] == b""
-    assert got[1]["n_bytes"] == got[2]["n_bytes"] == 0 and got[5]["n_removed"] == got[5]["n_bytes"] and got[4]["n_removed"] == 0
+    rows = [(-(2**63) if r["doc_id"] is None else r["doc_id"], (r["text"] or "").encode()) for r in docs(spark).select("doc_id", "text").collect()]
+    got = [(-(2**63) if r["doc_id"] is None else r["doc_id"], *r[1:4], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup_strings(docs(spark)).collect()]
+    assert sorted(got) == sorted(removed_by_force(rows))
+    of = {r[0]: r for r in got}
+    assert of[-(2**63)][2] == 0 and of[6][2] == len(COPY) == of[6][1] and of[5][2] == of[5][1] > 100_000
     assert suffix_dedup.dedup_strings(no_docs(spark)).count() == 0
 
 
+def test_suffix_dedup_rows_of_one_id(spark):
+    """Each row of an id loses its own repeats only."""
+    a, b = COPY, "".join(chr(97 + i * i % 23) for i in range(111))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b[20:90] + a[:60]), (3, a[40:])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in suffix_dedup.dedup_strings(d, digests=True).collect()]
+    assert sorted(got) == sorted(removed_by_force([(i, t.encode()) for i, t in rows]))
+    assert [r[2] for r in got if r[0] == 2 and r[1] == 111] == [0, 0]
+
+
 # 3
 
 
