@@ -121,6 +121,12 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     spark, ctx = docs.sparkSession, ["key", "ctx"]
 
+    def kept(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+        """Written; the shuffle files behind it and the tables that are done with go."""
+        out = staged(df, name)
+        release(spark, *done)
+        return out
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("id").to_numpy()
@@ -128,7 +134,8 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc])], ["key", "id"])
 
     # 1. digit
-    met = staged(docs.mapInArrow(keys, "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key"), "digits")
+    met = docs.mapInArrow(keys, "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
+    met = kept(met.select("key"), "digits")
     wanted_bits = spark.sparkContext.broadcast(bits_of(met))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,29 +144,27 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             for found in contexts(*text_bytes(b.column("text")), length):
                 on = has_bit(wanted_bits.value, found[1])
                 doc, key, whole, lo, n, off = (x[on] for x in found)
-                columns = [ids[doc], sigs[doc] << 32 | lo, key.view(np.int64), whole.view(np.int64), (n << 8 | off).astype(np.int32)]
+                columns = [ids[doc], sigs[doc] << 32 | lo, key.view(np.int64), whole.view(np.int64), (n << 8 | off).astype(np.int16)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "place", "key", "ctx", "shape"])
 
-    rows = staged(docs.mapInArrow(find, "id long, place long, key long, ctx long, shape int").join(met, "key"), "shared-digits")
-    release(spark, met)
+    rows = kept(docs.mapInArrow(find, "id long, place long, key long, ctx long, shape short").join(met, "key"), "shared-digits", met)
     # 2. digit
     held = rows.groupBy(*ctx).agg(F.min("id").alias("id"), F.min_by("place", "id").alias("place"), F.min("shape").alias("shape"), F.count("*").alias("m"))
-    held = staged(held, "contexts")
+    held = kept(held, "contexts")
     several = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     sig, lo = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    n, off = F.shiftright("shape", 8), F.col("shape").bitwiseAND(F.lit(255))
+    n, off = F.shiftright(F.col("shape").cast("int"), 8), F.col("shape").cast("int").bitwiseAND(F.lit(255))
     wanted = held.join(several, "key").groupBy("id", sig.alias("sig")).agg(F.collect_list(F.struct(*ctx, lo.alias("lo"), n.alias("n"), off.alias("off"))).alias("c"))
     whole = docs.join(wanted, ["id", "sig"]).select("id", "sig", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "c")
     # rows of one id and text give their contexts once each
     cut = whole.select("id", "text", F.inline("c")).select("id", *ctx, "n", "off", F.substring("text", F.col("lo") + 1, F.col("n") + (length - 1)).alias("data"))
-    bytes_ = staged(cut, "context-bytes")
+    bytes_ = kept(cut, "context-bytes")
     side = (length - DIGIT) // 2
     reach = F.length("data") - F.col("off") - DIGIT
     left = F.when(F.col("off") >= side, F.xxhash64("key", F.lit("l"), F.substring("data", F.col("off") - (side - 1), F.lit(side))))
     right = F.when(reach >= side, F.xxhash64("key", F.lit("r"), F.substring("data", F.col("off") + (DIGIT + 1), F.lit(side))))
     open_ = _met_again(bytes_.select(*ctx, F.explode(F.array_compact(F.array(left, right))).alias("h"))).distinct()
-    near = staged(bytes_.join(open_, ctx).dropDuplicates(ctx), "open-contexts")
-    release(spark, bytes_)
+    near = kept(bytes_.join(open_, ctx).dropDuplicates(ctx), "open-contexts", bytes_)
     # 3. digit: strings whose offsets lie in one run of STEP share all but STEP - 1 of their bytes
     first, last = F.greatest(F.ceil((F.col("off") - F.col("n") + 2 - STEP) / STEP), F.lit(0)).cast("int"), F.floor(F.col("off") / STEP).cast("int")
     cores = near.select(*ctx, "data", "off", F.explode(F.sequence(first, last)).alias("k"))
@@ -169,18 +174,17 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     strings = runs.select(*ctx, "id", "data", "off", "n", F.explode("ks").alias("k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(STEP - 1))))
     strings = strings.withColumn("j", F.col("off") - F.col("k") * STEP - F.col("i")).where("j >= 0 and j < n")
     text = F.substring("data", F.col("j") + 1, F.lit(length))
-    strings = staged(strings.select(*ctx, "id", "j", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")), "strings")
+    strings = kept(strings.select(*ctx, "id", "j", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")), "strings", near)
     equal = strings.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h1", "h2", "a")
     later = strings.join(equal, ["h1", "h2"]).where("a < id").groupBy(*ctx).agg(F.collect_list("j").alias("js"))
     # contexts that take something away
     verdict = held.join(later, ctx, "left").where("m > 1 or js is not null").select(*ctx, F.col("id").alias("least"), "js")
-    verdict = staged(verdict, "verdicts")
-    release(spark, held, near, strings)
+    verdict = kept(verdict, "verdicts", held, strings)
     found = rows.join(verdict, ctx).select("id", sig.alias("sig"), lo.alias("lo"), n.alias("n"), "least", "js")
     all_ = F.array(span(F.col("lo"), F.col("lo") + F.col("n") + (length - 1)))
     some = F.transform("js", lambda j: span(F.col("lo") + j, F.col("lo") + j + length))
     spans = found.where("id > least or js is not null").select("id", "sig", F.explode(F.when(F.col("id") > F.col("least"), all_).otherwise(some)).alias("span"))
-    return spans.groupBy("id", "sig").agg(F.collect_list("span").alias("spans"))
+    return kept(spans.groupBy("id", "sig").agg(F.collect_list("span").alias("spans")), "spans", rows, verdict)
 
 
 def merged(spans: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +200,9 @@ def dedup_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Null texts are empty. A null id counts as the smallest. Rows that share an id do not repeat each other;
     each loses what smaller ids hold. An empty table gives an empty table. Other columns are ignored, whatever
-    their names. ``length`` is 32 bytes at least.
+    their names. ``length`` is 32 to 100 bytes.
     """
-    if length < 2 * DIGIT:
+    if not 2 * DIGIT <= length <= 100:
         raise ValueError(f"length: {length}")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
