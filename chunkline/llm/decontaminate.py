@@ -58,7 +58,10 @@ def typed_uncapitalised(token: Column) -> Column:
 
 
 def with_windows(rows: DataFrame, token_form, size: int) -> DataFrame:
-    """``w`` added: a hash for each run of ``size`` of ``toks``; none in a shorter text."""
+    """``w`` added: a hash for each run of ``size`` of ``toks``; none in a shorter text.
+
+    Explode it with an outer explode: of an inner one the optimizer makes a filter that computes all of this again.
+    """
     rows = rows.withColumn("w", F.transform("toks", lambda t: F.xxhash64(token_form(t))))
     n = 1
     while n < size:
@@ -83,7 +86,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     def cut(rows: DataFrame, token_form, size: int, form: int, exact: bool) -> DataFrame:
         kept = lambda t: F.when(~is_plain(t), t) if form == 0 else F.when(~is_plain(t) & ~t.between(NAME, UNIT), t)
         vals = F.transform(at, lambda t: F.lit(None).cast("string")) if exact else F.transform(at, kept)
-        rows = with_windows(rows, token_form, size).select("item", "toks", F.posexplode("w").alias("ipos", "h"), F.lit(size).alias("size"))
+        rows = with_windows(rows, token_form, size).select("item", "toks", F.posexplode_outer("w").alias("ipos", "h"), F.lit(size).alias("size")).where("h is not null")
         if not exact:
             rows = rows.where(F.size(F.filter(at, is_plain)) >= 2)
         if form:
@@ -117,7 +120,7 @@ def find_leaks(
     met = None
     kinds = item.groupBy("size", "exact").agg(F.count("*").alias("n")).orderBy("exact", "size").collect()
     for k in kinds:
-        probe = with_windows(doc, plain_value if k["exact"] else typed, k["size"]).select("row", "toks", F.posexplode("w").alias("dpos", "h"))
+        probe = with_windows(doc, plain_value if k["exact"] else typed, k["size"]).select("row", "toks", F.posexplode_outer("w").alias("dpos", "h"))
         blocks = -(-k["n"] // BROADCAST_WINDOWS)
         for b in range(blocks):
             block = item.where((F.col("size") == k["size"]) & (F.col("exact") == k["exact"]) & (F.pmod(F.xxhash64("item"), F.lit(blocks)) == b))
