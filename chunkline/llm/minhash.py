@@ -8,10 +8,11 @@ of their weighted Jaccard likeness. Times beyond what a text of that weight need
 
 Texts with equal multisets are one node. Nodes that share a band are candidates. In each bucket all nodes
 are first verified against one leader, the node with the most candidates of its own (in a group of edited
-copies, most often the original). Where a bucket then still holds several components, the rest is exact: the
-nodes of such buckets meet by their rarest shingles (of two multisets with a likeness of s, each holds one of
-the other's rarest ``n - ceil(s n) + 1``), and every such pair of two components is verified. So no pair that
-shares a band stays untested, whatever the size of a bucket. Pairs are cut before verification only where
+copies, most often the original), then, where a bucket still holds several components, those of other
+components against a few drawn members. Where components are left after that, the rest is exact: the nodes of
+such buckets meet by their rarest shingles (of two multisets with a likeness of s, each holds one of the
+other's rarest ``n - ceil(s n) + 1``), and every such pair of two components is verified. So no pair that shares
+a band stays untested, whatever the size of a bucket. Pairs are cut before verification only where
 they cannot be alike: by their lengths, and by parity bitmaps of their shingles, in which two texts differ in
 at most as many bits as in shingles.
 """
@@ -30,6 +31,8 @@ from chunkline.llm.common import bits_of, has_bit, in_parts, staged
 from chunkline.llm.wordhash import chained, mix, words_hashed
 
 SHINGLE, SIZE, ROWS = 5, 64, 4
+#: Members of a bucket that those of other components meet before the exact rest.
+DRAWN = 6
 #: Nodes that share a rare shingle meet in parts of so many.
 DEAL = 1024
 #: Words of a parity bitmap.
@@ -200,20 +203,34 @@ def rare_pairs(nodes: DataFrame, els: DataFrame, similarity: float) -> DataFrame
     each = own.select("node", F.explode("els").alias("el"))
     shared = each.groupBy("el").agg(F.count("*").alias("df")).where("df > 1")
     prefix = each.join(shared, "el").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "el"))).alias("rare"))
-    places = F.size("rare") - F.ceil(F.col("n") * similarity - 1e-6).cast("int") + 1
-    rows = own.drop("els").join(prefix, "node").where(places > 0)
-    rows = staged(rows.select("node", "comp", "size", "n", "bits", F.explode(F.slice(F.col("rare.el"), F.lit(1), places)).alias("el")), "rare-elements")
+    # the shorter of two needs even fewer: its share of the overlap that the likeness asks for is larger
+    places = lambda share: F.size("rare") - F.ceil(F.col("n") * share - 1e-6).cast("int") + 1
+    rows = own.drop("els").join(prefix, "node").where(places(similarity) > 0)
+    rows = rows.select("node", "comp", "size", "n", "bits", places(2 * similarity / (1 + similarity)).alias("few"), F.posexplode(F.slice(F.col("rare.el"), F.lit(1), places(similarity))).alias("pos", "el"))
+    rows = staged(rows.select("node", "comp", "size", "n", "bits", (F.col("pos") < F.col("few")).alias("early"), "el"), "rare-elements")
     met = rows.groupBy("el").agg(F.count("*").alias("m"), F.max(F.struct("size", "comp")).alias("big"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     met = met.where("lo <> hi").select("el", F.col("big.comp").alias("big"), F.ceil(F.col("m") / DEAL).cast("int").alias("parts"))
     rows = rows.drop("size").join(met, "el")
-    some = rows.where("comp <> big").select("el", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.struct("node", "comp", "n", "bits").alias("l"))
+    some = rows.where("comp <> big").select("el", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.struct("node", "comp", "n", "bits", "early").alias("l"))
     every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # of two nodes outside the largest component, one order is enough
     apart = (F.col("comp") != F.col("l.comp")) & ((F.col("comp") == F.col("big")) | (F.col("node") < F.col("l.node")))
-    pairs = every.join(some, ["el", "part"]).where(apart & may_be_alike("", "l.", similarity))
+    early = F.when(F.col("n") < F.col("l.n"), F.col("early")).when(F.col("n") > F.col("l.n"), F.col("l.early")).otherwise(F.col("early") & F.col("l.early"))
+    pairs = every.join(some, ["el", "part"]).where(apart & early & may_be_alike("", "l.", similarity))
     return pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, comp) with the components of links (a, b) between nodes made one."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    met = links.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
+    met = staged(met, "links")
+    if not met.limit(1).count():
+        return labels
+    tops = components(met).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return staged(labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(id_col, class_id) for each row: the smallest id of its class of near-duplicates.
 
@@ -239,20 +256,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ranked = banded.select("node", "h").join(wanted.select("node", "degree"), "node")
     leaders = ranked.groupBy("h").agg(F.min(F.struct((-F.col("degree")).alias("degree"), "node")).alias("top")).select("h", F.col("top.node").alias("b"))
     stars = banded.select(F.col("node").alias("a"), "h").join(leaders, "h").where("a <> b").select("a", "b").distinct()
-    links = staged(verified(stars, els, similarity), "links")
-    labels = components(links)
-
-    # buckets of several components
-    held = banded.select("node", "h").join(labels, "node", "left").select("node", "h", F.coalesce("comp", "node").alias("comp"))
-    several = held.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    open_ = staged(held.join(several, "h").select("node", "comp").distinct(), "open-nodes")
-    met = verified(rare_pairs(open_, els, similarity), els, similarity)
-    of = lambda c: open_.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-    met = staged(met.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "late-links")
-    tops = components(met).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    # a component without links of its own is a node
-    labels = labels.unionByName(met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("comp")))
-    labels = labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    labels = joined(wanted.select("node", F.col("node").alias("comp")), verified(stars, els, similarity))
+
+    def of_several(labels: DataFrame) -> DataFrame:
+        """(node, h, comp) of the buckets that hold several components."""
+        held = banded.select("node", "h").join(labels, "node")
+        several = held.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+        return staged(held.join(several, "h"), "open-buckets")
+
+    # the rest of a bucket against a few of its members
+    open_ = of_several(labels)
+    draw = [F.min(F.struct(F.xxhash64(F.lit(k), "h", "node").alias("x"), "node", "comp")).alias(f"d{k}") for k in range(DRAWN)]
+    drawn = open_.groupBy("h").agg(*draw).select("h", F.explode(F.array(*[F.struct(f"d{k}.node", f"d{k}.comp") for k in range(DRAWN)])).alias("d"))
+    pairs = open_.join(drawn, "h").where("comp <> d.comp").select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
+    labels = joined(labels, verified(pairs, els, similarity))
+    # what may still be alike and apart
+    open_ = of_several(labels).select("node", "comp").distinct()
+    labels = joined(labels, verified(rare_pairs(staged(open_, "open-nodes"), els, similarity), els, similarity))
 
     out = sigs.select("id", "rows", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").withColumn("node", F.coalesce("node", "id"))
     out = out.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
