@@ -36,22 +36,26 @@ def sanitize_file(name: Column) -> Column:
     return _or_unknown(F.btrim(c, F.lit("_")))
 
 
+#: White space of all of Unicode, with the separators U+001C to U+001F.
+SPACE = r"(?U:[\s\x1c-\x1f])"
+
+
 @F.pandas_udf(StringType())
 def _nfc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x).casefold())
 
 
 def path_key(path: Column) -> Column:
-    """A path in the form that sidecar rows are matched by. Only names beyond ASCII leave the JVM."""
-    c = F.replace(F.btrim(path), F.lit("\\"), F.lit("/"))
+    """A path in the form that sidecar rows are matched by. Names beyond ASCII leave the JVM; the others send a null."""
+    c = F.replace(F.regexp_replace(path, rf"^{SPACE}+|{SPACE}+$", ""), F.lit("\\"), F.lit("/"))
     c = F.regexp_replace(F.regexp_replace(c, r"^(\./)+", ""), "^/+", "")
     beyond = F.when(c.rlike(r"[^\x00-\x7F]"), c)
     return F.when(beyond.isNotNull(), _nfc_casefold(beyond)).otherwise(F.lower(c))
 
 
 def clean_text(text: Column) -> Column:
-    """White space collapsed; null unless a letter or digit is left."""
-    c = F.btrim(F.regexp_replace(text, r"\s+", " "))
+    """White space (of all of Unicode) collapsed; null unless a letter or digit is left."""
+    c = F.btrim(F.regexp_replace(text, SPACE + "+", " "))
     return F.when(c.rlike(r"[\p{L}\p{N}]"), c)
 
 

@@ -21,12 +21,18 @@ def pick_bank_item(clips: DataFrame, bank: DataFrame) -> DataFrame:
 
     ``whole`` tells the latter; a class without a bank gets null.
     """
-    names = F.array_sort(F.collect_list("file_name"))
-    whole = bank.groupBy("class_name").agg(names.alias("every"))
-    share = bank.groupBy("class_name", hash_decile_split(F.col("file_name")).alias("split")).agg(names.alias("share"))
-    d = clips.join(whole, "class_name", "left").join(share, ["class_name", "split"], "left")
-    use = F.coalesce("share", "every")
-    return d.select(*clips.columns, F.get(use, F.pmod(F.col("idx"), F.size(use)).cast("int")).alias("file_name"), (F.col("share").isNull() & F.col("every").isNotNull()).alias("whole"))
+    # each item by its place in the bank and in its split's share, so that a clip meets one row and not a list
+    split = hash_decile_split(F.col("file_name"))
+    in_bank, in_share = ["class_name"], ["class_name", "split"]
+    items = bank.select("class_name", "file_name", split.alias("split"))
+    placed = lambda keys: items.select(*keys, "file_name", (F.row_number().over(Window.partitionBy(*keys).orderBy("file_name")) - 1).cast("long").alias("place"))
+    n = items.groupBy(*in_bank).agg(F.count("*").alias("n_bank"))
+    n_share = items.groupBy(*in_share).agg(F.count("*").alias("n_share"))
+    d = clips.join(n, in_bank, "left").join(n_share, in_share, "left")
+    d = d.withColumn("place", F.pmod(F.col("idx").cast("long"), F.coalesce("n_share", "n_bank"))).withColumn("whole", F.col("n_share").isNull() & F.col("n_bank").isNotNull())
+    share = d.where(~F.col("whole")).join(placed(in_share), [*in_share, "place"], "left")
+    every = d.where("whole").join(placed(in_bank), [*in_bank, "place"], "left")
+    return share.select(*clips.columns, "file_name", "whole").unionByName(every.select(*clips.columns, "file_name", "whole"))
 
 
 def bank_spread(bank: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -45,23 +45,34 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*names).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
 
 
-def condition_subsets(spark: SparkSession, spec: list[str], active: list[str]) -> DataFrame:
-    """(label, members) for ``all``, ``loo`` (each left out), ``singletons`` and lists such as ``a+b``; a label counts once."""
+def subset_label(members: list[str], active: list[str]) -> str:
+    """``all``, ``only_x``, ``no_x`` for the one that is left out, else the names with ``+`` between."""
+    left_out = [a for a in active if a not in members]
+    if not left_out:
+        return "all"
+    if len(members) == 1:
+        return f"only_{members[0]}"
+    return f"no_{left_out[0]}" if len(left_out) == 1 else "+".join(members)
+
+
+def condition_subsets(spark: SparkSession, spec: list[str | list[str]], active: list[str]) -> DataFrame:
+    """(label, members) for each entry: ``all``, ``loo`` (each left out), ``singletons``, or a list of names.
+
+    Keywords may be in any case, ``leave_one_out`` and ``each`` are ``loo`` and ``singletons``. Empty subsets are
+    skipped, and a label counts once.
+    """
+    words = {"all": [active], "loo": [[b for b in active if b != a] for a in active], "singletons": [[a] for a in active]}
+    words |= {"leave_one_out": words["loo"], "each": words["singletons"]}
     out: dict[str, list[str]] = {}
-    for s in spec:
-        if s == "all":
-            found = {"all": active}
-        elif s == "loo":
-            found = {f"-{a}": [b for b in active if b != a] for a in active}
-        elif s == "singletons":
-            found = {a: [a] for a in active}
-        else:
-            members = s.split("+")
-            if unknown := [m for m in members if m not in active]:
-                raise ValueError(f"unknown conditions {unknown}; there are {active}")
-            found = {s: [a for a in active if a in members]}
-        for label, members in found.items():
-            out.setdefault(label, members)
+    for entry in spec:
+        if isinstance(entry, str) and entry.strip().lower() not in words:
+            raise ValueError(f"unknown keyword {entry!r}; there are {sorted(words)} and lists of names")
+        if not isinstance(entry, str) and (unknown := [m for m in entry if m not in active]):
+            raise ValueError(f"unknown conditions {unknown}; there are {active}")
+        for names in words[entry.strip().lower()] if isinstance(entry, str) else [entry]:
+            if members := [a for a in active if a in names]:
+                one = isinstance(entry, str) and len(names) == 1 and entry.strip().lower() in ("singletons", "each")
+                out.setdefault(f"only_{members[0]}" if one else subset_label(members, active), members)
     return spark.createDataFrame([(k, v) for k, v in out.items()], "label string, members array<string>")
 
 
@@ -73,9 +84,9 @@ def influence_matrix(deltas: DataFrame, subsets: DataFrame, conds: list[str]) ->
 
 
 def window_spans(spark: SparkSession, spec: list[list[tuple[float, float]]], frames: int) -> DataFrame:
-    """(window, lo, hi) in frames for spans given as fractions; spans grow, do not overlap and lie in 0..1."""
+    """(window, lo, hi) in frames, windows numbered from 1, for spans given as fractions; spans grow, do not overlap and lie in 0..1."""
     rows = []
-    for k, spans in enumerate(spec):
+    for k, spans in enumerate(spec, 1):
         edges = [x for s in spans for x in s]
         if not spans or edges[0] < 0 or edges[-1] > 1 or any(a >= b for a, b in spans) or any(x > y for x, y in zip(edges[1::2], edges[2::2], strict=False)):
             raise ValueError(f"window {k}: spans must grow within 0..1 and not overlap: {spans}")

@@ -11,6 +11,12 @@ from chunkline.functions.text import chunk_group
 SPLITS = ("train", "val", "test")
 
 
+def ratio_status(*ratios: Column) -> Column:
+    """missing, negative, sum (not 1 within 1e-6) or ok, for three columns of split ratios."""
+    lost = F.greatest(*[F.when(r.isNull() | F.isnan(r), 1).otherwise(0) for r in ratios]) == 1
+    return F.when(lost, "missing").when(F.least(*ratios) < 0, "negative").when(F.abs(sum(ratios[1:], ratios[0]) - 1) > 1e-6, "sum").otherwise("ok")
+
+
 def check_ratios(ratios: tuple[float, ...]) -> tuple[float, float, float]:
     """Three numbers of 0 or more that sum to 1 (within 1e-6)."""
     if len(ratios) != 3 or any(r < 0 for r in ratios) or abs(sum(ratios) - 1) > 1e-6:

@@ -33,9 +33,15 @@ def channel_stats(dims: DataFrame, channel: str = "d", value: str = "v", eps: fl
     return dims.groupBy(channel).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.sqrt(F.var_pop(x) + eps).alias("std"))
 
 
+def stats_status(mean: Column, std: Column) -> Column:
+    """non_finite (or missing), flat (a std of 0 or less) or ok."""
+    lost = mean.isNull() | std.isNull() | not_finite(mean) | not_finite(std)
+    return F.when(lost, "non_finite").when(std <= 0, "flat").otherwise("ok")
+
+
 def require_sound_stats(stats: DataFrame) -> DataFrame:
     """Stops if there are no channels, or one has a mean or std that is not finite, or a std of 0 or less."""
-    r = stats.agg(F.count("*").alias("n"), F.count(F.when(not_finite(F.col("mean")) | not_finite(F.col("std")) | (F.col("std") <= 0), 1)).alias("bad")).first()
+    r = stats.agg(F.count("*").alias("n"), F.count(F.when(stats_status(F.col("mean"), F.col("std")) != "ok", 1)).alias("bad")).first()
     if not r["n"] or r["bad"]:
         raise ValueError(f"{r['bad']} of {r['n']} channels have unusable statistics")
     return stats

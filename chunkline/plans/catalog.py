@@ -248,9 +248,21 @@ def d8(spark, sf):
     return S.require_assigned(S.with_split(chunks, splits(spark, sf))).select("rel_chunk", "group_key", "split")
 
 
-@query("e12_fingerprint", """WITH l AS (SELECT substr(sha1(rel_path), 1, 2) AS part, rel_path || '|' || size_bytes || '|' || mtime_ns AS line FROM fx_sources),
-p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS d, count(*) AS n FROM l GROUP BY part)
-SELECT sha256(string_agg(d, chr(10) ORDER BY part)) AS digest, sum(n)::BIGINT AS n FROM p""")
+@query("b9_ratio_check", """WITH c AS (SELECT l_partkey, (count(*) FILTER (l_returnflag = 'A'))::DOUBLE AS a, (count(*) FILTER (l_returnflag = 'N'))::DOUBLE AS n, (count(*) FILTER (l_returnflag = 'R'))::DOUBLE AS r, count(*) AS t FROM lineitem GROUP BY 1),
+s AS (SELECT l_partkey, CASE WHEN l_partkey % 5 = 0 THEN a - n WHEN l_partkey % 3 <> 0 THEN a END / t AS a, n / t AS n, CASE WHEN l_partkey % 7 = 0 THEN r / 2 ELSE r END / t AS r FROM c)
+SELECT l_partkey, CASE WHEN a IS NULL THEN 'missing' WHEN least(a, n, r) < 0 THEN 'negative' WHEN abs(a + n + r - 1) > 1e-6 THEN 'sum' ELSE 'ok' END AS status FROM s""")
+def b9(spark, sf):
+    """The shares of return flags of each part, some of them spoilt."""
+    of = lambda f: F.count(F.when(F.col("l_returnflag") == f, 1)).cast("double").alias(f.lower())
+    c = view(spark, sf, "lineitem").groupBy("l_partkey").agg(of("A"), of("N"), of("R"), F.count("*").alias("t"))
+    k = F.col("l_partkey")
+    a = F.when(k % 5 == 0, F.col("a") - F.col("n")).when(k % 3 != 0, F.col("a")) / F.col("t")
+    r = F.when(k % 7 == 0, F.col("r") / 2).otherwise(F.col("r")) / F.col("t")
+    return c.select("l_partkey", S.ratio_status(a, F.col("n") / F.col("t"), r).alias("status"))
+
+
+@query("e12_fingerprint", """WITH l AS (SELECT sha256(rel_path || '|' || size_bytes || '|' || mtime_ns) AS h FROM fx_sources)
+SELECT sha256(concat_ws('|', count(*), """ + ", ".join(f"sum(('0x' || substr(h, {i}, 12))::BIGINT)" for i in (1, 13, 25, 37, 49)) + """)) AS digest, count(*) AS n FROM l""")
 def e12(spark, sf):
     return K.fingerprint(sources(spark, sf), "rel_path", "size_bytes", "mtime_ns")
 

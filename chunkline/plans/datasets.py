@@ -56,10 +56,8 @@ def c9(spark, sf):
     return C.missing_names(chunks, stored(spark, sf), ["label", "text", "midi"])
 
 
-def signals(spark, sf, first=None):
-    """Whole clips, or their first samples."""
-    s = view(spark, sf, "fx_samples")
-    s = R.as_array(s if first is None else s.where(F.col("seq") < first), "clip_id", "seq", "x")
+def signals(spark, sf):
+    s = R.as_array(view(spark, sf, "fx_samples"), "clip_id", "seq", "x")
     return s.select(F.col("clip_id").cast("string").alias("rel_chunk"), F.col("a").alias("x"))
 
 
@@ -73,48 +71,38 @@ def registry():
 
 @query(
     "k1_frame_condition",
-    "SELECT clip_id::VARCHAR AS rel_chunk, seq // 4 AS frame, round(avg(x)::FLOAT::DOUBLE, 5) AS level, round(max(x)::FLOAT::DOUBLE, 5) AS peak FROM fx_samples JOIN (SELECT clip_id, least(count(*), 40) // 4 * 4 AS n FROM fx_samples GROUP BY 1) USING (clip_id) WHERE seq < n GROUP BY ALL",
+    "SELECT clip_id::VARCHAR AS rel_chunk, seq // 4 AS frame, round(avg(x)::FLOAT::DOUBLE, 5) AS level, round(max(x)::FLOAT::DOUBLE, 5) AS peak FROM fx_samples JOIN (SELECT clip_id, count(*) // 4 * 4 AS n FROM fx_samples GROUP BY 1) USING (clip_id) WHERE seq < n GROUP BY ALL",
 )
-def k1(spark, sf, first=40):
-    chunks = signals(spark, sf, first).withColumn("names", F.array(F.lit("energy")))
+def k1(spark, sf):
+    chunks = signals(spark, sf).withColumn("names", F.array(F.lit("energy")))
     v = lambda i: F.round(F.get("v", F.lit(i)).cast("double"), 5)
     return C.extract(chunks, registry().enabled(["energy"])).select("rel_chunk", "frame", v(0).alias("level"), v(1).alias("peak"))
 
 
-@query("k2_global_condition", "SELECT clip_id::VARCHAR AS rel_chunk, round(min(x)::FLOAT::DOUBLE, 5) AS lo, round(max(x)::FLOAT::DOUBLE, 5) AS hi FROM fx_samples WHERE seq < 40 GROUP BY 1")
-def k2(spark, sf, first=40):
-    chunks = signals(spark, sf, first).withColumn("names", F.array(F.lit("range")))
+@query("k2_global_condition", "SELECT clip_id::VARCHAR AS rel_chunk, round(min(x)::FLOAT::DOUBLE, 5) AS lo, round(max(x)::FLOAT::DOUBLE, 5) AS hi FROM fx_samples GROUP BY 1")
+def k2(spark, sf):
+    chunks = signals(spark, sf).withColumn("names", F.array(F.lit("range")))
     v = lambda i: F.round(F.get("v", F.lit(i)).cast("double"), 5)
     return C.extract(chunks, registry().enabled(["range"])).select("rel_chunk", v(0).alias("lo"), v(1).alias("hi"))
 
 
-@query("k4_add_condition", "SELECT name, count(*) AS n FROM (SELECT 'range' AS name FROM fx_samples GROUP BY clip_id UNION ALL SELECT 'energy' FROM (SELECT unnest(range(least(count(*), 40) // 4)) FROM fx_samples GROUP BY clip_id)) GROUP BY name")
-def k4(spark, sf, first=40):
-    chunks, reg = signals(spark, sf, first), registry()
+@query("k3_registry", "SELECT name, dim, per_frame, count(*) AS n, count(*) AS fitting FROM (SELECT 'range' AS name, 2 AS dim, false AS per_frame FROM fx_samples GROUP BY clip_id UNION ALL SELECT 'energy', 2, true FROM (SELECT unnest(range(count(*) // 4)) FROM fx_samples GROUP BY clip_id)) GROUP BY ALL")
+def k3(spark, sf):
+    """Every registered condition with the rows it makes, and those of its width."""
+    reg = registry()
+    rows = C.extract(signals(spark, sf).withColumn("names", F.array(*map(F.lit, reg.known))), reg.enabled(list(reg.known)))
+    known = F.broadcast(reg.dims(spark))  # a row for each registered name
+    return rows.join(known, "name").groupBy("name", "dim", "per_frame").agg(F.count("*").alias("n"), F.count(F.when(F.size("v") == F.col("dim"), 1)).alias("fitting"))
+
+
+@query("k4_add_condition", "SELECT name, count(*) AS n FROM (SELECT 'range' AS name FROM fx_samples GROUP BY clip_id UNION ALL SELECT 'energy' FROM (SELECT unnest(range(count(*) // 4)) FROM fx_samples GROUP BY clip_id)) GROUP BY name")
+def k4(spark, sf):
+    chunks, reg = signals(spark, sf), registry()
     some = chunks.where("cast(rel_chunk AS int) % 3 = 0").withColumn("names", F.array(F.lit("range")))
     before = staged(C.extract(some, reg.enabled(["range"])), "conditions")
     return C.add_conditions(chunks, before, reg.enabled(["energy", "range"])).groupBy("name").agg(F.count("*").alias("n"))
 
 
-# The same over whole clips; the three above are held to the first 40 samples by their SQL.
-@query(
-    "k1_frame_condition_whole",
-    "SELECT clip_id::VARCHAR AS rel_chunk, seq // 4 AS frame, round(avg(x)::FLOAT::DOUBLE, 5) AS level, round(max(x)::FLOAT::DOUBLE, 5) AS peak FROM fx_samples JOIN (SELECT clip_id, count(*) // 4 * 4 AS n FROM fx_samples GROUP BY 1) USING (clip_id) WHERE seq < n GROUP BY ALL",
-)
-def k1_whole(spark, sf):
-    return k1(spark, sf, None)
-
-
-@query("k2_global_condition_whole", "SELECT clip_id::VARCHAR AS rel_chunk, round(min(x)::FLOAT::DOUBLE, 5) AS lo, round(max(x)::FLOAT::DOUBLE, 5) AS hi FROM fx_samples GROUP BY 1")
-def k2_whole(spark, sf):
-    return k2(spark, sf, None)
-
-
-@query("k4_add_condition_whole", "SELECT name, count(*) AS n FROM (SELECT 'range' AS name FROM fx_samples GROUP BY clip_id UNION ALL SELECT 'energy' FROM (SELECT unnest(range(count(*) // 4)) FROM fx_samples GROUP BY clip_id)) GROUP BY name")
-def k4_whole(spark, sf):
-    return k4(spark, sf, None)
-
-
 def faulty(spark, sf):
     c = view(spark, sf, "fx_clips")
     v = F.when((F.col("clip_id") % 11 == 0) & (F.col("frame") == 1), F.slice("embedding", 1, 10)).when(

@@ -38,6 +38,13 @@ def e6(spark, sf):
     return rounded(S.require_sound_stats(S.channel_stats(view(spark, sf, "fx_latent_dims"))), "mean", "std")
 
 
+@query("e7_stats_guard", "WITH x AS (SELECT d, CASE WHEN d % 7 = 0 THEN 1.0 WHEN d % 11 <> 0 THEN v::DOUBLE END AS v FROM fx_latent_dims) SELECT d, count(*) AS n, CASE WHEN count(v) = 0 THEN 'non_finite' WHEN var_pop(v) = 0 THEN 'flat' ELSE 'ok' END AS status FROM x GROUP BY d")
+def e7(spark, sf):
+    v = F.when(F.col("d") % 7 == 0, F.lit(1.0)).when(F.col("d") % 11 != 0, F.col("v").cast("double"))
+    stats = S.channel_stats(view(spark, sf, "fx_latent_dims").withColumn("v", v), eps=0.0)
+    return stats.select("d", "n", S.stats_status(F.col("mean"), F.col("std")).alias("status"))
+
+
 @query("b19_normalize", "WITH s AS (SELECT d, avg(v::DOUBLE) AS m, sqrt(var_pop(v::DOUBLE) + 1e-6) AS sd FROM fx_latent_dims GROUP BY d) SELECT clip_id, frame, f.d, round((v - m) / sd, 5) AS z, round(v::DOUBLE, 5) AS back FROM fx_latent_dims f JOIN s ON f.d = s.d")
 def b19(spark, sf):
     dims = view(spark, sf, "fx_latent_dims").withColumn("v", F.col("v").cast("double"))
@@ -53,33 +60,17 @@ def b20(spark, sf):
     return e.join(nxt, "vec_id").select("vec_id", F.round(A.unit_similarity(F.col("embedding"), F.col("other")), 6).alias("s"))
 
 
-def firsts(spark, sf, n=8):
-    return view(spark, sf, "fx_clips").select("side", F.slice("embedding", 1, n).alias("v"))
-
-
 def wholes(spark, sf):
     return view(spark, sf, "fx_clips").select("side", F.col("embedding").alias("v"))
 
 
-@query("e10_moments", "SELECT a.side, (a.d)::INT AS i, (b.d)::INT AS j, round(covar_samp(a.v::DOUBLE, b.v::DOUBLE), 6) AS cov FROM fx_latent_dims a JOIN fx_latent_dims b ON a.clip_id = b.clip_id AND a.frame = b.frame WHERE a.d < 8 AND b.d < 8 GROUP BY ALL")
+@query("e10_moments", "SELECT a.side, (a.d)::INT AS i, (b.d)::INT AS j, round(covar_samp(a.v::DOUBLE, b.v::DOUBLE), 6) AS cov FROM fx_latent_dims a JOIN fx_latent_dims b ON a.clip_id = b.clip_id AND a.frame = b.frame GROUP BY ALL")
 def e10(spark, sf):
-    return rounded(S.covariances(S.moments(firsts(spark, sf), "side", "v"), "side"), "cov")
-
-
-@query("k6_moments_agg", "SELECT side, count(*) // 8 AS n, round(sum(v::DOUBLE), 6) AS total FROM fx_latent_dims WHERE d < 8 GROUP BY side")
-def k6(spark, sf):
-    m = S.moments(firsts(spark, sf), "side", "v")
-    return m.select("side", "n", F.round(F.aggregate("sx", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
-
-
-# The same over whole embeddings; the two above are held to eight channels by their SQL.
-@query("e10_moments_whole")
-def e10_whole(spark, sf):
     return rounded(S.covariances(S.moments(wholes(spark, sf), "side", "v"), "side"), "cov")
 
 
-@query("k6_moments_agg_whole", "SELECT side, count(*) // 64 AS n, round(sum(v::DOUBLE), 6) AS total FROM fx_latent_dims GROUP BY side")
-def k6_whole(spark, sf):
+@query("k6_moments_agg", "SELECT side, count(*) // 64 AS n, round(sum(v::DOUBLE), 6) AS total FROM fx_latent_dims GROUP BY side")
+def k6(spark, sf):
     m = S.moments(wholes(spark, sf), "side", "v")
     return m.select("side", "n", F.round(F.aggregate("sx", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
@@ -119,26 +110,26 @@ def h3(spark, sf):
 CONDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("h4_condition_subsets", """WITH k AS (SELECT list(DISTINCT metric_key ORDER BY metric_key) AS a FROM fx_scores), s AS (SELECT 'all' AS label, a AS members FROM k UNION ALL SELECT '-' || x, list_filter(a, lambda y: y <> x) FROM (SELECT a, unnest(a) AS x FROM k) UNION ALL SELECT 'click+view', ['click', 'view'])
+@query("h4_condition_subsets", """WITH k AS (SELECT list(DISTINCT metric_key ORDER BY metric_key) AS a FROM fx_scores), s AS (SELECT 'all' AS label, a AS members FROM k UNION ALL SELECT 'no_' || x, list_filter(a, lambda y: y <> x) FROM (SELECT a, unnest(a) AS x FROM k) UNION ALL SELECT 'click+view', ['click', 'view'])
 SELECT label, members, count(*) AS n FROM s JOIN fx_scores f ON list_contains(members, f.metric_key) GROUP BY ALL""")
 def h4(spark, sf):
-    s = R.condition_subsets(spark, ["all", "loo", "click+view", "all"], CONDS)
+    s = R.condition_subsets(spark, ["all", "LOO", ["click", "view"], "all"], CONDS)
     return view(spark, sf, "fx_scores").join(F.broadcast(s), F.array_contains("members", F.col("metric_key"))).groupBy("label", "members").agg(F.count("*").alias("n"))
 
 
 @query(
     "e24_influence_matrix",
-    "WITH g AS (SELECT *, CASE WHEN sample_id % 2 = 0 THEN 'all' ELSE '-view' END AS label FROM fx_scores WHERE NOT isnan(score)), c AS (SELECT label, metric_key, sample_id, max(score) FILTER (arm = 'cond') AS c, max(score) FILTER (arm = 'null') AS n FROM g GROUP BY ALL), d AS (SELECT label, metric_key, avg(c - n) AS delta FROM c WHERE c IS NOT NULL AND n IS NOT NULL GROUP BY ALL) SELECT label, "
+    "WITH g AS (SELECT *, CASE WHEN sample_id % 2 = 0 THEN 'all' ELSE 'no_view' END AS label FROM fx_scores WHERE NOT isnan(score)), c AS (SELECT label, metric_key, sample_id, max(score) FILTER (arm = 'cond') AS c, max(score) FILTER (arm = 'null') AS n FROM g GROUP BY ALL), d AS (SELECT label, metric_key, avg(c - n) AS delta FROM c WHERE c IS NOT NULL AND n IS NOT NULL GROUP BY ALL) SELECT label, "
     + ", ".join(f"round(max(delta) FILTER (metric_key = '{c}'), 6) AS \"{c}\", {'label = ' + repr('all') if c == 'view' else 'true'} AS {c}_given" for c in CONDS)
     + " FROM d GROUP BY label",
 )
 def e24(spark, sf):
-    s = view(spark, sf, "fx_scores").withColumn("label", F.when(F.col("sample_id") % 2 == 0, "all").otherwise("-view"))
+    s = view(spark, sf, "fx_scores").withColumn("label", F.when(F.col("sample_id") % 2 == 0, "all").otherwise("no_view"))
     deltas = R.pair_arms(s, ["label", "metric_key"]).select("label", F.col("metric_key").alias("cond"), "delta")
     return rounded(R.influence_matrix(deltas, R.condition_subsets(spark, ["all", "loo"], CONDS), CONDS), *CONDS)
 
 
-@query("b22_window_spans", "SELECT clip_id, w AS \"window\", count(*) AS n FROM fx_clips, (VALUES ('0_0-0.5', 0, 2), ('1_0.2-0.4+0.6-1', 1, 2), ('1_0.2-0.4+0.6-1', 3, 5)) s(w, lo, hi) WHERE frame >= lo AND frame < hi GROUP BY ALL")
+@query("b22_window_spans", "SELECT clip_id, w AS \"window\", count(*) AS n FROM fx_clips, (VALUES ('1_0-0.5', 0, 2), ('2_0.2-0.4+0.6-1', 1, 2), ('2_0.2-0.4+0.6-1', 3, 5)) s(w, lo, hi) WHERE frame >= lo AND frame < hi GROUP BY ALL")
 def b22(spark, sf):
     spans = R.window_spans(spark, [[(0, 0.5)], [(0.2, 0.4), (0.6, 1)]], 5)
     return R.in_windows(view(spark, sf, "fx_clips"), spans).groupBy("clip_id", "window").agg(F.count("*").alias("n"))
@@ -146,7 +137,7 @@ def b22(spark, sf):
 
 @query(
     "e25_windowed_eval",
-    """WITH w AS (SELECT clip_id, w, frame, embedding FROM fx_clips, (VALUES ('0_0-0.5', 0, 2), ('1_0.6-1', 3, 5)) s(w, lo, hi) WHERE frame >= lo AND frame < hi)
+    """WITH w AS (SELECT clip_id, w, frame, embedding FROM fx_clips, (VALUES ('1_0-0.5', 0, 2), ('2_0.6-1', 3, 5)) s(w, lo, hi) WHERE frame >= lo AND frame < hi)
     SELECT w AS "window", a.clip_id // 2 AS pair, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS score FROM w a JOIN w b USING (w, frame) WHERE a.clip_id % 2 = 0 AND b.clip_id = a.clip_id + 1 GROUP BY ALL""",
 )
 def e25(spark, sf):
@@ -170,13 +161,13 @@ def e26(spark, sf):
 
 @query(
     "a8_report",
-    f"""WITH {PAIRED}, s AS (SELECT label::VARCHAR AS entry, round(avg(embedding[1]::DOUBLE), 6) AS mean FROM embeddings GROUP BY 1)
+    f"""WITH {PAIRED}, s AS (SELECT label::VARCHAR AS entry, round(avg(list_avg(embedding::DOUBLE[])), 6) AS mean FROM embeddings GROUP BY 1)
     SELECT 'influence' AS part, metric_key AS entry, m.metric, m.value FROM p, LATERAL (VALUES ('cond', round(cond, 6)), ('null', round("null", 6)), ('delta', round(cond - "null", 6)), ('valid', valid::DOUBLE), ('unpaired', unpaired::DOUBLE)) m(metric, value)
     UNION ALL SELECT 'latents', entry, 'mean', mean FROM s""",
 )
 def a8(spark, sf):
     influence = rounded(R.pair_arms(view(spark, sf, "fx_scores"), ["metric_key"]), "cond", "null", "delta")
-    latents = view(spark, sf, "embeddings").groupBy("label").agg(F.round(F.avg(F.get("embedding", F.lit(0)).cast("double")), 6).alias("mean"))
+    latents = view(spark, sf, "embeddings").groupBy("label").agg(F.round(F.avg(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x) / F.size("embedding")), 6).alias("mean"))
     return R.long_report(("influence", influence), ("latents", latents))
 
 

@@ -43,20 +43,15 @@ def j2(spark, sf):
     return I.batch_log(spark, out, f"{I.SPLITS}, bucket string").select("group_key", "split")
 
 
-@query("j3_running_moments", "SELECT a.side, (a.d)::INT AS i, (b.d)::INT AS j, round(covar_samp(a.v::DOUBLE, b.v::DOUBLE), 6) AS cov FROM fx_latent_dims a JOIN fx_latent_dims b ON a.clip_id = b.clip_id AND a.frame = b.frame WHERE a.d < 8 AND b.d < 8 GROUP BY ALL")
-def j3(spark, sf, n=8):
-    rows = view(spark, sf, "fx_clips").select("side", (F.slice("embedding", 1, n) if n else F.col("embedding")).alias("v"))
+@query("j3_running_moments", "SELECT a.side, (a.d)::INT AS i, (b.d)::INT AS j, round(covar_samp(a.v::DOUBLE, b.v::DOUBLE), 6) AS cov FROM fx_latent_dims a JOIN fx_latent_dims b ON a.clip_id = b.clip_id AND a.frame = b.frame GROUP BY ALL")
+def j3(spark, sf):
+    rows = view(spark, sf, "fx_clips").select("side", F.col("embedding").alias("v"))
     src, out = in_files(rows, new_path(spark, "latents"), 4), new_path(spark, "moments")
     I.run_stream(spark, src, rows.schema, f"{out}-checkpoint", I.moments_of_batches(out, "side", "v"))
     c = covariances(I.running_moments(spark, out, "side", "string"), "side")
     return c.select("side", "i", "j", F.round("cov", 6).alias("cov"))
 
 
-@query("j3_running_moments_whole")
-def j3_whole(spark, sf):
-    return j3(spark, sf, None)
-
-
 @query("j4_running_coverage", "SELECT arm, metric_key AS cond, CASE WHEN isnan(score) THEN 'non_finite' ELSE 'ok' END AS status, count(*) AS n FROM fx_scores GROUP BY ALL")
 def j4(spark, sf):
     s = view(spark, sf, "fx_scores").select("arm", F.col("metric_key").alias("cond"), F.lit("level").alias("metric"), "sample_id", F.col("score").alias("value"))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkline.functions.text import parent, path_key, source_id
+from chunkline.sources.storage import staged
 
 #: Suffixes of sound files.
-SOUND = ("wav", "flac", "mp3", "ogg", "m4a", "aac", "aif", "aiff", "opus", "wma")
+SOUND = ("mp3", "wav", "flac", "ogg", "m4a", "wma", "mpc", "oma", "ape", "aac")
 #: Header names (trimmed, case-folded) of sidecar tables.
 FILE_NAMES, LABEL_NAMES, TEXT_NAMES = ("file", "filename", "file_name"), ("label", "class"), ("text", "description", "caption")
 
@@ -79,17 +80,17 @@ def attach_sidecar(sources: DataFrame, rows: DataFrame) -> tuple[DataFrame, Data
     src = sources.select("rel_path", path_key(F.col("rel_path")).alias("key"))
     src = src.withColumn("name", F.substring_index("key", "/", -1))
     keyed = rows.select("pos", "label", "text", path_key(F.col("file")).alias("key"))
-    by_key = keyed.join(src.select("key", "rel_path"), "key", "left")
+    by_key = staged(keyed.join(src.select("key", "rel_path"), "key", "left"), "sidecar-by-key")
     exact = by_key.where("rel_path is not null").select("rel_path", "pos", "label", "text")
     rest = by_key.where("rel_path is null").withColumn("name", F.substring_index("key", "/", -1)).drop("rel_path", "key").join(src.select("name", "rel_path"), "name", "left")
     met = exact.unionByName(rest.where("rel_path is not null").select("rel_path", "pos", "label", "text"))
 
-    def values(column: str) -> DataFrame:
-        first = met.where(F.col(column).isNotNull()).groupBy("rel_path", column).agg(F.min("pos").alias("pos"))
-        return first.groupBy("rel_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", column))), lambda x: x[column]).alias(f"{column}s"))
-
+    # both columns in one pass
+    each = met.select("rel_path", "pos", F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("label", "text")])))
+    first = each.where("value is not null").groupBy("rel_path", "kind", "value").agg(F.min("pos").alias("pos"))
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("pos", "value")))), lambda x: x["value"]).alias(f"{c}s")
     none = F.array().cast("array<string>")
-    out = sources.select("rel_path").join(values("label"), "rel_path", "left").join(values("text"), "rel_path", "left")
+    out = sources.select("rel_path").join(first.groupBy("rel_path").agg(of("label"), of("text")), "rel_path", "left")
     return out.select("rel_path", F.coalesce("labels", none).alias("labels"), F.coalesce("texts", none).alias("texts")), rest.where("rel_path is null").select("pos", "label", "text")
 
 
@@ -144,11 +145,14 @@ def companion_match(sources: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """One digest of a table's rows, whatever their order: digests of 256 parts, then the digest of those."""
-    line = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), "|")
-    part = rows.select(F.substring(F.sha1(F.col(columns[0]).cast("string")), 1, 2).alias("part"), line.alias("line"))
-    parts = part.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+    """(digest, n): one digest of a table's rows, whatever their order and parts.
+
+    A row's digest is cut into five numbers of 48 bits. Their sums over the table, with the count, make the
+    table's digest: a few numbers leave each task, whatever its size.
+    """
+    h = F.sha2(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), "|"), 256)
+    sums = [F.sum(F.conv(F.substring("h", i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in (1, 13, 25, 37, 49)]
+    return rows.select(h.alias("h")).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("digest"), F.count("*").alias("n"))
 
 
 def meta_conflicts(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from chunkline.operators.stats import merge_moments, partial_moments
 def batch_log(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """What the batches of a log hold (those before one, if asked); empty if there are none yet."""
     empty = spark.createDataFrame([], f"{schema}, batch_id long")
-    empty.where("false").drop("batch_id").write.mode("overwrite").parquet(f"{path}/batch_id=-1")
+    empty.drop("batch_id").write.mode("ignore").parquet(f"{path}/batch_id=-1")
     log = spark.read.schema(empty.schema).parquet(path)
     return log if before is None else log.where(F.col("batch_id") < before)
 
@@ -40,9 +40,11 @@ MANIFEST = "rel_path string, size_bytes long, mtime_ns long"
 CHUNKS = "rel_path string, rel_chunk string, idx int, start long"
 
 
-def manifest(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
-    """The newest row of each source."""
+def manifest(spark: SparkSession, out: str, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """The newest row of each source (of those in ``of`` only, so that a batch does not regroup the whole log)."""
     log = batch_log(spark, f"{out}/manifest", MANIFEST, before)
+    if of is not None:
+        log = log.join(of.select("rel_path").distinct(), "rel_path", "left_semi")
     return log.groupBy("rel_path").agg(F.max_by(F.struct("size_bytes", "mtime_ns"), "batch_id").alias("m")).select("rel_path", "m.*")
 
 
@@ -51,7 +53,7 @@ def ingest(out: str, size: int, overlap: int = 0) -> Callable[[DataFrame, int],
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = manifest(spark, out, batch_id)
+        known = manifest(spark, out, batch_id, batch)
         fresh = batch.join(known, ["rel_path", "size_bytes", "mtime_ns"], "left_anti").persist()
         cut = fresh.select("rel_path", F.posexplode(window_starts(F.col("size_bytes"), size, overlap)).alias("idx", "start"))
         name = F.concat(group_key(F.col("rel_path")), F.lit("__c"), F.format_string("%04d", "idx"))

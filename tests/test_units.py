@@ -119,6 +119,71 @@ def test_beats():
     assert all(map(math.isnan, S.beat_measures(np.zeros(0), ref)))
 
 
+def test_beat_values():
+    """Offsets of known size: Cemgil is exp(-offset^2 / (2 * 0.04^2)), phases within 0.175 periods keep continuity."""
+    ref = np.arange(1, 11, dtype=float)
+    f, cemgil, p, cmlt, amlt = S.beat_measures(ref, ref + 0.04)
+    assert (f, cemgil, p, cmlt, amlt) == pytest.approx((1, math.exp(-0.5), 1, 1, 1))
+    f, cemgil, p, cmlt, amlt = S.beat_measures(ref, ref + 0.25)
+    assert f == 0 and cemgil == pytest.approx(math.exp(-(0.25**2) / (2 * 0.04**2))) and p == 0 and cmlt == 0
+    f, _, p, cmlt, _ = S.beat_measures(ref, ref[:5])
+    assert f == pytest.approx(2 * 5 / 15) and p == pytest.approx(0.5) and cmlt == pytest.approx(0.5)
+    # on the off-beats: all but the last, which has no off-beat near it
+    assert S.beat_measures(ref, ref + 0.5)[3:] == pytest.approx((0, 0.9))
+
+
+def test_greedy_matching_is_maximal():
+    """On sorted lists the greedy matches are as many as a maximum matching has."""
+    rng = np.random.default_rng(8)
+
+    def most(a, b):
+        owner = {}
+
+        def seat(i, seen):
+            for j in range(len(b)):
+                if abs(a[i] - b[j]) <= 0.05 + 1e-12 and j not in seen:
+                    seen.add(j)
+                    if j not in owner or seat(owner[j], seen):
+                        owner[j] = i
+                        return True
+            return False
+
+        return sum(seat(i, set()) for i in range(len(a)))
+
+    for _ in range(200):
+        a, b = (np.sort(rng.integers(0, 100, rng.integers(0, 12)) / 50).tolist() for _ in "ab")
+        assert N.greedy_matches(a, b, 0.05) == most(a, b)
+
+
+def test_transcription_values(spark):
+    d = spark.createDataFrame([("k", 4, 5, 3)], "k string, n_ref long, n_est long, n_match long")
+    assert tuple(S.match_scores(d, ["k"]).first())[1:] == pytest.approx((3 / 5, 3 / 4, 6 / 9))
+
+
+def test_distances_in_closed_form():
+    """Of Gaussians with diagonal covariances."""
+    r = np.random.default_rng(1)
+    (m1, m2), (a, b) = r.normal(size=(2, 8)), r.uniform(0.5, 2, size=(2, 8))
+    e = 1e-6
+    fd = ((m1 - m2) ** 2).sum() + ((np.sqrt(a + e) - np.sqrt(b + e)) ** 2).sum()
+    kl = 0.5 * ((a + e) / (b + e) + (m1 - m2) ** 2 / (b + e) - 1 + np.log((b + e) / (a + e))).sum()
+    assert M.frechet(m1, np.diag(a), m2, np.diag(b)) == pytest.approx(fd, rel=1e-6)
+    assert M.gaussian_kl(m1, np.diag(a), m2, np.diag(b)) == pytest.approx(kl, rel=1e-6)
+
+
+def test_subsets(spark):
+    got = {r["label"]: r["members"] for r in P.condition_subsets(spark, ["ALL", "leave_one_out", ["c", "a"], "each", [], ["b"]], ["a", "b", "c", "d"]).collect()}
+    assert got["no_d"] == ["a", "b", "c"] and got["a+c"] == ["a", "c"] and got["only_b"] == ["b"] and got["all"] == ["a", "b", "c", "d"] and len(got) == 10
+
+
+def test_white_space_of_all_kinds(spark):
+    from chunkline.functions import text as X
+
+    d = spark.createDataFrame([("\u3000 a\u00a0\u2003b\x1f\tc\n", "\u00a0./Dir/É.wav \u2009")], "t string, p string")
+    r = d.select(X.clean_text(F.col("t")).alias("t"), X.path_key(F.col("p")).alias("p")).first()
+    assert tuple(r) == ("a b c", "dir/é.wav")
+
+
 def gaussians(d=32):
     r = np.random.default_rng(0)
     out = []
@@ -168,7 +233,7 @@ def test_windows_must_grow(spark):
 
 def test_unknown_subset(spark):
     with pytest.raises(ValueError):
-        P.condition_subsets(spark, ["a+z"], ["a", "b"])
+        P.condition_subsets(spark, [["a", "z"]], ["a", "b"])
 
 
 def test_smoothing_keeps_cubics(spark):
