@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows. DataFrame functions only.
 
 Prefix sums of turn tokens cut a conversation into windows at turn borders. A window shows the system turn
-again, then as much of the turns just before it as the history budget allows, then its own turns. Repeated
-turns are marked and lie outside the loss mask, so each assistant text is a target once.
+again, then as much of the end of the window before it as the history budget allows, then its own turns; all
+of it within the budget. Repeated turns are marked and lie outside the loss mask, so each assistant text is a
+target once.
 
 Template: ``<turn:ROLE>\\nTEXT\\n</turn>\\n``; a repeated turn opens with ``<again:ROLE>``. Inside roles and
 texts ``&`` and ``<`` become ``&amp;`` and ``&lt;`` (in roles ``>`` and a line feed too), so no text can hold
@@ -43,34 +44,45 @@ def unescape_role(c: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """Four code points a token, and four tokens of marks a turn."""
+    """An estimate: four code points a token, and four tokens of marks a turn. Any Column function of the text can stand for it."""
     return F.lit(4) + F.ceil(F.length(text) / 4)
 
 
 def format_windows(conversations: DataFrame, *, budget: int = 512, history: int = 128, tokens=token_estimate) -> DataFrame:
-    """(conv_id, window, formatted, loss: array of [start, end) in code points, n_new) for each window.
+    """(conv_id, window, formatted, loss: array of [start, end) in code points, n_new, n_tokens) for each window.
+
+    The budget holds the system turn, the history and the window's own turns. What the first two may take is
+    set aside; own turns are dealt by halves of the rest: those whose prefix sums begin in one half share a
+    window, and a turn over half is a window of its own. So a window goes over the budget only where one own
+    turn, with the system turn, does; turns are never cut.
 
     Input: (conv_id, turn, role, text), other columns are ignored. Null roles and texts are empty; turns
-    with one number (or none) are ordered by role and text. A turn over the budget is a window of its own
-    size, never cut. An empty table gives an empty table. A null conv_id is one conversation.
+    with one number (or none) are ordered by role and text. A null conv_id is one conversation. An empty table
+    gives an empty table. The turns of one conversation are sorted in one task.
     """
     conv = ["conv_id"]
     in_order = Window.partitionBy(*conv).orderBy("turn", "role", "text")
     by_ord = Window.partitionBy(*conv).orderBy("ord")
     t = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("ord", F.row_number().over(in_order)).withColumn("n", tokens(F.col("text")))
-    t = t.withColumn("before", F.coalesce(F.sum("n").over(by_ord.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    t = t.withColumn("span", F.floor(F.col("before") / budget))
-    later = Window.partitionBy(*conv).orderBy(F.col("span").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("next_span", F.min("span").over(later)).withColumn("next_start", F.min("before").over(later))
+    t = t.withColumn("ord", F.row_number().over(in_order)).withColumn("n", tokens(F.col("text")).cast("long"))
     system = (F.col("ord") == 1) & (F.col("role") == "system")
+    t = t.withColumn("before", F.sum("n").over(by_ord) - F.col("n"))
+    t = t.withColumn("head", F.coalesce(F.sum(F.when(system, F.col("n"))).over(Window.partitionBy(*conv)), F.lit(0)))
+    t = t.withColumn("half", F.greatest(F.floor((F.lit(budget - history) - F.col("head")) / 2), F.lit(1)))
+    t = t.withColumn("big", F.col("n") > F.col("half")).withColumn("bin", F.floor(F.col("before") / F.col("half")))
+    new = F.col("big") | F.coalesce(F.lag("big").over(by_ord) | (F.lag("bin").over(by_ord) != F.col("bin")), F.lit(True))
+    t = t.withColumn("span", F.sum(new.cast("long")).over(by_ord) - 1)
+    t = t.withColumn("own", F.sum("n").over(Window.partitionBy("conv_id", "span")))
+    following = Window.partitionBy(*conv).orderBy("span").rangeBetween(1, 1)
+    t = t.withColumn("next_start", F.min("before").over(following)).withColumn("next_own", F.min("own").over(following))
+    left = F.least(F.lit(history), F.lit(budget) - F.col("head") - F.col("next_own"))
+    again = (F.col("next_start") - F.col("before") <= left) & ~system
     shown = F.array(F.struct(F.col("span").alias("window"), F.lit(2).alias("part")))
-    again = (F.col("next_start") - F.col("before") <= history) & ~system
-    shown = F.when(again, F.concat(shown, F.array(F.struct(F.col("next_span").alias("window"), F.lit(1).alias("part"))))).otherwise(shown)
-    rows = t.select("conv_id", "ord", "role", "text", F.inline(shown))
+    shown = F.when(again, F.concat(shown, F.array(F.struct((F.col("span") + 1).alias("window"), F.lit(1).alias("part"))))).otherwise(shown)
+    rows = t.select("conv_id", "ord", "role", "text", "n", F.inline(shown))
     spans = t.where("span > 0").select("conv_id", F.col("span").alias("window")).distinct()
-    heads = t.where(system).select("conv_id", "ord", "role", "text")
-    heads = heads.join(spans, heads["conv_id"].eqNullSafe(spans["conv_id"])).select(heads["conv_id"], "ord", "role", "text", "window", F.lit(0).alias("part"))
+    heads = t.where(system).select("conv_id", "ord", "role", "text", "n")
+    heads = heads.join(spans, heads["conv_id"].eqNullSafe(spans["conv_id"])).select(heads["conv_id"], "ord", "role", "text", "n", "window", F.lit(0).alias("part"))
     rows = rows.unionByName(heads)
 
     mark = F.when(F.col("part") == 2, "<turn:").otherwise("<again:")
@@ -81,13 +93,14 @@ def format_windows(conversations: DataFrame, *, budget: int = 512, history: int
     target = (F.col("part") == 2) & (F.col("role") == "assistant")
     rows = rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("body"))
     piece = F.struct("part", "ord", F.concat("head", "body", F.lit(END)).alias("shown"), F.when(target, F.struct("start", "end")).alias("loss"))
-    out = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.count(F.when(F.col("part") == 2, 1)).alias("n_new"))
+    out = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.count(F.when(F.col("part") == 2, 1)).alias("n_new"), F.sum("n").alias("n_tokens"))
     return out.select(
         "conv_id",
         "window",
         F.array_join(F.col("p.shown"), "").alias("formatted"),
         F.filter(F.col("p.loss"), lambda x: x.isNotNull()).alias("loss"),
         "n_new",
+        "n_tokens",
     )
 
 
@@ -140,15 +153,21 @@ WITH c AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord,
     4 + ceil(length(text) / 4)::BIGINT AS n FROM c
 ), b AS (
-  SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o
-), s AS (SELECT *, floor(before / 512)::BIGINT AS span FROM b
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY ord) - n AS before,
+    coalesce(sum(n) FILTER (ord = 1 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS head FROM o
+), h AS (SELECT *, greatest(floor((512 - 128 - head) / 2)::BIGINT, 1) AS half FROM b
+), g AS (SELECT *, n > half AS big, floor(before / half)::BIGINT AS bin FROM h
+), w AS (
+  SELECT *, big OR coalesce(lag(big) OVER v OR lag(bin) OVER v <> bin, true) AS fresh FROM g WINDOW v AS (PARTITION BY conv_id ORDER BY ord)
+), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS span FROM w
+), x AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, span) AS own FROM s
 ), e AS (
-  SELECT *, min(span) OVER w AS next_span, min(before) OVER w AS next_start FROM s
-  WINDOW w AS (PARTITION BY conv_id ORDER BY span DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, min(own) OVER y AS next_own, min(before) OVER y AS next_start FROM x
+  WINDOW y AS (PARTITION BY conv_id ORDER BY span RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING)
 ), r AS (
   SELECT conv_id, role, text, 5 AS mark FROM e
   UNION ALL SELECT conv_id, role, text, 6 FROM e
-    WHERE next_start - before <= 128 AND NOT (ord = 1 AND role = 'system')
+    WHERE next_start - before <= least(128, 512 - head - next_own) AND NOT (ord = 1 AND role = 'system')
   UNION ALL SELECT e.conv_id, role, text, 6 FROM e JOIN (SELECT DISTINCT conv_id, span FROM e WHERE span > 0) x
     ON e.conv_id IS NOT DISTINCT FROM x.conv_id WHERE ord = 1 AND role = 'system'
 ), f AS (

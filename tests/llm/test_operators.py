@@ -212,6 +212,23 @@ def test_chat_round_trip(spark):
     assert chat.format_windows(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("budget", "history"), [(512, 128), (60, 20), (120, 0), (30, 29)])
+def test_chat_windows_keep_the_budget(spark, budget, history):
+    """All windows of the table and of turns of 39: over the budget only where one own turn, with the system turn, is."""
+    rows = [(-1, i, "user" if i % 2 else "assistant", "x" * 140) for i in range(9)] + [(-2, 0, "system", "s" * 160)] + [(-2, i, "user", "y" * (i * 7 % 90)) for i in range(1, 200)]
+    d = table(spark, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    windows = chat.format_windows(d, budget=budget, history=history)
+    size = lambda t: 4 + -(-len(t["text"]) // 4)
+    seen = collections.Counter()
+    for r in chat.read_windows(windows).join(windows.select("conv_id", "window", "n_new", "n_tokens"), ["conv_id", "window"]).collect():
+        own = [t for t in r["turns"] if not t["again"]]
+        total = sum(map(size, r["turns"]))
+        assert total == r["n_tokens"] and len(own) == r["n_new"] > 0 and (total <= budget or len(own) == 1 and all(t["role"] == "system" for t in r["turns"] if t["again"])), r
+        assert sum(size(t) for t in r["turns"] if t["again"] and t["role"] != "system") <= history
+        seen[r["conv_id"]] += len(own)
+    assert seen == collections.Counter(x["conv_id"] for x in d.collect())
+
+
 # 4
 
 
