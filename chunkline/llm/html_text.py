@@ -1,10 +1,13 @@
 """Main text of web pages by differencing with the nearest URLs of the host.
 
-A page becomes text blocks in page order. What its marks name as a menu, header, footer, sidebar, notice,
-advert, form or comment list is left out; an ``article`` or ``main`` element, where there is one, holds the
-text. In a page without such an element the blocks are aligned with those of the pages before and after it
-in the host's URL order by longest common subsequence, and shared blocks go (unless most of the page is
-shared: then the other page is a copy, not a frame).
+A page becomes text blocks in page order, each kept, left out or open. Blocks of an ``article`` or ``main``
+element are kept, and those around it left out; so are those in elements whose tag, role or name says menu,
+header, footer, sidebar, notice, advert, form or comment list. Open are the blocks of an element whose name only
+has such a word in it (``related-work`` may be text), and all blocks of pages without an article or main element.
+
+The blocks of every page are aligned with those of the pages before and after it in the host's URL order by
+longest common subsequence. An open block that stands in both (in one, at either end of a host) is the host's,
+not the page's, and goes. A neighbour with the same blocks throughout is a copy and tells nothing.
 """
 
 from __future__ import annotations
@@ -20,79 +23,103 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chunkline.llm.common import staged
+from chunkline.llm.common import in_parts, staged
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea title math object canvas".split())
+RAW = frozenset("script style noscript template svg iframe textarea title object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split()
 )
 LEFT_OUT = frozenset("nav aside footer form head menu dialog button select fieldset".split())
-#: Words of class and id names (split at marks) that name a frame around the text.
+#: Words of class and id names (split at marks) that name a frame around the text, and those that do so as a whole name only.
 FRAME_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert newsletter subscribe subscription signup "
-    "popup modal overlay sidebar menu nav navbar navigation navigator breadcrumb breadcrumbs topbar footer comment comments commentlist disqus respond reply replies related recommended "
-    "share sharing social widget widgets pagination pager skip search login toolbar".split()
+    "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored cookie cookies consent gdpr newsletter "
+    "popup modal sidebar menu nav navbar navigation navigator breadcrumb breadcrumbs topbar footer comment comments commentlist disqus pagination pager toolbar".split()
+)
+WHOLE_NAMES = frozenset(
+    "promo promotion notice alert subscribe subscription signup overlay respond reply replies related recommended share sharing social widget widgets skip search login".split()
 )
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def is_frame(tag: str, attrs: str, in_text: bool) -> bool:
+#: What becomes of a block.
+OUT, OPEN, KEPT = 0, 1, 2
+#: Of an open block in an article: the share of its text in links from which it is a list of links.
+LINKS = 0.5
+
+
+def standing(tag: str, attrs: str, in_text: bool) -> int:
+    """OUT for an element that is a frame, OPEN for one that may be, else KEPT."""
     if tag in LEFT_OUT or (tag == "header" and not in_text):
-        return True
+        return OUT
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return KEPT
+    found = KEPT
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return OUT
         if name == "role" and value.lower() in FRAME_ROLES:
-            return True
+            return OUT
         if name in ("class", "id"):
             words = {w.lower() for w in SPLIT_NAME.split(value) if w}
-            if words & FRAME_NAMES or (not in_text and "header" in words):
-                return True
-    return False
+            if words & FRAME_NAMES or {w.lower() for w in value.split()} & WHOLE_NAMES or (not in_text and "header" in words):
+                return OUT
+            if words & WHOLE_NAMES and tag in BLOCK:
+                found = OPEN
+    return found
 
 
-def blocks_of(page: str | None) -> tuple[bool, list[str]]:
-    """Whether the page has an article or main element, and the text blocks of the page (of that element)."""
+def blocks_of(page: str | None) -> list[tuple[int, str]]:
+    """(OUT, OPEN or KEPT, text) of each text block of a page."""
     page = page or ""
-    stack: list[tuple[str, bool, bool]] = []  # element, left out, inside the main text
-    found: list[tuple[bool, str]] = []
+    stack: list[tuple[str, int, bool]] = []  # element, standing, inside the main text
+    found: list[tuple[int, bool, str]] = []
     held: list[str] = []
-    at, out, inside, has_main = 0, False, False, False
+    aside: list[str] = []  # of frames within a block
+    at, now, inside, has_main, links, linked = 0, KEPT, False, False, 0, 0
 
     def close_block() -> None:
-        if held:
-            if text := " ".join(entities.unescape("".join(held)).split()):
-                found.append((inside, text))
-            held.clear()
+        nonlocal linked
+        for kind, parts in ((OUT, aside), (now or KEPT, held)):
+            if parts:
+                if text := " ".join(entities.unescape("".join(parts)).split()):
+                    listed = kind == OPEN and linked > LINKS * sum(map(len, parts))
+                    found.append((OUT if listed else kind, inside, text))
+                parts.clear()
+        linked = 0
+
+    def put(text: str) -> None:
+        nonlocal linked
+        (held if now else aside).append(text)
+        linked += len(text) if links and now else 0
 
     while True:
         m = TOKEN.search(page, at)
-        if (m.start() if m else len(page)) > at and not out:
-            held.append(page[at : m.start() if m else len(page)])
+        if (m.start() if m else len(page)) > at:
+            put(page[at : m.start() if m else len(page)])
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()
-        if m[0].startswith("<![CDATA[") and not out:
-            held.append(entities.escape(m[0][9:].removesuffix("]]>")))
+        if m[0].startswith("<![CDATA["):
+            put(entities.escape(m[0][9:].removesuffix("]]>")))
         if not tag:
             continue
         if tag in BLOCK:
             close_block()
-        elif tag in ("br", "td", "th") and not out:
-            held.append(" ")
+        elif tag in ("br", "td", "th"):
+            put(" ")
+        elif tag == "a":
+            links = 0 if m[1] else 1
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if depth >= 0:
                 del stack[depth:]
-                out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                now, inside = (stack[-1][1], stack[-1][2]) if stack else (KEPT, False)
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end and not m[0].endswith("/>") else at if m[0].endswith("/>") else len(page)
@@ -100,13 +127,13 @@ def blocks_of(page: str | None) -> tuple[bool, list[str]]:
             if tag == "p":  # a paragraph ends where the next begins
                 while stack and stack[-1][0] == "p":
                     stack.pop()
-                    out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out = out or is_frame(tag, m[3], inside)
-            if not out and tag in ("article", "main"):
+                    now, inside = (stack[-1][1], stack[-1][2]) if stack else (KEPT, False)
+            now = min(now, standing(tag, m[3], inside))
+            if now and tag in ("article", "main"):
                 inside = has_main = True
-            stack.append((tag, out, inside))
+            stack.append((tag, now, inside))
     close_block()
-    return has_main, [t for i, t in found if i or not has_main]
+    return [((kind if i else OUT) if has_main else min(kind, OPEN), t) for kind, i, t in found]
 
 
 def prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
@@ -178,53 +205,53 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return found.unionByName(pages.sparkSession.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], kind))
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy_share: float = 0.6) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) for each page; blocks are joined by an empty line.
 
     Null and empty pages (and pages of frames only) have an empty text. A null url belongs to the host ''.
-    Rows with one id and url are neighbours like any others. An empty table gives an empty table.
+    Rows with one id and url are neighbours like any others; repeated rows each come back. Pages of any length
+    are read whole. An empty table gives an empty table. Other columns are ignored, whatever their names.
     """
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("row", F.struct("id", F.xxhash64("url", "html").alias("h")))
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [blocks_of(t) for t in b["html"]]
-            open_ = [i for i, (main, _) in enumerate(got) if not main]
-            out = b.iloc[open_][["id", "h", "url"]].copy()
-            if open_:
-                out["lines"] = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t in got[i][1]] for i in open_]
-                out["sizes"] = [[len(t) for t in got[i][1]] for i in open_]
+        for batch in batches:
+            for b in in_parts(batch, batch["html"].str.len().fillna(0)):
+                out = b[["id", "h", "url"]].copy()
+                got = [blocks_of(t) for t in b["html"]]
+                out["lines"] = [[xxhash.xxh64_intdigest(t) - (1 << 63) for _, t in x] for x in got]
+                out["open"] = [[i for i, (k, _) in enumerate(x) if k == OPEN] for x in got]
                 yield out
 
-    # of pages without a main element: hashes of their blocks
-    framed = rows.select("id", "row.h", "url", "html").mapInPandas(lines, f"id {kind}, h long, url {url_kind}, lines array<long>, sizes array<int>")
-    framed = staged(framed.select(F.struct("id", "h").alias("row"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "lines", "sizes"), "page-lines")
-    near = neighbours(framed.select("row", "host", "path"))
-    own, other = framed.select("row", "lines", "sizes"), framed.select(F.col("row").alias("near"), F.col("lines").alias("others"))
+    # hashes of the blocks of every page, and the places of open ones
+    lined = rows.select("id", "row.h", "url", "html").mapInPandas(lines, f"id {kind}, h long, url {url_kind}, lines array<long>, open array<int>")
+    lined = staged(lined.select(F.struct("id", "h").alias("row"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "lines", "open"), "page-lines")
+    near = neighbours(lined.select("row", "host", "path").dropDuplicates(["row"]))
+    own, other = lined.dropDuplicates(["row"]).select("row", "lines", "open"), lined.dropDuplicates(["row"]).select(F.col("row").alias("near"), F.col("lines").alias("others"))
     paired = near.join(own, "row").join(other, "near")
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows_ = []
-            for a, z, n in zip(b["lines"], b["others"], b["sizes"], strict=True):
-                at = common_places(list(a), list(z))
-                rows_.append(at if sum(n[i] for i in at) <= copy_share * sum(n) else [])
-            yield pd.DataFrame({"id": b["id"], "h": b["h"], "places": rows_})
+            met = [common_places(list(a), list(z)) if len(o) else [] for a, z, o in zip(b["lines"], b["others"], b["open"], strict=True)]
+            tells = [len(o) > 0 and (len(m) < len(a) or len(m) < len(z)) for m, a, z, o in zip(met, b["lines"], b["others"], b["open"], strict=True)]
+            open_ = [[i for i in m if i in set(o)] for m, o in zip(met, b["open"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "places": open_})[np.array(tells, bool)]
 
-    gone = paired.select("row.id", "row.h", "lines", "others", "sizes").mapInPandas(shared, f"id {kind}, h long, places array<int>")
-    gone = gone.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("gone"))
-    joined = rows.select("id", "row.h", "url", "html").join(gone, ["id", "h"], "left")
+    gone = paired.select("row.id", "row.h", "lines", "others", "open").mapInPandas(shared, f"id {kind}, h long, places array<int>")
+    met = F.collect_list("places").alias("met")
+    gone = gone.groupBy("id", "h").agg(met).select(F.struct("id", "h").alias("row"), F.reduce(F.slice("met", 2, 9), F.get("met", F.lit(0)), lambda a, x: F.array_intersect(a, x)).alias("gone"))
+    joined = rows.join(gone.where(F.size("gone") > 0), "row", "left")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, cut in zip(b["html"], b["gone"], strict=True):
-                main, found = blocks_of(t)
-                cut = set() if main or cut is None else set(cut)
-                out.append("\n\n".join(x for i, x in enumerate(found) if i not in cut))
-            yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": out, "n_chars": [len(t) for t in out]})
+        for batch in batches:
+            for b in in_parts(batch, batch["html"].str.len().fillna(0)):
+                out = []
+                for t, cut in zip(b["html"], b["gone"], strict=True):
+                    cut = set() if cut is None else set(cut)
+                    out.append("\n\n".join(x for i, (k, x) in enumerate(blocks_of(t)) if k and i not in cut))
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "url": b["url"].to_numpy(), "text": out, "n_chars": [len(t) for t in out]})
 
     done = joined.select("id", "url", "html", "gone").mapInPandas(texts, f"id {kind}, url {url_kind}, text string, n_chars long")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

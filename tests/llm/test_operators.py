@@ -460,6 +460,24 @@ def test_frames_of_a_host_go(spark):
     assert all(got[i] == f"Unique text {i} here\n\nAnd {i} more" for i in range(40)) and got[99].startswith("My Site")
 
 
+def test_open_blocks_in_articles(spark):
+    """Names that only hold a word of frames: text stays, what neighbours share and lists of links go."""
+    page = lambda i: f"""<html><body><nav>Menu</nav><article><h1>Title {i}</h1><p class="social-history">Social history of town {i}</p>
+<div class="related-work">Work {i} that is related</div><p>Energy <math>E = m{i}</math> holds</p><div class="share-buttons">Share this page</div>
+<div class="related-links"><a href="/a">One story {i}</a> <a href="/b">Another {i}</a></div><div class="notice">Old notice {i}</div><p>Shared quotation</p></article></body></html>"""
+    rows = [(i, f"http://a.com/{i:03d}", page(i)) for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(7):
+        assert got[i].split("\n\n") == [f"Title {i}", f"Social history of town {i}", f"Work {i} that is related", f"Energy E = m{i} holds", "Shared quotation"]
+
+
+def test_copies_of_a_page_are_no_frame(spark):
+    page = "<html><body><div>Site</div><p>The one text of both</p></body></html>"
+    rows = [(i, f"http://a.com/{i}", page) for i in range(2)]
+    got = {r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"Site\n\nThe one text of both"}
+
+
 def test_common_places_at_every_length():
     """One early line more must not shift lines that stand in both more than a thousand times."""
     lines = [7] * 1100
