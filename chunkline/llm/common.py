@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,28 +19,34 @@ AT_ONCE = 4_000_000
 BITS = 1 << 27
 
 
+#: Spark's setting that removes the shuffle files of a query when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
+
+    The shuffle files behind it go as soon as it is written.
+    """
     spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
+    path, was = new_path(spark, name), spark.conf.get(TIDY, "false")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    spark.conf.set(TIDY, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(TIDY, was)
     return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Removes staged tables that nothing reads any more, and lets Spark drop the shuffle files of finished jobs.
-
-    Those go when the driver's garbage is collected, which else may come after the disk is full.
-    """
+    """Removes staged tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for t in tables:
         # a staged table is one folder
         folder = jvm.org.apache.hadoop.fs.Path(t.inputFiles()[0]).getParent() if t.inputFiles() else None
         if folder is not None:
             folder.getFileSystem(conf).delete(folder, True)
-    gc.collect()
-    jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

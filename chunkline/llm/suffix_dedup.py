@@ -122,7 +122,7 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     spark, ctx = docs.sparkSession, ["key", "ctx"]
 
     def kept(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
-        """Written; the shuffle files behind it and the tables that are done with go."""
+        """Written; the tables that are done with go."""
         out = staged(df, name)
         release(spark, *done)
         return out
@@ -155,10 +155,11 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     sig, lo = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     n, off = F.shiftright(F.col("shape").cast("int"), 8), F.col("shape").cast("int").bitwiseAND(F.lit(255))
     wanted = held.join(several, "key").groupBy("id", sig.alias("sig")).agg(F.collect_list(F.struct(*ctx, lo.alias("lo"), n.alias("n"), off.alias("off"))).alias("c"))
+    wanted = kept(wanted, "wanted-contexts")
     whole = docs.join(wanted, ["id", "sig"]).select("id", "sig", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "c")
     # rows of one id and text give their contexts once each
     cut = whole.select("id", "text", F.inline("c")).select("id", *ctx, "n", "off", F.substring("text", F.col("lo") + 1, F.col("n") + (length - 1)).alias("data"))
-    bytes_ = kept(cut, "context-bytes")
+    bytes_ = kept(cut, "context-bytes", wanted)
     side = (length - DIGIT) // 2
     reach = F.length("data") - F.col("off") - DIGIT
     left = F.when(F.col("off") >= side, F.xxhash64("key", F.lit("l"), F.substring("data", F.col("off") - (side - 1), F.lit(side))))
