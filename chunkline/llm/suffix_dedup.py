@@ -35,6 +35,8 @@ from chunkline.llm.wordhash import chained, mix
 DIGIT, STEP = 16, 5
 #: Bytes that are worked on at once.
 SEGMENT = 1 << 17
+#: Parts in which the spans are gathered.
+SLICES = 3
 NO_ID = -(2**63)
 
 
@@ -181,11 +183,20 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     # contexts that take something away
     verdict = held.join(later, ctx, "left").where("m > 1 or js is not null").select(*ctx, F.col("id").alias("least"), "js")
     verdict = kept(verdict, "verdicts", held, strings)
-    found = rows.join(verdict, ctx).select("id", sig.alias("sig"), lo.alias("lo"), n.alias("n"), "least", "js")
-    all_ = F.array(span(F.col("lo"), F.col("lo") + F.col("n") + (length - 1)))
-    some = F.transform("js", lambda j: span(F.col("lo") + j, F.col("lo") + j + length))
-    spans = found.where("id > least or js is not null").select("id", "sig", F.explode(F.when(F.col("id") > F.col("least"), all_).otherwise(some)).alias("span"))
-    return kept(spans.groupBy("id", "sig").agg(F.collect_list("span").alias("spans")), "spans", rows, verdict)
+    # a slice of the keys at a time, so that the shuffle files of one slice are on disk
+    parts = []
+    for k in range(SLICES):
+        mine = F.pmod("key", F.lit(SLICES)) == k
+        found = rows.where(mine).join(verdict.where(mine), ctx).where("id > least or js is not null")
+        all_ = F.array(span(lo, lo + n + (length - 1)))
+        some = F.transform("js", lambda j: span(lo + j, lo + j + length))
+        spans = found.select("id", sig.alias("sig"), F.explode(F.when(F.col("id") > F.col("least"), all_).otherwise(some)).alias("span"))
+        parts.append(kept(spans.groupBy("id", "sig").agg(F.collect_list("span").alias("spans")), "spans"))
+    release(spark, rows, verdict)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("id", "sig").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
