@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chunkline.sources.storage import new_path
 
 #: Code points of texts that a task works on at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 #: Bits of a broadcast filter (16 MB, at every size of input).
 BITS = 1 << 27
 

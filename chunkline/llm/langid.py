@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkline.llm.common import in_parts, staged
+from chunkline.llm.common import in_parts, slices, staged
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -230,8 +230,7 @@ def identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                b = batch.slice(a, 1000)
+            for b in slices(batch, text_col):
                 pred, score = scorer.predict(b.column(text_col).to_pylist())
                 yield b.filter(pa.array((pred != "und") & (score >= least)))
 
