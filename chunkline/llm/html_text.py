@@ -5,7 +5,7 @@ element are kept, and those around it left out; so are those in elements whose t
 header, footer, sidebar, notice, advert, form or comment list. Open are the blocks of an element whose name only
 has such a word in it (``related-work`` may be text), and all blocks of pages without an article or main element.
 
-The blocks of every page are aligned with those of the pages before and after it in the host's URL order by
+The blocks of a page with open ones are aligned with those of the pages before and after it in the host's URL order by
 longest common subsequence. An open block that stands in both (in one, at either end of a host) is the host's,
 not the page's, and goes. A neighbour with the same blocks throughout is a copy and tells nothing.
 """
@@ -242,7 +242,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     gone = paired.select("row.id", "row.h", "lines", "others", "open").mapInPandas(shared, f"id {kind}, h long, places array<int>")
     met = F.collect_list("places").alias("met")
     gone = gone.groupBy("id", "h").agg(met).select(F.struct("id", "h").alias("row"), F.reduce(F.slice("met", 2, 9), F.get("met", F.lit(0)), lambda a, x: F.array_intersect(a, x)).alias("gone"))
-    joined = rows.join(gone.where(F.size("gone") > 0), "row", "left")
+    # written before the pages are joined: the shuffle files of both need not be on disk at once
+    gone = staged(gone.where(F.size("gone") > 0), "shared-blocks")
+    joined = rows.join(gone, "row", "left")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
