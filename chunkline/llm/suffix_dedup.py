@@ -166,8 +166,8 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     reach = F.length("data") - F.col("off") - DIGIT
     left = F.when(F.col("off") >= side, F.xxhash64("key", F.lit("l"), F.substring("data", F.col("off") - (side - 1), F.lit(side))))
     right = F.when(reach >= side, F.xxhash64("key", F.lit("r"), F.substring("data", F.col("off") + (DIGIT + 1), F.lit(side))))
-    open_ = _met_again(bytes_.select(*ctx, F.explode(F.array_compact(F.array(left, right))).alias("h"))).distinct()
-    near = kept(bytes_.join(open_, ctx).dropDuplicates(ctx), "open-contexts", bytes_)
+    open_ = kept(_met_again(bytes_.select(*ctx, F.explode(F.array_compact(F.array(left, right))).alias("h"))).distinct(), "open-keys")
+    near = kept(bytes_.join(open_, ctx).dropDuplicates(ctx), "open-contexts", bytes_, open_)
     # 3. digit: strings whose offsets lie in one run of STEP share all but STEP - 1 of their bytes
     first, last = F.greatest(F.ceil((F.col("off") - F.col("n") + 2 - STEP) / STEP), F.lit(0)).cast("int"), F.floor(F.col("off") / STEP).cast("int")
     cores = near.select(*ctx, "data", "off", F.explode(F.sequence(first, last)).alias("k"))
@@ -179,10 +179,12 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     text = F.substring("data", F.col("j") + 1, F.lit(length))
     strings = kept(strings.select(*ctx, "id", "j", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")), "strings", near)
     equal = strings.groupBy("h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("h1", "h2", "a")
+    equal = kept(equal, "equal-strings")
     later = strings.join(equal, ["h1", "h2"]).where("a < id").groupBy(*ctx).agg(F.collect_list("j").alias("js"))
+    later = kept(later, "later-strings", strings, equal)
     # contexts that take something away
     verdict = held.join(later, ctx, "left").where("m > 1 or js is not null").select(*ctx, F.col("id").alias("least"), "js")
-    verdict = kept(verdict, "verdicts", held, strings)
+    verdict = kept(verdict, "verdicts", held, later)
     # a slice of the keys at a time, so that the shuffle files of one slice are on disk
     parts = []
     for k in range(SLICES):
