@@ -15,23 +15,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkline.llm.common import in_parts, slices, staged
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 START = "▁"
-#: Letters of a piece at most; letters of a word that are summed at once (longer words are cut into such runs).
-PIECE, RUN = 10, 48
+#: Places of a word that are summed between two rescalings.
+BLOCK = 32
 #: Numbers of the alpha values are kept near 1 by this factor a letter.
 SCALE = 16.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    found = LETTERS.findall(text.lower()) if text else []
-    return found if not found or max(map(len, found)) <= RUN else [w[i : i + RUN] for w in found for i in range(0, len(w), RUN)]
+    """Runs of letters, lower-cased; numerals such as ² or Ⅷ are no letters."""
+    found = WORDS.findall(text.lower()) if text else []
+    return found if all(map(str.isalpha, found)) else [x for w in found for x in LETTERS.findall(w)]
 
 
 class Pieces:
@@ -42,7 +44,8 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         every = {sp.id_to_piece(i) for i in range(sp.get_piece_size())}
-        kept = sorted(p for p in every if 0 < len(p) <= PIECE and LETTERS.fullmatch(p.removeprefix(START) or "a") and p == p.lower())
+        kept = sorted(p for p in every if p and (p.removeprefix(START) or "a").isalpha() and p == p.lower())
+        self.longest = max(map(len, kept), default=1)
         self.n = len(kept) + 1  # the last stands for any letter that is no piece
         by_len: dict[int, list[tuple[int, int]]] = {}
         for i, p in enumerate(kept):
@@ -58,11 +61,10 @@ class Pieces:
             out.append((out[-1][:, :-1] ^ codes[:, k:]) * MIX + (out[-1][:, :-1] >> np.uint64(29)))
         return out
 
-    def ids(self, words: list[str], length: int) -> list[np.ndarray]:
-        """For words of one length: ids of the pieces of k letters from each place, -1 where there is none."""
-        codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), length + 1).astype(np.uint64)
+    def ids(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For code points (words, places): ids of the pieces of k letters from each place, -1 where there is none."""
         out = []
-        for k, h in enumerate(self.roll(codes, PIECE), 1):
+        for k, h in enumerate(self.roll(codes.astype(np.uint64), self.longest), 1):
             hashes, at = self.table.get(k, (np.zeros(1, np.uint64), np.full(1, -1)))
             place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             found = np.where(hashes[place] == h, at[place], -1)
@@ -70,12 +72,20 @@ class Pieces:
         return out
 
 
-def forward(ids: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
-    """alpha (words, places, languages), scaled by SCALE a letter; ``prob`` (pieces + 1, languages), last row 0."""
+def places(words: list[str], length: int) -> np.ndarray:
+    """Code points of words of one length behind the mark of a word's start, a row for each word."""
+    return np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), length + 1)
+
+
+def forward(ids: list[np.ndarray], prob: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """alpha (places, words, languages), scaled by SCALE a letter; ``prob`` (pieces + 1, languages), last row 0.
+
+    ``before`` holds the alpha values of the places already summed, the latest last; ``ids`` start at the first of them.
+    """
     n, size = ids[0].shape
-    alpha = np.zeros((size + 1, n, prob.shape[1]))
-    alpha[0] = 1
-    for i in range(1, size + 1):
+    before = np.ones((1, n, prob.shape[1])) if before is None else before
+    alpha = np.concatenate([before, np.zeros((size + 1 - len(before), *before.shape[1:]))])
+    for i in range(len(before), size + 1):
         for k in range(1, min(i, len(ids)) + 1):
             got = ids[k - 1][:, i - k]
             if k == 1:
@@ -86,17 +96,24 @@ def forward(ids: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
 
 
 def word_scores(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """log P(word | language), a row for each word."""
+    """log P(word | language), a row for each word, over all its segmentations, block by block of its letters."""
     out = np.zeros((len(words), prob.shape[1]))
     by_len: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_len.setdefault(len(w), []).append(i)
     for size, every in by_len.items():
-        step = max(1, 4_000_000 // ((size + 2) * prob.shape[1] * 8))
+        step = max(1, 4_000_000 // ((min(size, BLOCK) + 2) * prob.shape[1] * 8))
         for a in range(0, len(every), step):
             at = every[a : a + step]
-            alpha = forward(pieces.ids([words[i] for i in at], size), prob)
-            out[at] = np.log(np.maximum(alpha[-1], 1e-300)) - (size + 1) * np.log(SCALE)
+            codes, alpha, logs = places([words[i] for i in at], size), None, 0.0
+            for done in range(0, size + 1, BLOCK):
+                held = 0 if alpha is None else len(alpha) - 1
+                alpha = forward(pieces.ids(codes[:, done - held : done + BLOCK]), prob, alpha)
+                if done + BLOCK <= size:  # what a piece of the next block may start at
+                    alpha = alpha[-pieces.longest :]
+                    most = alpha.max(0)
+                    alpha, logs = alpha / most, logs + np.log(most)
+            out[at] = np.log(np.maximum(alpha[-1], 1e-300)) + logs - (size + 1) * np.log(SCALE)
     return out
 
 
@@ -109,7 +126,7 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, prob:
     for size, every in by_len.items():
         for a in range(0, len(every), 20_000):
             at = every[a : a + 20_000]
-            ids = pieces.ids([words[i] for i in at], size)
+            ids = pieces.ids(places([words[i] for i in at], size))
             alpha, n = forward(ids, prob[:, None])[:, :, 0], len(at)
             beta = np.zeros((size + 2, n))
             beta[-1] = 1
@@ -138,8 +155,13 @@ class LanguageModel:
         self.vocab_path, self.langs, self.prob = vocab_path, langs, prob
 
 
-def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_per_lang: int = 4000, rounds: int = 3) -> LanguageModel:
-    """Learns from about ``train_per_lang`` rows of each language, chosen by a hash of the id."""
+def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_per_lang: int = 4000, train_letters: int = 48, rounds: int = 3) -> LanguageModel:
+    """Learns from about ``train_per_lang`` rows of each language, chosen by a hash of the id.
+
+    The sample holds their words of at most ``train_letters`` letters; prediction takes words of any length. Rows
+    without text or language are passed over, repeated rows count as often as they stand. A table without any
+    gives a model that knows no language. Other columns are not read.
+    """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -152,7 +174,7 @@ def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_co
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
-                c = Counter(w for t in texts for w in words_of(t))
+                c = Counter(w for t in texts for w in words_of(t) if len(w) <= train_letters)
                 if c:
                     yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
@@ -196,7 +218,8 @@ class Scorer:
             codes, known = pd.factorize(np.array([w for ws in words for w in ws], object))
             each = word_scores(list(known), self.pieces, m.prob)[codes]
             total = np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes[has])[:-1]]))
-            odds = np.exp(total - total.max(1, keepdims=True))
+            # by the mean word: sums over a long text would make every score 1
+            odds = np.exp((total - total.max(1, keepdims=True)) / sizes[has][:, None])
             best = total.argmax(1)
             pred[has] = np.array(m.langs, object)[best]
             score[has] = 1 / odds.sum(1)
@@ -207,7 +230,9 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
     """(id_col, lang_pred, score) for each row, over whole texts.
 
     ``und`` with score 0 if the text is null or holds no letter (or nothing was learned); else the language
-    of the largest posterior under equal priors, ties to the first name. An empty table gives an empty table.
+    of the largest posterior under equal priors, ties to the first name, and its posterior by the geometric mean
+    of the words' probabilities. Words of any length are summed whole. Each row is judged by itself, repeated or
+    not; other columns do not come back. An empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -224,7 +249,10 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
 
 
 def identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a language with a score of ``least`` or more."""
+    """The rows of ``docs``, unchanged, whose text has a language with a score of ``least`` or more.
+
+    Null texts and texts without letters go; repeated rows stay or go together; columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -264,24 +265,37 @@ def test_language_odd(spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1, 2, 3, 9))
     assert got[4]["lang_pred"] != "und" and got[10]["lang_pred"] != "und"
     assert langid.predict(no_docs(spark), model).count() == 0
+    kept = langid.identified(docs(spark), model)
+    assert kept.columns == docs(spark).columns and {1, 2, 3, 9}.isdisjoint(r["doc_id"] for r in kept.collect())
+    # a word that two languages share is less sure than a text
+    few = spark.createDataFrame([(1, "Re."), (2, table(spark, "documents").where("lang = 'fr'").first()["text"])], "doc_id long, text string")
+    short, long = [r["score"] for r in langid.predict(few, model).orderBy("doc_id").collect()]
+    assert short < 0.95 < long
     none = langid.fit(no_docs(spark).withColumn("lang", F.lit("en")), langid.default_vocab())
     assert {r["lang_pred"] for r in langid.predict(docs(spark), none).collect()} == {"und"}
 
 
 def test_forward_sums_all_cuts():
+    """Every way to cut a word is listed; long words are summed by blocks."""
     pieces = langid.loaded(langid.default_vocab())
     r = np.random.default_rng(0)
-    prob = np.vstack([r.random((pieces.n, 1)), np.zeros((1, 1))])
-    word = "thing"
-    text = langid.START + word
-    ids = pieces.ids([word], len(word))
-    total = np.zeros(len(text) + 1)
-    total[0] = 1
-    for i in range(1, len(text) + 1):
-        for k in range(1, i + 1):
-            if k <= len(ids) and (p := ids[k - 1][0, i - k]) >= 0:
-                total[i] += total[i - k] * prob[p, 0]
-    assert np.exp(langid.word_scores([word], pieces, prob)[0, 0]) == pytest.approx(total[-1])
+    prob = np.vstack([r.random((pieces.n, 2)) / 20, np.zeros((1, 2))])
+
+    def piece(text):
+        ids = pieces.ids(langid.places([text[1:]], len(text) - 1) if text[0] == langid.START else np.array([[ord(c) for c in text]]))
+        return int(ids[len(text) - 1][0, 0]) if len(text) <= len(ids) else -1
+
+    word = "internation"
+    text, total = langid.START + word, np.zeros(2)
+    for cut in itertools.product([False, True], repeat=len(text) - 1):
+        ends = [i + 1 for i, c in enumerate(cut) if c] + [len(text)]
+        found = [piece(text[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
+        total += np.prod([prob[p] for p in found], axis=0) if min(found) >= 0 else 0
+    assert np.exp(langid.word_scores([word], pieces, prob)[0]) == pytest.approx(total)
+    long = "donaudampfschifffahrtsgesellschaft" * 9
+    alpha = langid.forward(pieces.ids(langid.places([long], len(long))), prob)
+    assert langid.word_scores([long], pieces, prob)[0] == pytest.approx(np.log(alpha[-1, 0]) - (len(long) + 1) * np.log(langid.SCALE))
+    assert pieces.longest > 10 and langid.words_of("½ ² Ⅷ 12_3") == [] and langid.words_of("m² Été") == ["m", "été"]
 
 
 # 6
