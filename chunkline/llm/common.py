@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -23,19 +24,27 @@ BITS = 1 << 27
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
+
+
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
 
     The shuffle files behind it go as soon as it is written.
     """
     spark, schema = df.sparkSession, df.schema
-    path, was = new_path(spark, name), spark.conf.get(TIDY, "false")
+    path = new_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    spark.conf.set(TIDY, "true")
-    try:
+    with setting(spark, TIDY, "true"):
         writer.parquet(path)
-    finally:
-        spark.conf.set(TIDY, was)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -1,10 +1,11 @@
 """Line dedup with levelled sorted runs of line hashes. DataFrame functions only.
 
-``LineRuns`` keeps what has been seen of each line key as sorted runs in the shared folder. A batch is
-merge-joined with the runs: a key that no run holds is fresh, and the batch's own run keeps the document
-where it was first met; of a known key the run only adds the count. When a level has ``fanout`` runs they
-are merged into one run of the next level. Batches come in descending order of doc_id, so the document in
-which a key is fresh is the largest that holds it.
+``LineRuns`` keeps every line key that has been seen, with the document where it was first met, in sorted runs
+in the shared folder. A batch is merge-anti-joined with the runs; the keys that are left are fresh and become a
+run of their own. Batches and runs are bucketed and sorted by the key, so these joins neither shuffle nor sort.
+When a level has ``fanout`` runs they are compacted into one run of the next level. Batches come in descending
+order of doc_id, so the document in which a key is fresh is the largest that holds it; how many documents hold
+it is summed over the batches.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkline.llm.common import sha256_text, staged
+from chunkline.llm.common import TIDY, new_path, release, setting, sha256_text, staged
 
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+#: Keys that may be broadcast are fewer than this.
+HOT = 10_000
+#: Spark's setting by which bucketed tables with one file a bucket are read in their order.
+IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def lines_of(text: Column) -> Column:
@@ -30,36 +35,58 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Runs of (h1, h2, n_docs, keeper); keeper is set in the one run whose batch met the key first."""
+    """Runs of (h1, h2, keeper), in which each key stands once, and batches of (h1, h2, n_docs, keeper)."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self.batches: list[str] = []
 
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: one row (h1, h2, n_docs, keeper) for each key."""
-        if runs := self.runs():
-            known = _union(runs).where("keeper is not null").select(*KEY, F.lit(True).alias("known"))
-            batch = batch.join(known, KEY, "left").select(
-                *KEY, "n_docs", F.when(F.col("known").isNull(), F.col("keeper")).alias("keeper")
-            )
-        self._put(0, batch)
+        self.batches.append(self._sorted(batch, "line_batch"))
+        fresh = self.spark.table(self.batches[-1]).select(*KEY, "keeper")
+        for name in self.runs():
+            fresh = fresh.join(self.spark.table(name).select(*KEY).hint("merge"), KEY, "left_anti")
+        self._put(0, fresh)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, _merged(full))
+            self._put(level + 1, _union([self.spark.table(name) for name in full]).repartition(self.buckets, *KEY))
+            self._drop(full)
             level += 1
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(staged(run.sortWithinPartitions(*KEY), f"line-run-{level}"))
-
-    def merged(self) -> DataFrame:
-        return _merged(self.runs())
+        self.levels[level].append(self._sorted(run, f"line_run_{level}"))
+
+    def _sorted(self, rows: DataFrame, kind: str) -> str:
+        path = new_path(self.spark, kind)
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        # with one file a bucket, as rows dealt by the key give, a scan knows that it is sorted
+        with setting(self.spark, TIDY, "true"), setting(self.spark, IN_ORDER, "true"):
+            rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        release(self.spark, *[self.spark.table(name) for name in names])
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def close(self, least: int = 1) -> DataFrame:
+        """(h1, h2, n_docs, keeper) of the keys in ``least`` documents or more; gives up the runs."""
+        counts = _union([self.spark.table(name).withColumn("keeper", F.lit(None).cast("long")) for name in self.batches])
+        first = _union([self.spark.table(name) for name in self.runs()]).select(*KEY, F.lit(0).cast("long").alias("n_docs"), "keeper")
+        sums = counts.unionByName(first).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.first("keeper", True).alias("keeper"))
+        out = staged(sums.where(F.col("n_docs") >= least), "line-keys")
+        self._drop(self.batches + self.runs())
+        self.levels, self.batches = [], []
+        return out
 
 
 def _union(runs: list[DataFrame]) -> DataFrame:
@@ -69,8 +96,16 @@ def _union(runs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    return _union(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+def lines_with(marks: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``marks`` whose key is in ``keys``, with its keeper.
+
+    Keys that hold more than a share of 1 in ``HOT`` of what all keys hold, so fewer than ``HOT``, are broadcast;
+    the rest, of which none is common, is joined by a shuffle.
+    """
+    held = keys.agg(F.sum("n_docs")).first()[0] or 0
+    common = F.col("n_docs") > held / HOT
+    hot, rest = F.broadcast(keys.where(common).select(*KEY, "keeper")), keys.where(~common).select(*KEY, "keeper")
+    return marks.join(hot, KEY).unionByName(marks.join(hot.drop("keeper"), KEY, "left_anti").join(rest, KEY))
 
 
 def dedup_lines(
@@ -107,9 +142,8 @@ def dedup_lines(
     for b in range(len(cuts), -1, -1):
         per_doc = marks.where(F.col("batch") == b).groupBy(*KEY, "rid").agg(F.lit(1).alias("one"))
         runs.add(per_doc.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("rid").alias("keeper")))
-    repeated = runs.merged().where(F.col("n_docs") >= min_docs)
     drops = (
-        marks.join(repeated, KEY)
+        lines_with(marks.drop("batch"), runs.close(min_docs))
         .where("rid < keeper")
         .groupBy("rid", "sig")
         .agg(F.collect_set("pos").alias("drop"))

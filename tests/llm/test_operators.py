@@ -10,7 +10,7 @@ import pytest
 from compare import compare
 from pyspark.sql import functions as F
 
-from chunkline.llm import bpe, chat, decontaminate, html_text, langid, line_dedup, minhash, queries, spotsigs, suffix_dedup, toxicity
+from chunkline.llm import bpe, chat, common, decontaminate, html_text, langid, line_dedup, minhash, queries, spotsigs, suffix_dedup, toxicity
 from llm_edge import COPY, SF, docs, no_docs, table
 
 
@@ -247,7 +247,32 @@ def test_line_runs_know_first_batches(spark):
     for b in ([(1, 1, 2, 90), (2, 2, 1, 80)], [(1, 1, 1, 70)], [(1, 1, 5, 60), (3, 3, 1, 50)]):
         runs.add(spark.createDataFrame(b, "h1 long, h2 long, n_docs long, keeper long"))
     assert [len(level) for level in runs.levels] == [1, 1]
-    assert sorted(tuple(r) for r in runs.merged().collect()) == [(1, 1, 8, 90), (2, 2, 1, 80), (3, 3, 1, 50)]
+    held = [tuple(r) for name in runs.runs() for r in spark.table(name).collect()]
+    assert sorted(held) == [(1, 1, 90), (2, 2, 80), (3, 3, 50)]
+    assert sorted(tuple(r) for r in runs.close().collect()) == [(1, 1, 8, 90), (2, 2, 1, 80), (3, 3, 1, 50)]
+
+
+def test_runs_are_joined_as_they_lie(spark):
+    runs = line_dedup.LineRuns(spark)
+    rows = spark.range(1000).selectExpr("xxhash64(id % 400) AS h1", "id % 400 AS h2", "id")
+    for least, most in ((500, 1000), (0, 500)):
+        runs.add(rows.where(f"id >= {least} and id < {most}").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")))
+        if least:
+            batch, first = spark.table(runs.batches[0]), spark.table(runs.runs()[0])
+            with common.setting(spark, line_dedup.IN_ORDER, "true"):
+                plan = batch.join(first.hint("merge"), line_dedup.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    got = runs.close()
+    assert got.count() == 400 and got.where("keeper < 600 or keeper % 400 <> h2").count() == 0
+
+
+def test_common_lines_are_broadcast(spark, monkeypatch):
+    marks = spark.range(900).selectExpr("IF(id < 500, 1, id % 40 + 2) AS h1", "1L AS h2", "id AS rid")
+    keys = marks.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("rid").alias("keeper"))
+    want = sorted(tuple(r) for r in marks.join(keys.drop("n_docs"), ["h1", "h2"]).collect())
+    for hot in (1, 10, 10_000):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert sorted(tuple(r) for r in line_dedup.lines_with(marks, keys).collect()) == want
 
 
 # 5
