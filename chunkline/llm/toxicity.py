@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters are terms and patterns: a fixed list of insults, shouting, and words or word beginnings that mark
-toxic rows of a bounded training sample. A generative label model, fitted by expectation maximisation,
-estimates how often each voter fires on either side and which voters fire together; correlated voters share
-one vote. A linear classifier is trained on the posterior labels and scores every text.
+Voters are lexicons and patterns: fixed lists of insults by language, shouting, exclaiming, and words or word
+beginnings that stand more in toxic rows of a bounded training sample than in others. A generative label model
+finds from the votes how often each voter fires on either side, and which voters depend on each other: a tree
+joins the pairs that tell most about each other on either side, and a voter is judged given its parent in the
+tree. Gold labels choose the words, tell which side is the toxic one, and are one voter among the others, as right
+as it is found to be. A linear classifier is trained on the posterior labels and scores every text.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ from pyspark.sql import functions as F
 from chunkline.llm.common import in_parts, staged
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Plain insults, one voter.
-INSULTS = frozenset(
-    "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic disgusting worthless clown fool jerk creep bastard imbecile "
-    "crétin abruti salaud connard dumm trottel arschloch idiotisch estúpido imbécil basura tonto".split()
-)
+#: Plain insults by language, a voter for each.
+INSULTS = {
+    "en": "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic disgusting worthless clown fool jerk creep bastard imbecile",
+    "fr": "crétin abruti salaud connard",
+    "de": "dumm trottel arschloch idiotisch",
+    "es": "estúpido imbécil basura tonto",
+}
+INSULTING = {w: i for i, words in enumerate(INSULTS.values()) for w in words.split()}
 #: Letters of the word beginnings that may be voters.
 STEMS = (4, 5, 6, 7, 8)
-FIXED = ["lexicon:insults", "pattern:shouting", "pattern:exclaiming"]
+FIXED = [*(f"lexicon:{k}" for k in INSULTS), "pattern:shouting", "pattern:exclaiming", "pattern:doubled"]
 
 
 def terms_of(word: str) -> list[str]:
@@ -46,7 +51,8 @@ class Voters:
         votes, fired = np.zeros((len(texts), len(self.names)), np.uint8), np.zeros(len(texts))
         if sizes.sum():
             codes, known = pd.factorize(np.array([w for ws in words for w in ws], object))
-            hits = [[0] * (w in INSULTS) + [self.at[t] for t in terms_of(w) if t in self.at] for w in known]
+            hits = [[INSULTING[w]] if w in INSULTING else [] for w in known]
+            hits = [h + [self.at[t] for t in terms_of(w) if t in self.at] for h, w in zip(hits, known, strict=True)]
             doc = np.repeat(np.arange(len(texts)), sizes)
             for n in np.flatnonzero(np.array([bool(h) for h in hits], bool)[codes]):
                 votes[doc[n], hits[codes[n]]] = 1
@@ -54,8 +60,7 @@ class Voters:
         for i, t in enumerate(texts):
             if t:
                 up = sum(map(str.isupper, t))
-                votes[i, 1] = up > 0.5 * len(t) and len(t) > 20
-                votes[i, 2] = t.count("!") > 3 + len(t) / 200
+                votes[i, len(INSULTS) : len(FIXED)] = up > 0.5 * len(t) and len(t) > 20, t.count("!") > 3 + len(t) / 200, "!!" in t
         return votes, np.stack([fired, sizes], 1)
 
 
@@ -63,31 +68,80 @@ def features(votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.hstack([votes, np.log1p(counts[:, :1]), np.log1p(100 * counts[:, :1] / np.maximum(counts[:, 1:], 1)), np.log1p(votes.sum(1, keepdims=True)), np.ones((len(votes), 1))]).astype(float)
 
 
+#: Rounds of the label model after which its tree is sought anew; voters are apart before.
+TREES = (3, 7, 11)
+
+
+def blocks(votes: np.ndarray, step: int = 2048) -> Iterator[tuple[slice, np.ndarray]]:
+    """The votes as numbers, some rows at once: the driver holds them as bytes."""
+    for a in range(0, len(votes), step):
+        yield slice(a, a + step), votes[a : a + step].astype(float)
+
+
+def dependence(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Mutual information of each two voters on a known side, weighted over the sides of posterior ``p``."""
+    out = np.zeros((votes.shape[1], votes.shape[1]))
+    for w in (p, 1 - p):
+        both = sum(((v * w[at, None]).T @ v for at, v in blocks(votes)), 0.25 + np.zeros_like(out))
+        n, one = w.sum() + 1, w @ votes + 0.5
+        for joint, a, b in ((both, one, one), (one[:, None] - both, one, n - one), (one[None] - both, n - one, one), (n - one[:, None] - one[None] + both, n - one, n - one)):
+            joint = np.maximum(joint, 1e-9)
+            out += joint / len(votes) * np.log(joint * n / (a[:, None] * b[None]))
+    return out
+
+
+def parents(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each voter the one it is judged with, -1 for none: a tree of most dependence (Chow and Liu).
+
+    A pair that tells less than its two more numbers cost (by the Bayesian criterion) is no edge.
+    """
+    tells = dependence(votes, p) - np.log(max(len(votes), 2)) / max(len(votes), 1)
+    n = len(tells)
+    out, best, frm, left = np.full(n, -1), np.full(n, -np.inf), np.full(n, -1), np.ones(n, bool)
+    for _ in range(n):
+        at = int(np.argmax(np.where(left, best, -np.inf))) if (left & (best > 0)).any() else int(np.argmax(left))
+        out[at], left[at] = frm[at] if best[at] > 0 else -1, False
+        near = left & (tells[at] > best)
+        best[near], frm[near] = tells[at][near], at
+    return out
+
+
+def log_odds(votes: np.ndarray, p: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """What the votes say for side 1, with the accuracies that ``p`` gives each voter beside each vote of its parent."""
+    sides, n = np.stack([p, 1 - p]), votes.shape[1]
+    # weights of the rows by side and vote of the parent: all of them, and those in which the voter fires
+    rows, fired = np.zeros((2, 2, n)), np.zeros((2, 2, n))
+    for at, v in blocks(votes):
+        given = np.where(parent >= 0, v[:, parent], 0)
+        for a, here in enumerate((1 - given, given)):
+            rows[:, a] += sides[:, at] @ here
+            fired[:, a] += sides[:, at] @ (here * v)
+    prior = (votes.sum(0) + 0.5) / (len(votes) + 1)
+    rate = (fired + prior) / (rows + 1)
+    yes, no = np.log(rate[0]) - np.log(rate[1]), np.log1p(-rate[0]) - np.log1p(-rate[1])
+    out = np.zeros(len(votes))
+    for at, v in blocks(votes):
+        given = np.where(parent >= 0, v[:, parent], 0)
+        out[at] = np.where(given > 0, np.where(v > 0, yes[1], no[1]), np.where(v > 0, yes[0], no[0])).sum(1)
+    return out
+
+
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of label 1 for each row, and the share of its vote that each voter keeps.
+    """Posterior of label 1 for each row, and the parent of each voter.
 
-    ``gold`` is one more voter, that speaks on every row and may be wrong.
+    Expectation maximisation over the votes. It starts at ``gold``, which names the sides and is the last voter, with
+    an accuracy and dependences that are estimated like those of any other.
     """
-    v, p = votes.astype(float), 0.05 + 0.9 * gold
-    share = np.ones(v.shape[1])
-    for _ in range(rounds):
-        q, n1, n0 = 1 - p, p.sum(), (1 - p).sum()
-        prior = np.clip(n1 / (n1 + n0), 1e-3, 1 - 1e-3)
-        t1 = (p @ v + 0.5 * prior) / (n1 + 1)
-        t0 = (q @ v + 0.5 * prior) / (n0 + 1)
-        g1 = np.clip((p @ gold + 1) / (n1 + 2), 0.8, 0.995)
-        g0 = np.clip((q @ gold + 1) / (n0 + 2), 0.002, 0.1)
-        rest = v - (p[:, None] * t1 + q[:, None] * t0)
-        cov = rest.T @ rest / len(v)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        rho = np.abs(cov / np.outer(sd, sd))
-        np.fill_diagonal(rho, 0)
-        share = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(1))
-        yes = share * np.log(t1 / t0)
-        no = share * np.log((1 - t1) / (1 - t0))
-        odds = np.log(prior / (1 - prior)) + v @ (yes - no) + no.sum() + np.where(gold > 0, np.log(g1 / g0), np.log((1 - g1) / (1 - g0)))
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return p, share
+    v, p = np.hstack([votes, gold[:, None].astype(np.uint8)]), 0.05 + 0.9 * gold
+    parent = np.full(v.shape[1], -1)
+    for i in range(rounds):
+        prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
+        was, p = p, 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + log_odds(v, p, parent), -30, 30)))
+        if i in TREES:
+            parent = parents(v, p)
+        elif i > max(TREES) and np.abs(p - was).max() < 1e-4:
+            break
+    return p, parent
 
 
 def linear_fit(x: np.ndarray, p: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -105,8 +159,8 @@ def linear_fit(x: np.ndarray, p: np.ndarray, l2: float = 1.0, rounds: int = 30)
 
 
 class ToxicityModel:
-    def __init__(self, voters: Voters, weights: np.ndarray, share: np.ndarray):
-        self.voters, self.weights, self.share = voters, weights, share
+    def __init__(self, voters: Voters, weights: np.ndarray, parent: np.ndarray):
+        self.voters, self.weights, self.parent = voters, weights, parent
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = features(*self.voters.votes(texts))
@@ -117,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Learns from at most about ``per_class`` labelled rows of either label, chosen by a hash of the id.
 
     Several labels of one id count as toxic if one does; null ids and labels are passed over. Rows whose
-    texts share their smallest five-word shingle hash count once, so a copied text is no proof by number.
+    texts share their smallest five-word shingle hash count once, so a copied text is no proof by number. Null
+    texts teach nothing. At most ``max_terms`` words or word beginnings become voters, each in ``min_rows`` toxic
+    rows or more. With one label or none the score is constant; other columns are not read.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -144,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not pos or not neg:  # one label or none: a constant score
         w = np.zeros(len(FIXED) + 4)
         w[-1] = 4.0 if pos else -4.0
-        return ToxicityModel(Voters([]), w, np.ones(len(FIXED)))
+        return ToxicityModel(Voters([]), w, np.full(len(FIXED), -1))
     counts = train.mapInPandas(count, "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b")
     )
@@ -160,12 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # the bounded sample's votes come to the driver, a bit for each row and voter
     got = train.mapInPandas(vote, "votes binary, fired double, size double, y int").toPandas()
     votes = np.unpackbits(np.frombuffer(b"".join(got["votes"]), np.uint8).reshape(len(got), -1), axis=1)[:, : len(voters.names)]
-    posterior, kept = label_model(votes, (got["y"].to_numpy() > 0).astype(float))
-    return ToxicityModel(voters, linear_fit(features(votes, got[["fired", "size"]].to_numpy(float)), posterior), kept)
+    posterior, parent = label_model(votes, (got["y"].to_numpy() > 0).astype(float))
+    return ToxicityModel(voters, linear_fit(features(votes, got[["fired", "size"]].to_numpy(float)), posterior), parent)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) for each row, over whole texts; null and empty texts get the score of no vote."""
+    """(id_col, score) for each row, over whole texts; null and empty texts get the score of no vote.
+
+    Rows are judged one by one, repeated or not; other columns do not come back; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -467,6 +467,39 @@ def test_toxicity_held_out(spark):
     assert hit / held.predicted.sum() > 0.85 and hit / held.toxic.sum() > 0.6 and got.score.between(0, 1).all()
 
 
+def drawn_votes(n=6000, seed=3):
+    """Votes of known accuracy; the third voter mostly repeats the second."""
+    r = np.random.default_rng(seed)
+    side = (r.random(n) < 0.3).astype(float)
+    fire = lambda hit, miss: r.random(n) < np.where(side > 0, hit, miss)
+    votes = np.stack([fire(0.8, 0.1), fire(0.7, 0.2), np.zeros(n, bool), fire(0.6, 0.05), fire(0.75, 0.15)], 1)
+    votes[:, 2] = np.where(r.random(n) < 0.9, votes[:, 1], fire(0.5, 0.5))
+    return side, votes.astype(np.uint8), np.where(r.random(n) < 0.15, 1 - side, side)
+
+
+def test_votes_are_weighed_with_their_parents():
+    side, votes, _ = drawn_votes(300)
+    p, parent = 0.1 + 0.8 * side, np.array([-1, 0, 1, -1, 3])
+    want = np.zeros(len(votes))
+    for sign, w in ((1, p), (-1, 1 - p)):
+        for j, k in enumerate(parent):
+            prior = (votes[:, j].sum() + 0.5) / (len(votes) + 1)
+            for i, row in enumerate(votes):
+                alike = [m for m in range(len(votes)) if k < 0 or votes[m, k] == row[k]]
+                rate = (sum(w[m] for m in alike if votes[m, j]) + prior) / (sum(w[m] for m in alike) + 1)
+                want[i] += sign * np.log(rate if row[j] else 1 - rate)
+    assert toxicity.log_odds(votes, p, parent) == pytest.approx(want)
+
+
+def test_label_model_finds_sides_and_dependences():
+    side, votes, gold = drawn_votes()
+    posterior, parent = toxicity.label_model(votes, gold)
+    assert parent[2] == 1 or parent[1] == 2
+    assert (parent[[0, 3, 4]] < 0).all()
+    # better than the gold labels that it starts from, 15 per cent of which are wrong
+    assert ((posterior > 0.5) == side).mean() > 0.9 > (gold == side).mean()
+
+
 def test_toxicity_odd(spark):
     model = toxicity.fit(table(spark, "documents"), table(spark, "labels"))
     got = toxicity.score(docs(spark), model).collect()
