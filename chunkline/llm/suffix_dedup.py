@@ -14,8 +14,9 @@ strings share at the same place: one row stands for all strings with that minimi
 4. digit: the strings of ``length`` bytes of the runs that are left, one by one.
 
 Digits are compared by hashes. Where a digit only spares work (the first, the sides and the runs) 64 bits are
-enough, since a chance meeting only leaves more rows to the next digit. What settles a string, equal contexts
-and equal strings of the last digit, is compared by two hashes (128 bits).
+enough, since a meeting by chance or design only leaves more rows to the next digit. What settles a string is
+compared by 128 bits of all its bytes: equal contexts by two hashes with multipliers drawn anew for each run, equal
+strings of the last digit by two hashes with different seeds.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkline.llm.common import bits_of, has_bit, release, staged
-from chunkline.llm.wordhash import chained, mix
+from chunkline.llm.wordhash import mix
 
 DIGIT, STEP = 16, 5
 #: Bytes that are worked on at once.
@@ -40,9 +41,13 @@ SLICES = 3
 NO_ID = -(2**63)
 
 
-def digits(part: np.ndarray) -> np.ndarray:
+def words_at(part: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as a number."""
+    return np.ndarray((len(part) - 7,), "<u8", np.ascontiguousarray(part), strides=(1,)).copy()
+
+
+def digits(words: np.ndarray) -> np.ndarray:
     """A hash of the DIGIT bytes from each place."""
-    words = np.ndarray((len(part) - 7,), "<u8", np.ascontiguousarray(part), strides=(1,)).copy()
     h = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h += words[8:]
@@ -58,8 +63,25 @@ def least_of(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[:n], out[w - size : w - size + n])
 
 
+def slice_digest(words: np.ndarray, at: np.ndarray, size: np.ndarray, shape: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the ``size`` bytes (8 or more) from each place and of ``shape``, by four drawn numbers."""
+    last = at + size - 8
+    out = []
+    for start, times in seeds.reshape(2, 2):
+        times |= np.uint64(1)
+        h = mix(shape.astype(np.uint64) + start) * times
+        for k in range(0, int(size.max(initial=0)), 8):
+            # each step is one to one in the word; past the end the last word comes again
+            h = (h ^ words[np.minimum(at + k, last)]) * times
+            h ^= h >> np.uint64(32)
+        out.append(mix(h ^ start))
+    return out
+
+
 def contexts(buf: np.ndarray, begin: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text number, key, context, start, n, offset): strings start .. start+n-1 of a text share a first digit at start+offset.
+    """(text number, key, start, n, offset, place, words): strings start .. start+n-1 of a text share a first digit at start+offset.
+
+    ``words`` has the 8 bytes from each place of a segment, ``place`` that of the start.
 
     Text i is ``buf[begin[i] : begin[i + 1]]``. The bytes are cut into segments; a string belongs to the
     segment of its start.
@@ -67,7 +89,8 @@ def contexts(buf: np.ndarray, begin: np.ndarray, length: int) -> Iterator[tuple[
     w = length - DIGIT + 1
     for a in range(int(begin[0]), int(begin[-1]) - length + 1, SEGMENT):
         part = buf[a : min(a + SEGMENT + length - 1, int(begin[-1]))]
-        h = digits(part)
+        words = words_at(part)
+        h = digits(words)
         least = least_of(h, w)
         n = len(least)
         # a run of strings ends where the least hash changes, and with its text
@@ -91,9 +114,7 @@ def contexts(buf: np.ndarray, begin: np.ndarray, length: int) -> Iterator[tuple[
             rest[tied] = False
             lo, hi, doc, off = (np.concatenate([x[rest], *m]) for x, m in zip((lo, hi, doc, off), zip(*more, strict=True), strict=True))
         if len(lo):
-            end = hi + length - DIGIT
-            whole = chained([h[np.minimum(lo + k, end)] for k in range(0, 2 * length - DIGIT, DIGIT)] + [(off * 64 + hi - lo).astype(np.uint64)])
-            yield doc, h[lo + off], whole, lo + a - begin[doc], hi - lo + 1, off
+            yield doc, h[lo + off], lo + a - begin[doc], hi - lo + 1, off, lo, words
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +127,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met_again(rows: DataFrame) -> DataFrame:
-    """The rows (key, ctx, h, ...) whose h occurs in several contexts."""
-    twice = rows.groupBy("h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("z")).where("a <> z").select("h")
+    """The rows (c1, c2, h, ...) whose h occurs in several contexts."""
+    twice = rows.groupBy("h").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("z")).where("a <> z").select("h")
     return rows.join(twice, "h").drop("h")
 
 
@@ -121,7 +142,8 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
 
     ``docs``: (id, sig, text); sig tells texts of one id apart.
     """
-    spark, ctx = docs.sparkSession, ["key", "ctx"]
+    spark, ctx = docs.sparkSession, ["c1", "c2"]
+    seeds = np.random.SeedSequence().generate_state(4, np.uint64)
 
     def kept(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
         """Written; the tables that are done with go."""
@@ -142,30 +164,33 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sigs = b.column("id").to_numpy(), b.column("sig").to_numpy().astype(np.int64)
-            for found in contexts(*text_bytes(b.column("text")), length):
+            ids, sigs = b.column("id").to_numpy(), b.column("sig").to_numpy()
+            for *found, words in contexts(*text_bytes(b.column("text")), length):
                 on = has_bit(wanted_bits.value, found[1])
-                doc, key, whole, lo, n, off = (x[on] for x in found)
-                columns = [ids[doc], sigs[doc] << 32 | lo, key.view(np.int64), whole.view(np.int64), (n << 8 | off).astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "place", "key", "ctx", "shape"])
+                doc, key, lo, n, off, at = (x[on] for x in found)
+                shape = n << 8 | off
+                whole = slice_digest(words, at, n + (length - 1), shape, seeds)
+                columns = [ids[doc], sigs[doc], lo.astype(np.int32), key.view(np.int64), *(w.view(np.int64) for w in whole), shape.astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "sig", "lo", "key", "c1", "c2", "shape"])
 
-    rows = kept(docs.mapInArrow(find, "id long, place long, key long, ctx long, shape short").join(met, "key"), "shared-digits", met)
+    rows = kept(docs.mapInArrow(find, "id long, sig long, lo int, key long, c1 long, c2 long, shape short").join(met, "key"), "shared-digits", met)
     # 2. digit
-    held = rows.groupBy(*ctx).agg(F.min("id").alias("id"), F.min_by("place", "id").alias("place"), F.min("shape").alias("shape"), F.count("*").alias("m"))
-    held = kept(held, "contexts")
+    first = F.min(F.struct("id", "sig", "lo")).alias("first")
+    held = rows.groupBy(*ctx).agg(first, F.min("key").alias("key"), F.min("shape").alias("shape"), F.count("*").alias("m"))
+    held = kept(held.select(*ctx, "first.*", "key", "shape", "m"), "contexts")
     several = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    sig, lo = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     n, off = F.shiftright(F.col("shape").cast("int"), 8), F.col("shape").cast("int").bitwiseAND(F.lit(255))
-    wanted = held.join(several, "key").groupBy("id", sig.alias("sig")).agg(F.collect_list(F.struct(*ctx, lo.alias("lo"), n.alias("n"), off.alias("off"))).alias("c"))
+    wanted = held.join(several, "key").groupBy("id", "sig").agg(F.collect_list(F.struct(*ctx, "lo", n.alias("n"), off.alias("off"))).alias("c"))
     wanted = kept(wanted, "wanted-contexts")
     whole = docs.join(wanted, ["id", "sig"]).select("id", "sig", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "c")
     # rows of one id and text give their contexts once each
     cut = whole.select("id", "text", F.inline("c")).select("id", *ctx, "n", "off", F.substring("text", F.col("lo") + 1, F.col("n") + (length - 1)).alias("data"))
     bytes_ = kept(cut, "context-bytes", wanted)
     side = (length - DIGIT) // 2
+    digit = F.substring("data", F.col("off") + 1, F.lit(DIGIT))
     reach = F.length("data") - F.col("off") - DIGIT
-    left = F.when(F.col("off") >= side, F.xxhash64("key", F.lit("l"), F.substring("data", F.col("off") - (side - 1), F.lit(side))))
-    right = F.when(reach >= side, F.xxhash64("key", F.lit("r"), F.substring("data", F.col("off") + (DIGIT + 1), F.lit(side))))
+    left = F.when(F.col("off") >= side, F.xxhash64(digit, F.lit("l"), F.substring("data", F.col("off") - (side - 1), F.lit(side))))
+    right = F.when(reach >= side, F.xxhash64(digit, F.lit("r"), F.substring("data", F.col("off") + (DIGIT + 1), F.lit(side))))
     open_ = kept(_met_again(bytes_.select(*ctx, F.explode(F.array_compact(F.array(left, right))).alias("h"))).distinct(), "open-keys")
     near = kept(bytes_.join(open_, ctx).dropDuplicates(ctx), "open-contexts", bytes_, open_)
     # 3. digit: strings whose offsets lie in one run of STEP share all but STEP - 1 of their bytes
@@ -188,11 +213,12 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     # a slice of the keys at a time, so that the shuffle files of one slice are on disk
     parts = []
     for k in range(SLICES):
-        mine = F.pmod("key", F.lit(SLICES)) == k
+        mine = F.pmod("c1", F.lit(SLICES)) == k
         found = rows.where(mine).join(verdict.where(mine), ctx).where("id > least or js is not null")
+        lo = F.col("lo")
         all_ = F.array(span(lo, lo + n + (length - 1)))
-        some = F.transform("js", lambda j: span(lo + j, lo + j + length))
-        spans = found.select("id", sig.alias("sig"), F.explode(F.when(F.col("id") > F.col("least"), all_).otherwise(some)).alias("span"))
+        some = F.transform("js", lambda j: span(lo + j, lo + j + length))  # noqa: B023
+        spans = found.select("id", "sig", F.explode(F.when(F.col("id") > F.col("least"), all_).otherwise(some)).alias("span"))
         parts.append(kept(spans.groupBy("id", "sig").agg(F.collect_list("span").alias("spans")), "spans"))
     release(spark, rows, verdict)
     out = parts[0]
@@ -220,7 +246,7 @@ def dedup_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         raise ValueError(f"length: {length}")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
-    sig = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    sig = F.xxhash64(F.coalesce(text, F.lit("")))
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), sig.alias("sig"), text.alias("text"))
     spans = removed_spans(picked, length)
 
