@@ -204,6 +204,19 @@ def d16(spark, sf):
     return s.select("class_name", "pairs", F.round("mean", 6).alias("mean"), F.round("largest", 6).alias("largest"), "close")
 
 
+@query(
+    "d16_nearest_item",
+    """WITH p AS (SELECT a.class_name, a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM fx_bank a JOIN fx_bank b ON a.class_name = b.class_name AND a.embedding <> b.embedding)
+    SELECT class_name, vec_id, arg_max(other, c) AS other, round(max(c), 6) AS cos FROM p GROUP BY ALL""",
+)
+def d16_nearest(spark, sf):
+    bank = view(spark, sf, "fx_bank")
+    found = B.bank_spread(bank)[1]
+    ids = B.bank_positions(bank).select("class_name", "pos", "vec_id")
+    others = ids.select("class_name", F.col("pos").alias("other"), F.col("vec_id").alias("other_id"))
+    return found.join(ids, ["class_name", "pos"]).join(others, ["class_name", "other"]).select("class_name", "vec_id", F.col("other_id").alias("other"), F.round("cos", 6).alias("cos"))
+
+
 @query("d17_classes_without_bank", "SELECT class_name, CASE WHEN class_name % 2 = 0 THEN 'empty' ELSE 'missing' END AS reason FROM (SELECT DISTINCT class_name FROM fx_bank) WHERE class_name >= 5")
 def d17(spark, sf):
     bank = view(spark, sf, "fx_bank")
