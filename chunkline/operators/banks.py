@@ -126,12 +126,17 @@ def open_pairs(tiled: DataFrame, found: DataFrame, pivots: int = PIVOTS) -> Data
 
     By the triangle inequality two items are at least as far apart as their angles to any pivot differ.
     """
-    far = tiled.join(found.select("class_name", "pos", F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0))).alias("r")), ["class_name", "pos"], "left")
+    r = F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0)))
+    far = tiled.join(found.select("class_name", "pos", r.alias("r")), ["class_name", "pos"], "left")
     lo, hi = (F.array(*[f(F.get("away", F.lit(j))) for j in range(pivots)]) for f in (F.min, F.max))
-    of = far.groupBy("class_name", "tile").agg(F.max(F.coalesce("r", F.lit(math.pi))).alias("r"), lo.alias("lo"), hi.alias("hi"))
-    named = lambda t: of.select("class_name", F.col("tile").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in ("r", "lo", "hi")])
+    of = staged(far.groupBy("class_name", "tile").agg(F.max(F.coalesce("r", F.lit(math.pi))).alias("r"), lo.alias("lo"), hi.alias("hi")), "bank-tile-bounds")
+    named = lambda d, t: d.select("class_name", F.col("tile").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in ("r", "lo", "hi")])
+    # over a pivot, any item of another tile is within the sum of the two largest angles to it
+    over = F.array_min(F.zip_with("hi_a", "hi_b", lambda p, q: p + q))
+    other = named(of, "a").join(named(of, "b"), "class_name").where("a <> b").groupBy("class_name", F.col("a").alias("tile")).agg(F.min(over).alias("over"))
+    of = of.join(other, ["class_name", "tile"], "left").withColumn("r", F.least("r", "over"))
     gap = lambda x, y: F.array_max(F.zip_with(f"lo_{x}", f"hi_{y}", lambda p, q: p - q))
-    pairs = named("a").join(named("b"), "class_name").where("a < b")
+    pairs = named(of, "a").join(named(of, "b"), "class_name").where("a < b")
     # rounding must not close a pair
     return pairs.where(F.greatest(gap("a", "b"), gap("b", "a")) <= F.greatest("r_a", "r_b") + 1e-7).select("class_name", "a", "b")
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from chunkline.operators.scores import ledger
 from chunkline.operators.stats import covariances
 from chunkline.plans.catalog import GROWN_SQL, keyed, sources, sql
+from chunkline.plans.datasets import registry
 from chunkline.plans.fixtures import view
+from chunkline.plans.frames import CUT
 from chunkline.plans.registry import Family
 from chunkline.sources.catalog import sidecar_scan
 from chunkline.sources.storage import new_path
@@ -28,18 +30,56 @@ def j1(spark, sf):
     listing = sources(spark, sf).select("rel_path", "size_bytes", "mtime_ns")
     src, out = in_files(listing, new_path(spark, "listing"), 4), new_path(spark, "ingested")
     for _ in range(2):  # the second run finds nothing to do
-        I.run_stream(spark, src, listing.schema, f"{out}/checkpoint", I.ingest(out, 512, 64))
+        I.run_ingest(spark, src, out, I.Cutting(512, 64))
     return I.chunks(spark, out).groupBy("rel_path").agg(F.count("*").alias("n"))
 
 
+GATED = CUT + """, ok AS (SELECT clip_id FROM fx_samples GROUP BY clip_id HAVING count(*) >= 20 AND avg((abs(x) >= 0.2)::INT) <= 0.45 AND avg((abs(x) < 0.05)::INT) < 0.45),
+num AS (SELECT *, 'clips/clip_' || clip_id AS rel_path, row_number() OVER (PARTITION BY clip_id ORDER BY start) - 1 AS idx FROM lv WHERE (rms > 0.13 OR peak > 0.4) AND clip_id IN (SELECT clip_id FROM ok)),
+kept AS (SELECT clip_id, start, idx, rel_path, [G] || '__c' || lpad(idx::VARCHAR, 4, '0') AS rel_chunk FROM num WHERE dbfs >= -21)"""
+GATED = sql(GATED, G="GROUP@rel_path")
+
+
+def ingested(spark, sf):
+    """Clips in four files of listings, gated, cut, numbered and annotated; a fifth has other times for some."""
+    clips = view(spark, sf, "fx_samples").select(F.concat(F.lit("clips/clip_"), "clip_id").alias("rel_path"), "seq", "x")
+    listing = clips.groupBy("rel_path").agg(F.count("*").alias("size_bytes")).withColumn("mtime_ns", F.lit(1).cast("long"))
+    src, out = in_files(listing, new_path(spark, "listing"), 4), new_path(spark, "ingested")
+    load = lambda fresh: clips.join(fresh.select("rel_path"), "rel_path", "left_semi")
+    cutting = I.Cutting(16, 4, load, {"min_len": 20, "peak": 0.2, "max_peak_ratio": 0.45, "silence": 0.05, "max_silence_ratio": 0.45}, {"rms": 0.13, "peak": 0.4, "min_dbfs": -21.0}, registry().enabled(["energy", "range"]))
+    I.run_ingest(spark, src, out, cutting, 2)
+    again = listing.where("rel_path like '%7'").withColumn("mtime_ns", F.lit(2).cast("long"))
+    again.write.mode("append").parquet(src)
+    I.run_ingest(spark, src, out, cutting, 2)
+    return out
+
+
+@query("j1_gated_chunks", f"WITH {GATED} SELECT rel_path, rel_chunk, idx::INT AS idx, start FROM kept")
+def j1_gated(spark, sf):
+    return I.chunks(spark, ingested(spark, sf)).select("rel_path", "rel_chunk", "idx", "start")
+
+
+@query("j1_annotations", f"""WITH {GATED}, s AS (SELECT rel_chunk, seq, x FROM kept JOIN cut USING (clip_id, start))
+SELECT rel_chunk, 'range' AS name, NULL::INT AS frame, round(min(x)::FLOAT::DOUBLE, 5) AS a, round(max(x)::FLOAT::DOUBLE, 5) AS b FROM s GROUP BY rel_chunk
+UNION ALL SELECT rel_chunk, 'energy', (seq // 4)::INT, round(avg(x)::FLOAT::DOUBLE, 5), round(max(x)::FLOAT::DOUBLE, 5) FROM s GROUP BY rel_chunk, seq // 4""")
+def j1_annotations(spark, sf):
+    v = lambda i: F.round(F.get("v", F.lit(i)).cast("double"), 5)
+    return I.annotations(spark, ingested(spark, sf)).select("rel_chunk", "name", "frame", v(0).alias("a"), v(1).alias("b"))
+
+
+@query("j1_manifest", f"WITH {GATED}, n AS (SELECT clip_id, count(*) AS n FROM kept GROUP BY 1) SELECT 'clips/clip_' || clip_id AS rel_path, count(*) AS size_bytes, CASE WHEN clip_id % 10 = 7 THEN 2 ELSE 1 END AS mtime_ns, coalesce(max(n), 0) AS n_chunks FROM fx_samples LEFT JOIN n USING (clip_id) GROUP BY clip_id")
+def j1_manifest(spark, sf):
+    return I.manifest(spark, ingested(spark, sf)).drop("batch_id")
+
+
 @query("j2_grow_splits_stream", "WITH " + sql(GROWN_SQL, G="GROUP@rel_path"))
 def j2(spark, sf):
     every = keyed(spark, sf).select("doc_id", "group_key", F.col("class_name").alias("bucket"))
     src, out = new_path(spark, "keys"), new_path(spark, "splits")
     for part in ("doc_id % 10 <> 3", "doc_id % 10 = 3"):
-        keys = every.where(part).select("group_key", "bucket")
-        keys.coalesce(1).write.mode("append").parquet(src)
-        I.run_stream(spark, src, keys.schema, f"{out}-checkpoint", I.grow_splits(out))
+        # keys of the first part come again with the second
+        every.where(part if "<>" in part else "doc_id % 10 in (3, 4)").select("group_key", "bucket").coalesce(1).write.mode("append").parquet(src)
+        I.run_splits(spark, src, out)
     return I.batch_log(spark, out, f"{I.SPLITS}, bucket string").select("group_key", "split")
 
 

@@ -5,10 +5,23 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, else the session's checkpoint folder; only a session without either gets a temporary one."""
     sc = spark.sparkContext
