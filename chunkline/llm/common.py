@@ -35,6 +35,27 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.set(name, was) if was is not None else spark.conf.unset(name)
 
 
+_owned: list[list[str]] = []
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes in the end what is staged meanwhile, but for the folders that are taken from the list."""
+    own: list[str] = []
+    _owned.append(own)
+    try:
+        yield own
+    finally:
+        _owned.remove(own)
+        for path in own:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
 
@@ -42,6 +63,8 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
+    for own in _owned:
+        own.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     with setting(spark, TIDY, "true"):
         writer.parquet(path)
@@ -50,12 +73,10 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes staged tables that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for t in tables:
         # a staged table is one folder
-        folder = jvm.org.apache.hadoop.fs.Path(t.inputFiles()[0]).getParent() if t.inputFiles() else None
-        if folder is not None:
-            folder.getFileSystem(conf).delete(folder, True)
+        if files := t.inputFiles():
+            _remove(spark, files[0].rsplit("/", 1)[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -119,7 +119,7 @@ def parity(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_docs: int)
 
 
 def signatures(docs: DataFrame, size: int = SIZE, rows: int = ROWS) -> DataFrame:
-    """(id, n, k1, k2, bands) for (id, text): shingles, a hash of their multiset in two halves, a hash for each band."""
+    """(id, h, n, k1, k2, bands) for (id, h, text): shingles, a hash of their multiset in two halves, a hash for each band."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,9 +131,9 @@ def signatures(docs: DataFrame, size: int = SIZE, rows: int = ROWS) -> DataFrame
                 np.add.at(k2, doc, mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                 sig = bag_minhash(*counted(h, doc), len(b), size)
                 bands = np.stack([chained([np.full(len(b), i, np.uint64), *(sig[:, i + r] for r in range(rows))]) for i in range(0, size - rows + 1, rows)], 1).view(np.int64)
-                yield pd.DataFrame({"id": b["id"].to_numpy(), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "bands": list(bands)})
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "h": b["h"].to_numpy(), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "bands": list(bands)})
 
-    return docs.mapInPandas(run, "id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.mapInPandas(run, "id long, h long, n long, k1 long, k2 long, bands array<long>")
 
 
 def elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -232,16 +232,17 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(id_col, class_id) for each row: the smallest id of its class of near-duplicates.
+    """(id_col, class_id, judged) for each row: the smallest id of its class of near-duplicates.
 
     Null and empty texts (and texts without words) are near nothing: each is a class of its own. Rows that
-    share an id are one document (of several texts, that with the least hash); each comes back. A null id
+    share an id are one document (of several texts, that with the least hash of shingles, then of its own); each comes
+    back. ``judged`` is the xxhash64 of the text that stands for the id (null texts as empty). A null id
     counts as the smallest and comes back as null. An empty table gives an empty table. Other columns are
     ignored, whatever their names.
     """
     no_id = -(2**63)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("id"), F.col(text_col).alias("text"))
-    sigs = signatures(docs).groupBy("id").agg(F.count("*").cast("int").alias("rows"), F.min(F.struct("k1", "k2", "n", "bands")).alias("s"))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    sigs = signatures(docs).groupBy("id").agg(F.count("*").cast("int").alias("rows"), F.min(F.struct("k1", "k2", "n", "h", "bands")).alias("s"))
     sigs = staged(sigs.select("id", "rows", "s.*"), "signatures")
     nodes = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "bands")).alias("s"))
     nodes = staged(nodes.select("k1", "k2", F.col("s.id").alias("node"), "s.bands"), "nodes")
@@ -250,7 +251,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     banded = staged(banded.join(crowds, "h"), "shared-bands")
     wanted = banded.groupBy("node").agg(F.min("k1").alias("k1"), F.sum("m").alias("degree"))
     wanted = staged(wanted, "candidates")
-    els = staged(elements(docs, wanted.select(F.col("node").alias("id"), "k1")), "elements")
+    els = staged(elements(docs.drop("h"), wanted.select(F.col("node").alias("id"), "k1")), "elements")
 
     # each node of a bucket against its leader
     ranked = banded.select("node", "h").join(wanted.select("node", "degree"), "node")
@@ -274,12 +275,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     open_ = of_several(labels).select("node", "comp").distinct()
     labels = joined(labels, verified(rare_pairs(staged(open_, "open-nodes"), els, similarity), els, similarity))
 
-    out = sigs.select("id", "rows", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").withColumn("node", F.coalesce("node", "id"))
+    out = sigs.select("id", "rows", "h", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").withColumn("node", F.coalesce("node", "id"))
     out = out.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     value = lambda c: F.when(F.col(c) != no_id, F.col(c))
-    out = out.select(value("id").alias(id_col), value("comp").alias("class_id"), F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("row"))
+    out = out.select(value("id").alias(id_col), value("comp").alias("class_id"), F.col("h").alias("judged"), F.explode(F.array_repeat(F.lit(0), F.col("rows"))).alias("row"))
     return out.drop("row")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id")

@@ -43,3 +43,30 @@ def test_stages_of_nothing(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0, name
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, clashing columns, repeated rows and several texts of one id: defined rows, the columns of documents."""
+    from llm_edge import docs
+    from pyspark.sql import functions as F
+
+    d = docs(spark).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1).cast("long"))
+    d = d.unionByName(d.where("doc_id = 6").withColumn("text", F.lit("another text of document six, of more than eight words")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, d, SF).columns == corpus_pipeline.COLUMNS, name
+    near = [tuple(r) for r in corpus_pipeline.near_copies(spark, d, SF).select("doc_id", "text").collect()]
+    assert len(near) == len({i for i, _ in near}) and {1, 2, 3, 4, 8, 9, 10} <= {i for i, _ in near}
+    assert all(sorted(map(str, corpus_pipeline.near_copies(spark, d.repartition(n), SF).select("doc_id", "text").collect())) == sorted(map(str, corpus_pipeline.near_copies(spark, d, SF).select("doc_id", "text").collect())) for n in (1, 5))
+    assert corpus_pipeline.leaks(spark, d, SF).count() == d.count()
+    assert corpus_pipeline.language(spark, d, SF).where("text is null or text = ''").count() == 0
+
+
+def test_no_tables_are_left(spark):
+    import os
+
+    from chunkline.sources.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, SF).count()
+    assert len([x for x in set(os.listdir(folder)) - before if not x.startswith(".")]) == 1
