@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from chunkline.sources.storage import staged
+
+PART = pa.schema([("n", pa.int64()), ("mean", pa.list_(pa.float64())), ("dev", pa.list_(pa.float64())), ("counts", pa.list_(pa.int64())), ("first", pa.list_(pa.struct([("key", pa.string()), ("status", pa.string())])))])
 MOMENTS = "n long, sx array<double>, sxx array<double>"
 
 
@@ -33,6 +37,63 @@ def channel_stats(dims: DataFrame, channel: str = "d", value: str = "v", eps: fl
     return dims.groupBy(channel).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.sqrt(F.var_pop(x) + eps).alias("std"))
 
 
+STATUSES = ("ok", "unreadable", "bad_shape", "short", "non_finite")
+#: Rejected clips that a report names.
+NAMED = 10
+
+
+def valid_channel_stats(frames: DataFrame, key: str, order: str, value: str, dims: int, count: int, eps: float = 1e-6) -> tuple[DataFrame, dict]:
+    """((d, n, mean, std) over the frames of valid clips, {counts: {status: n}, first: [(key, status)]}).
+
+    One pass: a task sums up the valid clips it has (count, mean and squared deviations of each channel), counts all by
+    status and keeps the first NAMED rejected ones by key; the counts are metrics of that same pass. Stops if
+    there is no valid clip, or if a channel's statistics are not finite. A clip is one row meanwhile.
+    """
+    v = F.col(value)
+    clips = frames.select(F.col(key).cast("string").alias("key"), F.col(order).alias("at"), v.cast("array<double>").alias("v")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("f"))
+    vs = F.transform("f", lambda x: x["v"])
+    status = (
+        F.when(F.exists("vs", lambda x: x.isNull()), "unreadable").when(F.exists("vs", lambda x: F.size(x) != dims), "bad_shape").when(F.size("vs") < count, "short")
+        .when(F.exists("vs", lambda x: F.exists(x, not_finite)), "non_finite").otherwise("ok")
+    )
+    clips = clips.select("key", vs.alias("vs")).select("key", status.alias("status"), F.flatten("vs").alias("x"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, dev = 0, np.zeros(dims), np.zeros(dims)
+        counts, first = dict.fromkeys(STATUSES, 0), []
+        for b in batches:
+            for k, s, x in zip(b.column("key").to_pylist(), b.column("status").to_pylist(), b.column("x"), strict=True):
+                counts[s] += 1
+                if s != "ok":
+                    first = sorted([*first, (k, s)], key=lambda r: (r[0] is not None, r[0]))[:NAMED]
+                    continue
+                x = x.values.to_numpy().reshape(-1, dims)
+                m, here = len(x), x.mean(0)
+                # two sets of deviations meet by the distance of their means
+                dev += ((x - here) ** 2).sum(0) + (here - mean) ** 2 * (n * m / (n + m))
+                mean += (here - mean) * (m / (n + m))
+                n += m
+        if sum(counts.values()):
+            yield pa.RecordBatch.from_pylist([{"n": n, "mean": mean.tolist(), "dev": dev.tolist(), "counts": list(counts.values()), "first": [{"key": k, "status": s} for k, s in first]}], schema=PART)
+
+    parts = clips.mapInArrow(add, "n long, mean array<double>, dev array<double>, counts array<long>, first array<struct<key: string, status: string>>")
+    seen = Observation("clips")
+    totals = [F.sum(F.get("counts", F.lit(i))).alias(s) for i, s in enumerate(STATUSES)]
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, NAMED).alias("first")
+    parts = staged(parts.observe(seen, *totals, first), "channel-parts")
+    report = {"counts": {s: seen.get[s] or 0 for s in STATUSES}, "first": [(r["key"], r["status"]) for r in seen.get["first"] or []]}
+    if not report["counts"]["ok"]:
+        raise ValueError(f"no valid clip: {report['counts']}, first {report['first']}")
+    # a row for each task and channel
+    rows = parts.where("n > 0").select("n", F.posexplode(F.arrays_zip("mean", "dev")).alias("d", "c"))
+    met = rows.groupBy("d").agg(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "c.mean", "c.dev")).alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda s, r: s + r["n"])
+    met = met.withColumn("n", total).withColumn("mean", F.aggregate("p", F.lit(0.0), lambda s, r: s + r["n"] * r["mean"]) / F.col("n"))
+    dev = F.aggregate("p", F.lit(0.0), lambda s, r: s + r["dev"] + r["n"] * (r["mean"] - F.col("mean")) * (r["mean"] - F.col("mean")))
+    stats = met.select("d", F.col("n").cast("long").alias("n"), "mean", F.sqrt(dev / F.col("n") + eps).alias("std"))
+    return require_sound_stats(stats), report
+
+
 def stats_status(mean: Column, std: Column) -> Column:
     """non_finite (or missing), flat (a std of 0 or less) or ok."""
     lost = mean.isNull() | std.isNull() | not_finite(mean) | not_finite(std)

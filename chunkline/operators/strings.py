@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkline.functions.ranking import dense_index
 from chunkline.functions.text import clean_text, parent
+from chunkline.sources.digest import VersionedTable
+from chunkline.sources.storage import staged
 
 
 def resolve_strings(sources: DataFrame, attached: DataFrame, texts: DataFrame | None = None, root_class: str | None = None) -> DataFrame:
@@ -54,6 +56,18 @@ def text_table(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     return strings, sources
 
 
+def write_text_table(resolved: DataFrame, path: str) -> tuple[int, int]:
+    """The versions below ``path`` that hold the two tables of ``resolved``. What has not changed is not written again."""
+    out = []
+    for rows, table in zip(text_table(resolved), text_tables(resolved.sparkSession, path), strict=True):
+        out.append(table.write(staged(rows, "text-table")))
+    return tuple(out)
+
+
+def text_tables(spark: SparkSession, path: str) -> tuple[VersionedTable, VersionedTable]:
+    return VersionedTable(spark, f"{path}/strings", "kind string, id long, value string", "value"), VersionedTable(spark, f"{path}/sources", "rel_path string, kind string, ids array<long>", "rel_path")
+
+
 def pick_string(ids: Column, idx: Column, split: Column, seed: int, epoch: int = 0) -> Column:
     """The id for a clip: null if there is none; val and test go round; train draws by a seeded hash each epoch."""
     n = F.size(ids)

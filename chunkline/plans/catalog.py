@@ -11,7 +11,8 @@ from chunkline.operators import splits as S
 from chunkline.plans.fixtures import view
 from chunkline.plans.registry import Family
 from chunkline.sources import catalog as K
-from chunkline.sources.storage import staged
+from chunkline.sources import digest as G
+from chunkline.sources.storage import new_path, staged
 
 family = Family()
 query = family.query
@@ -43,9 +44,28 @@ def a1(spark, sf):
     return K.source_catalog(sources(spark, sf), extensions=("txt",))
 
 
+def versioned(rows, key):
+    """A new versioned table that holds ``rows``."""
+    rows = staged(rows, "rows")
+    table = G.VersionedTable(rows.sparkSession, new_path(rows.sparkSession, "table"), rows.schema, key)
+    table.write(rows)
+    return table
+
+
 @query("a3_manifest_io", "SELECT rel_path, size_bytes, mtime_ns FROM fx_manifest_prev")
 def a3(spark, sf):
-    return staged(view(spark, sf, "fx_manifest_prev"), "manifest")
+    return versioned(view(spark, sf, "fx_manifest_prev"), "rel_path").read()
+
+
+@query("a3_manifest_versions", "SELECT 0 AS version, rel_path, size_bytes, mtime_ns FROM fx_manifest_prev UNION ALL SELECT 1, rel_path, size_bytes, mtime_ns FROM fx_sources")
+def a3_versions(spark, sf):
+    """Both versions, the first read by a reader that holds on to it."""
+    table = versioned(view(spark, sf, "fx_manifest_prev").select("rel_path", "size_bytes", "mtime_ns"), "rel_path")
+    first = table.read(0).withColumn("version", F.lit(0))
+    now = sources(spark, sf).select("rel_path", "size_bytes", "mtime_ns")
+    for _ in range(2):  # the second write finds nothing new
+        table.write(now)
+    return first.unionByName(table.read(1).withColumn("version", F.lit(table.version())))
 
 
 SPLIT_SQL = """
@@ -87,7 +107,7 @@ def g3_grown(spark, sf):
 @query("a4_splits_io", f"WITH {SPLIT_SQL} SELECT group_key, split, '0.8,0.1,0.1' AS ratios, '42' AS seed FROM s")
 def a4(spark, sf):
     params = spark.createDataFrame([("0.8,0.1,0.1", "42")], "ratios string, seed string")
-    return staged(splits(spark, sf).crossJoin(F.broadcast(params)), "splits")
+    return versioned(splits(spark, sf).crossJoin(F.broadcast(params)), "group_key").read()
 
 
 @query("a6_split_scoped_export", f"WITH {SPLIT_SQL} SELECT group_key, size_bytes FROM s WHERE split IN ('val', 'test')")
@@ -261,10 +281,34 @@ def b9(spark, sf):
     return c.select("l_partkey", S.ratio_status(a, F.col("n") / F.col("t"), r).alias("status"))
 
 
-@query("e12_fingerprint", """WITH l AS (SELECT sha256(rel_path || '|' || size_bytes || '|' || mtime_ns) AS h FROM fx_sources)
-SELECT sha256(concat_ws('|', count(*), """ + ", ".join(f"sum(('0x' || substr(h, {i}, 12))::BIGINT)" for i in (1, 13, 25, 37, 49)) + """)) AS digest, count(*) AS n FROM l""")
+TREE = """l AS (SELECT sha1(rel_path) AS k, sha256({ROW}) AS h FROM {T}), c AS (SELECT k, h, count(*) AS n FROM l GROUP BY ALL),
+d2 AS (SELECT substr(k, 1, 2) AS path, sum(n)::BIGINT AS n, sha256(string_agg(k || ' ' || h || ' ' || n, chr(10) ORDER BY k, h)) AS digest FROM c GROUP BY 1),
+d1 AS (SELECT substr(path, 1, 1) AS path, sum(n)::BIGINT AS n, sha256(string_agg(path || ' ' || digest, chr(10) ORDER BY path)) AS digest FROM d2 GROUP BY 1),
+d0 AS (SELECT '' AS path, sum(n)::BIGINT AS n, sha256(string_agg(path || ' ' || digest, chr(10) ORDER BY path)) AS digest FROM d1)"""
+ROW = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("rel_path", "size_bytes", "mtime_ns"))
+
+
+def tree_sql(table):
+    return TREE.format(ROW=ROW, T=table)
+
+
+def tree(df, digits=2):
+    return G.digest_tree(df, "rel_path", "size_bytes", "mtime_ns", digits=digits)
+
+
+@query("e12_fingerprint", f"WITH {tree_sql('fx_sources')} SELECT digest, n FROM d0")
 def e12(spark, sf):
-    return K.fingerprint(sources(spark, sf), "rel_path", "size_bytes", "mtime_ns")
+    return G.fingerprint(sources(spark, sf), "rel_path", "size_bytes", "mtime_ns")
+
+
+@query("e12_leaf_digests", f"WITH {tree_sql('fx_sources')} SELECT path, n, digest FROM d2")
+def e12_leaves(spark, sf):
+    return tree(sources(spark, sf)).where("length(path) = 2")
+
+
+@query("e12_changed_ranges", f"WITH a AS (WITH {tree_sql('fx_manifest_prev')} SELECT path, digest FROM d2), b AS (WITH {tree_sql('fx_sources')} SELECT path, digest FROM d2) SELECT path, a.digest AS was, b.digest AS now FROM a FULL JOIN b USING (path) WHERE a.digest IS DISTINCT FROM b.digest")
+def e12_changed(spark, sf):
+    return G.changed_ranges(tree(view(spark, sf, "fx_manifest_prev")), tree(sources(spark, sf)), 2)
 
 
 @query("e13_meta_conflicts", """WITH a AS (SELECT class_name AS key, sum(size_bytes)::VARCHAR AS was FROM fx_sources GROUP BY 1),

@@ -172,6 +172,20 @@ def a7(spark, sf):
     return T.text_table(staged(resolved(spark, sf), "resolved"))[0]
 
 
+@query("a7_text_table_versions", f"""WITH {RESOLVED}, old AS (SELECT * FROM res JOIN fx_sources USING (rel_path) WHERE doc_id % 10 <> 3),
+v AS (SELECT 0 AS version, 'label' AS kind, unnest(labels) AS value FROM old UNION SELECT 0, 'text', unnest(texts) FROM old UNION SELECT 1, 'label', unnest(labels) FROM res UNION SELECT 1, 'text', unnest(texts) FROM res)
+SELECT version, kind, row_number() OVER (PARTITION BY version, kind ORDER BY value) - 1 AS id, value FROM v""")
+def a7_versions(spark, sf):
+    """The strings of fewer sources, then of all; the third write is of the same."""
+    every, path = staged(resolved(spark, sf), "resolved"), new_path(spark, "texts")
+    some = every.join(sources(spark, sf).where("doc_id % 10 <> 3").select("rel_path"), "rel_path", "left_semi")
+    for rows in (some, every, every):
+        last = T.write_text_table(rows, path)[0]
+    table = T.text_tables(spark, path)[0]
+    held = [table.read(v).withColumn("version", F.lit(i)) for i, v in enumerate((0, last))]
+    return held[0].unionByName(held[1])
+
+
 @query("d10_pick_string", f"WITH {RESOLVED}, {DICT}, {IDS} SELECT rel_path, doc_id, ids[doc_id % len(ids) + 1] AS id FROM fx_sources JOIN ids USING (rel_path)")
 def d10(spark, sf):
     r = staged(resolved(spark, sf), "resolved")

@@ -22,15 +22,32 @@ def rounded(df, *names):
     return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
 
 
-@query(
-    "c7_latent_validity",
-    """WITH f AS (SELECT clip_id, CASE WHEN clip_id % 11 = 0 AND frame = 1 THEN embedding[1:10] ELSE embedding END AS v, clip_id % 13 = 0 AND frame = 2 AS nan FROM fx_clips WHERE NOT (clip_id % 7 = 0 AND frame = 4))
-    SELECT clip_id, CASE WHEN bool_or(len(v) <> 64) THEN 'bad_shape' WHEN count(*) < 5 THEN 'short' WHEN bool_or(nan) THEN 'non_finite' ELSE 'ok' END AS status FROM f GROUP BY clip_id""",
-)
-def c7(spark, sf):
+STATUS = """f AS (SELECT clip_id, frame, CASE WHEN clip_id % 11 = 0 AND frame = 1 THEN embedding[1:10] ELSE embedding END AS v, clip_id % 13 = 0 AND frame = 2 AS nan FROM fx_clips WHERE NOT (clip_id % 7 = 0 AND frame = 4)),
+    st AS (SELECT clip_id, CASE WHEN bool_or(len(v) <> 64) THEN 'bad_shape' WHEN count(*) < 5 THEN 'short' WHEN bool_or(nan) THEN 'non_finite' ELSE 'ok' END AS status FROM f GROUP BY clip_id)"""
+
+
+def faulty(spark, sf):
+    """Clips of which some lack a frame, have one of another width, or numbers that are not finite."""
     c = view(spark, sf, "fx_clips").where("not (clip_id % 7 = 0 and frame = 4)")
     v = F.when((F.col("clip_id") % 11 == 0) & (F.col("frame") == 1), F.slice("embedding", 1, 10)).when((F.col("clip_id") % 13 == 0) & (F.col("frame") == 2), F.transform("embedding", lambda x: F.lit(float("nan")).cast("float")))
-    return S.latent_status(c.withColumn("v", v.otherwise(F.col("embedding"))), "clip_id", "v", 64, 5)
+    return c.withColumn("v", v.otherwise(F.col("embedding")))
+
+
+@query("c7_latent_validity", f"WITH {STATUS} SELECT clip_id, status FROM st")
+def c7(spark, sf):
+    return S.latent_status(faulty(spark, sf), "clip_id", "v", 64, 5)
+
+
+@query("e6_valid_stats", f"WITH {STATUS}, x AS (SELECT unnest(range(64)) AS d, unnest(v)::DOUBLE AS v FROM f JOIN st USING (clip_id) WHERE status = 'ok') SELECT d, count(*) AS n, round(avg(v), 6) AS mean, round(sqrt(var_pop(v) + 1e-6), 6) AS std FROM x GROUP BY d")
+def e6_valid(spark, sf):
+    return rounded(S.valid_channel_stats(faulty(spark, sf), "clip_id", "frame", "v", 64, 5)[0], "mean", "std")
+
+
+@query("e6_reject_counts", f"WITH {STATUS}, n AS (SELECT status, count(*) AS n FROM st GROUP BY 1), r AS (SELECT clip_id, status, row_number() OVER (ORDER BY clip_id::VARCHAR) AS k FROM st WHERE status <> 'ok') SELECT status, n, coalesce((SELECT list(clip_id::VARCHAR ORDER BY clip_id::VARCHAR) FROM r WHERE k <= 10 AND r.status = n.status), []) AS first FROM n")
+def e6_rejects(spark, sf):
+    _, report = S.valid_channel_stats(faulty(spark, sf), "clip_id", "frame", "v", 64, 5)
+    rows = [(s, n, [k for k, t in report["first"] if t == s]) for s, n in report["counts"].items() if n]
+    return spark.createDataFrame(rows, "status string, n long, first array<string>")
 
 
 @query("e6_channel_stats", "SELECT d, count(*) AS n, round(avg(v::DOUBLE), 6) AS mean, round(sqrt(var_pop(v::DOUBLE) + 1e-6), 6) AS std FROM fx_latent_dims GROUP BY d")

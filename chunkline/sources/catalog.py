@@ -144,17 +144,6 @@ def companion_match(sources: DataFrame, files: DataFrame) -> DataFrame:
     return keyed(sources).join(got, ["folder", "stem"], "left").select("rel_path", status.alias("status"), F.coalesce("found", F.array().cast("array<string>")).alias("found"))
 
 
-def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """(digest, n): one digest of a table's rows, whatever their order and parts.
-
-    A row's digest is cut into five numbers of 48 bits. Their sums over the table, with the count, make the
-    table's digest: a few numbers leave each task, whatever its size.
-    """
-    h = F.sha2(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), "|"), 256)
-    sums = [F.sum(F.conv(F.substring("h", i, 12), 16, 10).cast("decimal(38,0)")).cast("string") for i in (1, 13, 25, 37, 49)]
-    return rows.select(h.alias("h")).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("digest"), F.count("*").alias("n"))
-
-
 def meta_conflicts(old: DataFrame, new: DataFrame) -> DataFrame:
     """(key, was, now) of the keys that both maps hold with different values; each table has one MAP column ``meta``."""
     a, b = (d.select(F.explode("meta").alias("key", v)) for d, v in ((old, "was"), (new, "now")))

@@ -8,7 +8,9 @@ row is written once a level, a batch reads no more than the runs it merges, and
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,20 +33,22 @@ class Marks:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
         return sorted(int(n) for n in names if n.isdigit())
 
-    def read(self, batch_id: int) -> list[list[int]]:
-        """The runs (level, last batch) of a mark."""
+    def read(self, batch_id: int) -> Any:
+        """What the mark says: of a run log, its runs (level, last batch)."""
         stream = self._fs.open(self._at(str(batch_id)))
         try:
             return json.loads(self._read(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def write(self, batch_id: int, runs: list[list[int]]) -> None:
-        half = self._at(f".{batch_id}")
+    def write(self, batch_id: int, runs: Any) -> None:
+        half = self._at(f".{batch_id}-{uuid.uuid4().hex}")
         out = self._fs.create(half, True)
         out.write(bytearray(json.dumps(runs).encode()))
         out.close()
-        if not self._fs.rename(half, self._at(str(batch_id))):
+        # a name that is taken is not given again
+        if self._fs.exists(self._at(str(batch_id))) or not self._fs.rename(half, self._at(str(batch_id))):
+            self._fs.delete(half, False)
             raise OSError(f"mark {batch_id} of {self.path} is there already")
 
     def drop(self, batch_id: int) -> None:
