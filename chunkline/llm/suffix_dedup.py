@@ -15,8 +15,8 @@ strings share at the same place: one row stands for all strings with that minimi
 
 Digits are compared by hashes. Where a digit only spares work (the first, the sides and the runs) 64 bits are
 enough, since a meeting by chance or design only leaves more rows to the next digit. What settles a string is
-compared by 128 bits of all its bytes: equal contexts by two hashes with multipliers drawn anew for each run, equal
-strings of the last digit by two hashes with different seeds.
+compared by 128 bits: equal contexts by 48 bits of the first digit's hash and 80 of hashes of all their bytes with
+multipliers drawn anew for each run, equal strings of the last digit by two hashes with different seeds.
 """
 
 from __future__ import annotations
@@ -63,19 +63,19 @@ def least_of(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[:n], out[w - size : w - size + n])
 
 
-def slice_digest(words: np.ndarray, at: np.ndarray, size: np.ndarray, shape: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
+def slice_digest(words: np.ndarray, at: np.ndarray, size: np.ndarray, shape: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the ``size`` bytes (8 or more) from each place and of ``shape``, by four drawn numbers."""
     last = at + size - 8
-    out = []
-    for start, times in seeds.reshape(2, 2):
-        times |= np.uint64(1)
-        h = mix(shape.astype(np.uint64) + start) * times
-        for k in range(0, int(size.max(initial=0)), 8):
-            # each step is one to one in the word; past the end the last word comes again
-            h = (h ^ words[np.minimum(at + k, last)]) * times
+    (s1, m1), (s2, m2) = seeds.reshape(2, 2) | np.array([0, 1], np.uint64)
+    h1, h2 = mix(shape.astype(np.uint64) + s1), mix(shape.astype(np.uint64) + s2)
+    for k in range(0, int(size.max(initial=0)), 8):
+        # each step is one to one in the word; past the end the last word comes again
+        w = words[np.minimum(at + k, last)]
+        for h, m in ((h1, m1), (h2, m2)):
+            h ^= w
+            h *= m
             h ^= h >> np.uint64(32)
-        out.append(mix(h ^ start))
-    return out
+    return mix(h1 ^ s1), mix(h2 ^ s2)
 
 
 def contexts(buf: np.ndarray, begin: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -128,7 +128,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _met_again(rows: DataFrame) -> DataFrame:
     """The rows (c1, c2, h, ...) whose h occurs in several contexts."""
-    twice = rows.groupBy("h").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("z")).where("a <> z").select("h")
+    twice = rows.groupBy("h").agg(*[f(c).alias(f"{n}{c}") for c in ("c1", "c2") for f, n in ((F.min, "a"), (F.max, "z"))]).where("ac1 <> zc1 or ac2 <> zc2").select("h")
     return rows.join(twice, "h").drop("h")
 
 
@@ -170,14 +170,22 @@ def removed_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 doc, key, lo, n, off, at = (x[on] for x in found)
                 shape = n << 8 | off
                 whole = slice_digest(words, at, n + (length - 1), shape, seeds)
-                columns = [ids[doc], sigs[doc], lo.astype(np.int32), key.view(np.int64), *(w.view(np.int64) for w in whole), shape.astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "sig", "lo", "key", "c1", "c2", "shape"])
-
-    rows = kept(docs.mapInArrow(find, "id long, sig long, lo int, key long, c1 long, c2 long, shape short").join(met, "key"), "shared-digits", met)
+                # start, shape and 16 bits of the first hash in one number
+                place = lo.astype(np.uint64) << np.uint64(32) | shape.astype(np.uint64) << np.uint64(16) | whole[0] >> np.uint64(48)
+                columns = [ids[doc], sigs[doc], *(x.view(np.int64) for x in (key, whole[1], place))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "sig", "key", "c2", "place"])
+
+    low = lambda c, bits: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
+    c1 = F.col("key").bitwiseAND(F.lit(-1 << 16)).bitwiseOR(low("place", 16))
+    shape = F.shiftrightunsigned("place", 16).bitwiseAND(F.lit((1 << 16) - 1)).cast("int")
+    rows = docs.mapInArrow(find, "id long, sig long, key long, c2 long, place long").join(met, "key")
+    rows = rows.select("id", "sig", c1.alias("c1"), "c2", F.shiftrightunsigned("place", 32).cast("int").alias("lo"), shape.alias("shape"))
+    rows = kept(rows, "shared-digits", met)
     # 2. digit
-    first = F.min(F.struct("id", "sig", "lo")).alias("first")
-    held = rows.groupBy(*ctx).agg(first, F.min("key").alias("key"), F.min("shape").alias("shape"), F.count("*").alias("m"))
-    held = kept(held.select(*ctx, "first.*", "key", "shape", "m"), "contexts")
+    # both go by the same comparisons, so they are of one row
+    first = [F.min("id").alias("id"), F.min_by("sig", "id").alias("sig"), F.min_by("lo", "id").alias("lo")]
+    held = rows.groupBy(*ctx).agg(*first, F.min("shape").alias("shape"), F.count("*").alias("m"))
+    held = kept(held.withColumn("key", F.shiftright("c1", 16)), "contexts")
     several = held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     n, off = F.shiftright(F.col("shape").cast("int"), 8), F.col("shape").cast("int").bitwiseAND(F.lit(255))
     wanted = held.join(several, "key").groupBy("id", "sig").agg(F.collect_list(F.struct(*ctx, "lo", n.alias("n"), off.alias("off"))).alias("c"))
