@@ -1,11 +1,9 @@
-"""Notes to frames and back, pairing of messages, matching of events."""
+"""Notes to frames and back, pairing of messages, nearest events."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 #: Lowest key and number of keys; drum pitches by class.
@@ -106,39 +104,6 @@ def nearest_event(points: DataFrame, events: DataFrame, key: str, time: str) ->
     return d.select(key, time, near.alias("nearest"))
 
 
-def greedy_matches(ref: list[float], est: list[float], tolerance: float) -> int:
-    """Most one-to-one matches of two sorted lists: with one tolerance on a line, the earliest match is the best."""
-    i = j = n = 0
-    while i < len(ref) and j < len(est):
-        d = round(est[j] - ref[i], 4)
-        if abs(d) <= tolerance:
-            n, i, j = n + 1, i + 1, j + 1
-        elif d > 0:
-            i += 1
-        else:
-            j += 1
-    return n
-
-
-def match_count(ref: Column, est: Column, tolerance: float) -> Column:
-    """Matches of two sorted arrays of times, an Arrow batch at a time."""
-
-    @F.pandas_udf(LongType())
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([greedy_matches(list(x), list(y), tolerance) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-    return count(ref, est)
-
-
-def tolerance_match(ref: DataFrame, est: DataFrame, keys: list[str], inner: str, time: str, tolerance: float) -> DataFrame:
-    """(keys, n_ref, n_est, n_match) of events with the same ``inner`` key and times within the tolerance."""
-    times = lambda d, name: d.groupBy(*keys, inner).agg(F.array_sort(F.collect_list(time)).alias(name))
-    none = F.array().cast("array<double>")
-    both = times(ref, "r").join(times(est, "e"), [*keys, inner], "full_outer").select(*keys, F.coalesce("r", none).alias("r"), F.coalesce("e", none).alias("e"))
-    both = both.withColumn("m", match_count(F.col("r"), F.col("e"), tolerance))
-    return both.groupBy(*keys).agg(F.sum(F.size("r")).alias("n_ref"), F.sum(F.size("e")).alias("n_est"), F.sum("m").alias("n_match"))
-
-
 def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
     import math
 

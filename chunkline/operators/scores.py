@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chunkline.functions.series import dot
-from chunkline.operators.notes import DRUM0, KEYS, ONSET0, gaussian_smooth, greedy_matches
+from chunkline.operators.beats import tolerance_match
+from chunkline.operators.notes import DRUM0, KEYS, ONSET0, drum_class, gaussian_smooth
 
 
 def nan() -> Column:
@@ -113,53 +111,21 @@ def match_scores(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.select(*keys, ratio(m, e).alias("precision"), ratio(m, r).alias("recall"), F.when(r == 0, nan()).otherwise(f1).alias("f1"))
 
 
-def _continuity(ref: np.ndarray, est: np.ndarray, limit: float = 0.175) -> float:
-    """Share of estimated beats that keep the phase and period of the reference."""
-    if len(ref) < 2 or len(est) < 2:
-        return 0.0
-    good, used = np.zeros(max(len(ref), len(est)), bool), np.zeros(len(ref), bool)
-    for i, t in enumerate(est):
-        k = int(np.abs(ref - t).argmin())
-        if used[k]:
-            continue
-        a, b = (k, k + 1) if k == 0 or i == 0 else (k - 1, k)
-        c, d = (i, i + 1) if k == 0 or i == 0 else (i - 1, i)
-        if b >= len(ref) or d >= len(est):
-            continue
-        period = ref[b] - ref[a]
-        if abs(t - ref[k]) / period < limit and abs(1 - (est[d] - est[c]) / period) < limit:
-            good[i] = used[k] = True
-    return float(good.sum() / len(good))
-
-
-def beat_measures(ref: np.ndarray, est: np.ndarray) -> tuple[float, float, float, float, float]:
-    """F-measure, Cemgil, P-score, CMLt and AMLt of two sorted lists of beats."""
-    nan_ = float("nan")
-    if not len(ref):
-        return (nan_,) * 5
-    m = greedy_matches(list(ref), list(est), 0.07)
-    f = 2 * m / (len(ref) + len(est))
-    near = np.abs(ref[:, None] - est[None, :]).min(1) if len(est) else np.full(len(ref), np.inf)
-    cemgil = float(np.exp(-(near**2) / (2 * 0.04**2)).sum() / (0.5 * (len(ref) + len(est))))
-    if len(ref) < 2:
-        return f, cemgil, nan_, nan_, nan_
-    win = int(round(0.2 * np.median(np.diff(np.round(ref * 100)))))
-    gaps = np.round(ref * 100)[:, None] - np.round(est * 100)[None, :]
-    p = float((np.abs(gaps) <= win).sum() / max(len(ref), len(est)))
-    mid = np.sort(np.concatenate([ref, (ref[1:] + ref[:-1]) / 2]))
-    forms = [ref, mid, mid[1::2], ref[::2], ref[1::2]]
-    return f, cemgil, min(p, 1.0), _continuity(ref, est), max(_continuity(x, est) for x in forms)
-
-
-def beat_scores(beats: DataFrame, keys: list[str], ref: str, est: str) -> DataFrame:
-    """Scores of two arrays of beat times in each row, an Arrow batch at a time."""
-    names = ["f_measure", "cemgil", "p_score", "cmlt", "amlt"]
-
-    @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in names]))
-    def measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([beat_measures(np.sort(np.asarray(x, float)), np.sort(np.asarray(y, float))) for x, y in zip(a, b, strict=True)], columns=names)
-
-    return beats.select(*keys, measure(F.col(ref), F.col(est)).alias("m")).select(*keys, "m.*")
+def transcription_scores(ref: DataFrame, est: DataFrame, clips: DataFrame, keys: list[str], tolerance: float = 0.05) -> DataFrame:
+    """(keys, note_precision, note_recall, note_f1, drum_precision, drum_recall, drum_f1) for every row of ``clips`` (keys).
+
+    Events (keys, onset, pitch, is_drum) match one to one by pitch, drums by their class; drums of no class are left out.
+    """
+    def slotted(d: DataFrame) -> DataFrame:
+        d = d.withColumn("slot", F.when(F.col("is_drum"), drum_class(F.col("pitch"))).otherwise(F.col("pitch")))
+        return d.where("slot is not null").select(*keys, "is_drum", "slot", "onset")
+
+    counts = tolerance_match(slotted(ref), slotted(est), [*keys, "is_drum"], "slot", "onset", tolerance)
+    out = clips.select(*keys).distinct()
+    for name, drum in (("note", False), ("drum", True)):
+        s = match_scores(counts.where(F.col("is_drum") == drum), keys)
+        out = out.join(s.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in ("precision", "recall", "f1")]), keys, "left")
+    return out.select(*keys, *[F.coalesce(c, nan()).alias(c) for c in out.columns if c not in keys])
 
 
 def ledger(scores: DataFrame, failures: DataFrame | None = None) -> DataFrame:

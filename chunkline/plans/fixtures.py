@@ -79,4 +79,7 @@ def duck(body: str) -> str:
         parts.append(f"{name} AS ({re.sub(r'{(\w+)}', r'\1', sql)})")
     body = body.strip()
     own = body[4:].lstrip() if body.upper().startswith("WITH") else None
-    return ("WITH " + ", ".join(parts) + (", " + own if own else " " + body)) if parts else body
+    recursive = ""
+    if own and own.upper().startswith("RECURSIVE"):
+        own, recursive = own[9:].lstrip(), "RECURSIVE "
+    return (f"WITH {recursive}" + ", ".join(parts) + (", " + own if own else " " + body)) if parts else body

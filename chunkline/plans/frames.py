@@ -8,6 +8,7 @@ from chunkline.functions import series as A
 from chunkline.operators import chunks as C
 from chunkline.operators import frames as R
 from chunkline.plans.fixtures import view
+from chunkline.plans.notes import GRID, PEAKS
 from chunkline.plans.registry import Family
 
 family = Family()
@@ -201,7 +202,7 @@ def f7(spark, sf):
     return arrays(spark, sf).select("clip_id", rounded()(A.polynomial_smooth(F.col("a"), 9)))
 
 
-@query("f9_peak_times")
+@query("f9_peak_times", f"WITH RECURSIVE {GRID}, {PEAKS.format(n='pk', v='target')} SELECT clip_id, list_transform(t, lambda x: round(x, 6)) AS times FROM pk")
 def f9(spark, sf):
     c = R.zero_filled(view(spark, sf, "fx_curves"), "clip_id", 31, "target").withColumn("target", F.col("target") / 100)
     return R.peak_times(c, "clip_id", "frame", "target", 10.0).select("clip_id", rounded("times")(F.col("times")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chunkline.operators import beats as B
 from chunkline.operators import frames as R
 from chunkline.operators import notes as N
 from chunkline.operators import scores as S
@@ -89,19 +90,42 @@ def d13(spark, sf):
     return rounded(near, "onset", "nearest").distinct()
 
 
-def matched(spark, sf):
-    n = notes(spark, sf).where("not is_drum").withColumn("pitch", F.col("pitch") % 4)
-    return N.tolerance_match(n.where("side = 0"), n.where("side = 1"), ["clip_id"], "pitch", "onset", 20.0)
+def two_sides(spark, sf):
+    """Notes and drums; pitches of notes are folded, so that many meet."""
+    n = notes(spark, sf).withColumn("pitch", F.when(F.col("is_drum"), F.col("pitch")).otherwise(F.col("pitch") % 4))
+    return n.where("side = 0"), n.where("side = 1")
 
 
-@query("d14_tolerance_match")
+#: Two pointers over the sorted times of both sides of each key.
+MATCH = """{n}_l AS (SELECT {k}, coalesce(list(t ORDER BY t) FILTER (side = 0), []) AS r, coalesce(list(t ORDER BY t) FILTER (side = 1), []) AS e FROM {s} GROUP BY ALL),
+{n}_w AS (SELECT {k}, r, e, 1 AS i, 1 AS j, 0 AS m FROM {n}_l UNION ALL
+  SELECT {k}, r, e, i + CASE WHEN round(e[j] - r[i], 4) >= -{tol} THEN 1 ELSE 0 END, j + CASE WHEN round(e[j] - r[i], 4) <= {tol} THEN 1 ELSE 0 END, m + CASE WHEN abs(round(e[j] - r[i], 4)) <= {tol} THEN 1 ELSE 0 END
+  FROM {n}_w WHERE i <= len(r) AND j <= len(e)),
+{n} AS (SELECT {k}, len(r) AS nr, len(e) AS ne, max(m) AS m FROM {n}_w GROUP BY ALL)"""
+_DRUM = ", ".join(f"({p}, {k})" for k, ps in enumerate(N.DRUMS) for p in ps)
+EVENTS = f"""ev AS (SELECT clip_id, is_drum, side, onset_s AS t, CASE WHEN is_drum THEN 100 + d.k ELSE fx_notes.pitch % 4 END AS slot FROM fx_notes LEFT JOIN (VALUES {_DRUM}) d(p, k) ON d.p = fx_notes.pitch WHERE NOT is_drum OR d.k IS NOT NULL),
+""" + MATCH.format(n="mt", k="clip_id, is_drum, slot", s="ev", tol=20.0) + """,
+tot AS (SELECT clip_id, is_drum, sum(nr)::BIGINT AS n_ref, sum(ne)::BIGINT AS n_est, sum(m)::BIGINT AS n_match FROM mt GROUP BY ALL)"""
+
+
+@query("d14_tolerance_match", f"WITH RECURSIVE {EVENTS} SELECT clip_id, is_drum, n_ref, n_est, n_match FROM tot")
 def d14(spark, sf):
-    return matched(spark, sf)
+    slot = F.when(F.col("is_drum"), N.drum_class(F.col("pitch"))).otherwise(F.col("pitch"))
+    ref, est = (d.withColumn("slot", slot).where("slot is not null") for d in two_sides(spark, sf))
+    return B.tolerance_match(ref, est, ["clip_id", "is_drum"], "slot", "onset", 20.0)
+
 
+PRF = """CASE WHEN coalesce(n_ref, 0) = 0 AND coalesce(n_est, 0) = 0 THEN 'NaN' WHEN n_est = 0 THEN 'NaN' ELSE round(n_match / n_est, 6) END::DOUBLE AS {n}_precision,
+CASE WHEN coalesce(n_ref, 0) = 0 THEN 'NaN' ELSE round(n_match / n_ref, 6) END::DOUBLE AS {n}_recall, CASE WHEN coalesce(n_ref, 0) = 0 THEN 'NaN' WHEN n_match = 0 THEN 0 ELSE round(2 * n_match / (n_ref + n_est), 6) END::DOUBLE AS {n}_f1"""
 
-@query("e21_transcription_scores")
+
+@query(
+    "e21_transcription_scores",
+    f"WITH RECURSIVE {EVENTS}, cl AS (SELECT DISTINCT clip_id FROM fx_notes), a AS (SELECT clip_id, {PRF.format(n='note')} FROM cl LEFT JOIN (SELECT * FROM tot WHERE NOT is_drum) t USING (clip_id)), b AS (SELECT clip_id, {PRF.format(n='drum')} FROM cl LEFT JOIN (SELECT * FROM tot WHERE is_drum) t USING (clip_id)) SELECT * FROM a JOIN b USING (clip_id)",
+)
 def e21(spark, sf):
-    return rounded(S.match_scores(matched(spark, sf), ["clip_id"]), "precision", "recall", "f1")
+    s = S.transcription_scores(*two_sides(spark, sf), notes(spark, sf), ["clip_id"], 20.0)
+    return rounded(s, *s.columns[1:])
 
 
 _K = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in N.gaussian_kernel(2.0))
@@ -178,17 +202,48 @@ def e19(spark, sf):
     return rounded(s, *s.columns[1:])
 
 
+#: Peaks of a curve, merged by the running mean of a group.
+PEAKS = """{n}_p AS (SELECT clip_id, list(frame::DOUBLE ORDER BY frame) AS p FROM (SELECT clip_id, frame, v, max(v) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM (SELECT clip_id, frame, {v} AS v FROM grid)) WHERE v = top AND v > 0.5 GROUP BY clip_id),
+{n}_w AS (SELECT clip_id, p, 1 AS i, NULL::DOUBLE AS mean, 0 AS n, []::DOUBLE[] AS done FROM {n}_p UNION ALL
+  SELECT clip_id, p, i + 1, CASE WHEN p[i] - mean <= 1 THEN (mean * n + p[i]) / (n + 1) ELSE p[i] END, CASE WHEN p[i] - mean <= 1 THEN n + 1 ELSE 1 END, CASE WHEN mean IS NULL OR p[i] - mean <= 1 THEN done ELSE list_append(done, mean) END
+  FROM {n}_w WHERE i <= len(p)),
+{n} AS (SELECT clip_id, list_transform(list_append(done, mean), lambda x: x / 10.0) AS t FROM {n}_w WHERE i = len(p) + 1)"""
+GRID = "grid AS (SELECT clip_id, frame, coalesce(target, 0) / 100 AS target, coalesce(generated, 0) / 100 AS generated FROM (SELECT clip_id, unnest(range(31)) AS frame FROM (SELECT DISTINCT clip_id FROM fx_curves)) LEFT JOIN fx_curves USING (clip_id, frame))"
+DOWN = "CASE WHEN frame % 3 = 0 THEN {c} ELSE 0 END"
+_SNAP = "list_sort(list_distinct(list_transform(coalesce({d}.t, []), lambda d: CASE WHEN {b}.t IS NULL THEN d ELSE {b}.t[list_position(list_transform({b}.t, lambda b: abs(b - d)), list_min(list_transform({b}.t, lambda b: abs(b - d))))] END)))"
+BEATS = ", ".join([GRID, *[PEAKS.format(n=n, v=v) for n, v in (("rb", "target"), ("eb", "generated"), ("rd", DOWN.format(c="target")), ("ed", DOWN.format(c="generated")))]]) + f""",
+bt AS (SELECT clip_id, coalesce(rb.t, []) AS r, coalesce(eb.t, []) AS e, {_SNAP.format(d='rd', b='rb')} AS rd, {_SNAP.format(d='ed', b='eb')} AS ed FROM (SELECT DISTINCT clip_id FROM grid) LEFT JOIN rb USING (clip_id) LEFT JOIN eb USING (clip_id) LEFT JOIN rd USING (clip_id) LEFT JOIN ed USING (clip_id)),
+bs AS (SELECT clip_id, 0 AS side, unnest(r) AS t FROM bt UNION ALL SELECT clip_id, 1, unnest(e) FROM bt), ds AS (SELECT clip_id, 0 AS side, unnest(rd) AS t FROM bt UNION ALL SELECT clip_id, 1, unnest(ed) FROM bt),
+""" + MATCH.format(n="bm", k="clip_id", s="bs", tol=0.07) + ", " + MATCH.format(n="dm", k="clip_id", s="ds", tol=0.07)
+
+
+def beats(spark, sf):
+    """(clip_id, ref, est, ref_down, est_down) of the curves of clips; downbeats are peaks of each third frame."""
+    c = R.zero_filled(view(spark, sf, "fx_curves"), "clip_id", 31, "target", "generated")
+    both = None
+    for name, v in (("ref", "target"), ("est", "generated")):
+        d = c.select("clip_id", "frame", (F.col(v) / 100).alias("beat"), F.when(F.col("frame") % 3 == 0, F.col(v) / 100).otherwise(0.0).alias("down"))
+        d = B.with_downbeats(d, "clip_id", "frame", "beat", "down", 10.0).withColumnsRenamed({"beats": name, "downs": f"{name}_down"})
+        both = d if both is None else both.join(d, "clip_id")
+    return both
+
+
 @query("e20_beat_scores")
 def e20(spark, sf):
-    c = R.zero_filled(view(spark, sf, "fx_curves"), "clip_id", 31, "target", "generated")
-    c = c.withColumn("target", F.col("target") / 100).withColumn("generated", F.col("generated") / 100)
-    ref, est = (R.peak_times(c, "clip_id", "frame", v, 10.0).withColumnRenamed("times", v) for v in ("target", "generated"))
-    none = F.array().cast("array<double>")
-    both = ref.join(est, "clip_id", "full_outer").select("clip_id", F.coalesce("target", none).alias("target"), F.coalesce("generated", none).alias("generated"))
-    s = S.beat_scores(both, ["clip_id"], "target", "generated")
+    s = B.beat_scores(beats(spark, sf), ["clip_id"])
     return rounded(s, *s.columns[1:])
 
 
+@query(
+    "e20_beat_f",
+    f"""WITH RECURSIVE {BEATS} SELECT clip_id, CASE WHEN len(r) = 0 THEN 'NaN' ELSE round(coalesce(2 * bm.m / (len(r) + len(e)), 0), 6) END::DOUBLE AS f_measure,
+    CASE WHEN len(r) = 0 THEN 'NaN' WHEN len(e) = 0 THEN 0 ELSE round(list_sum(list_transform(r, lambda x: exp(-pow(list_min(list_transform(e, lambda y: abs(y - x))), 2) / (2 * 0.04 * 0.04)))) / (0.5 * (len(r) + len(e))), 6) END::DOUBLE AS cemgil,
+    CASE WHEN len(rd) = 0 THEN 'NaN' ELSE round(coalesce(2 * dm.m / (len(rd) + len(ed)), 0), 6) END::DOUBLE AS downbeat_f_measure FROM bt LEFT JOIN bm USING (clip_id) LEFT JOIN dm USING (clip_id)""",
+)
+def e20_f(spark, sf):
+    return rounded(B.beat_scores(beats(spark, sf), ["clip_id"]).select("clip_id", "f_measure", "cemgil", "downbeat_f_measure"), "f_measure", "cemgil", "downbeat_f_measure")
+
+
 def scores(spark, sf):
     return view(spark, sf, "fx_scores").select("arm", F.col("metric_key").alias("cond"), F.lit("level").alias("metric"), "sample_id", F.col("score").alias("value"))
 

@@ -2,12 +2,14 @@
 
 import math
 
+import beats_by_force as by_force
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chunkline.functions import series as A
 from chunkline.functions import text as T
+from chunkline.operators import beats as B
 from chunkline.operators import chunks as C
 from chunkline.operators import conditions as K
 from chunkline.operators import frames as R
@@ -95,8 +97,8 @@ def test_peaks_merge(spark):
 
 
 def test_greedy_matching():
-    assert N.greedy_matches([1.00, 1.06], [1.04, 1.10], 0.05) == 2
-    assert N.greedy_matches([], [1.0], 0.05) == 0
+    assert by_force.greedy_matches([1.00, 1.06], [1.04, 1.10], 0.05) == 2
+    assert by_force.greedy_matches([], [1.0], 0.05) == 0
 
 
 def test_empty_transcriptions(spark):
@@ -113,23 +115,23 @@ def test_flat_curve_is_nan(spark):
 
 def test_beats():
     ref = np.arange(1, 11, dtype=float)
-    assert S.beat_measures(ref, ref) == pytest.approx((1, 1, 1, 1, 1))
-    half = S.beat_measures(ref, np.arange(1, 10.5, 0.5))
+    assert by_force.beat_measures(ref, ref) == pytest.approx((1, 1, 1, 1, 1))
+    half = by_force.beat_measures(ref, np.arange(1, 10.5, 0.5))
     assert half[3] < 0.5 and half[4] == pytest.approx(1)
-    assert all(map(math.isnan, S.beat_measures(np.zeros(0), ref)))
+    assert all(map(math.isnan, by_force.beat_measures(np.zeros(0), ref)))
 
 
 def test_beat_values():
     """Offsets of known size: Cemgil is exp(-offset^2 / (2 * 0.04^2)), phases within 0.175 periods keep continuity."""
     ref = np.arange(1, 11, dtype=float)
-    f, cemgil, p, cmlt, amlt = S.beat_measures(ref, ref + 0.04)
+    f, cemgil, p, cmlt, amlt = by_force.beat_measures(ref, ref + 0.04)
     assert (f, cemgil, p, cmlt, amlt) == pytest.approx((1, math.exp(-0.5), 1, 1, 1))
-    f, cemgil, p, cmlt, amlt = S.beat_measures(ref, ref + 0.25)
+    f, cemgil, p, cmlt, amlt = by_force.beat_measures(ref, ref + 0.25)
     assert f == 0 and cemgil == pytest.approx(math.exp(-(0.25**2) / (2 * 0.04**2))) and p == 0 and cmlt == 0
-    f, _, p, cmlt, _ = S.beat_measures(ref, ref[:5])
+    f, _, p, cmlt, _ = by_force.beat_measures(ref, ref[:5])
     assert f == pytest.approx(2 * 5 / 15) and p == pytest.approx(0.5) and cmlt == pytest.approx(0.5)
     # on the off-beats: all but the last, which has no off-beat near it
-    assert S.beat_measures(ref, ref + 0.5)[3:] == pytest.approx((0, 0.9))
+    assert by_force.beat_measures(ref, ref + 0.5)[3:] == pytest.approx((0, 0.9))
 
 
 def test_greedy_matching_is_maximal():
@@ -152,7 +154,7 @@ def test_greedy_matching_is_maximal():
 
     for _ in range(200):
         a, b = (np.sort(rng.integers(0, 100, rng.integers(0, 12)) / 50).tolist() for _ in "ab")
-        assert N.greedy_matches(a, b, 0.05) == most(a, b)
+        assert by_force.greedy_matches(a, b, 0.05) == most(a, b)
 
 
 def test_transcription_values(spark):
@@ -264,3 +266,43 @@ def test_unmatched_sidecar_rows(spark):
     got, lost = catalog.attach_sidecar(src, rows)
     assert {r["rel_path"]: r["labels"] for r in got.collect()} == {"en/a.wav": ["x", "y"], "fr/a.wav": ["y"]}
     assert [r["label"] for r in lost.collect()] == ["z"]
+
+
+def test_beat_folds(spark):
+    """The folds over arrays against plain lists: random beats, none, one, many more of either, ties."""
+    rng = np.random.default_rng(9)
+    lists = lambda n: np.unique(rng.integers(0, 400, n) / 20).tolist()
+    rows = [(i, lists(rng.integers(0, 25)), lists(rng.integers(0, 25))) for i in range(60)]
+    steady = np.arange(1, 11, dtype=float)
+    rows += [(100 + i, steady.tolist(), x.tolist()) for i, x in enumerate((steady, steady + 0.04, steady + 0.25, steady + 0.5, steady[:5], np.arange(1, 10.5, 0.5), steady[::2], steady[:0], steady[:1]))]
+    d = spark.createDataFrame([(*r, r[1][::4], r[2][::4]) for r in rows], "k long, ref array<double>, est array<double>, ref_down array<double>, est_down array<double>")
+    got = {r["k"]: tuple(r)[1:] for r in B.beat_scores(d, ["k"]).collect()}
+    for k, ref, est in rows:
+        want = by_force.beat_measures(np.array(ref), np.array(est))
+        down = by_force.beat_measures(np.array(ref[::4]), np.array(est[::4]))[0]
+        assert got[k] == pytest.approx((*want, down), nan_ok=True), (ref, est)
+
+
+def test_downbeats_are_snapped(spark):
+    of = lambda rows: spark.createDataFrame(rows, "k string, times array<double>")
+    got = B.snapped(of([("a", [0.4, 1.5, 1.6, 9.0]), ("none", [2.0, 3.0]), ("empty", [])]), of([("a", [0.0, 1.0, 2.0, 3.0]), ("other", [1.0])]), "k")
+    assert {r["k"]: r["times"] for r in got.collect()} == {"a": [0.0, 1.0, 2.0, 3.0], "none": [2.0, 3.0]}
+
+
+def test_tolerance_match_by_parts(spark):
+    """Dense and sparse keys, parted at gaps, against one pass over whole lists; one key with most events."""
+    rng = np.random.default_rng(10)
+    ev = lambda n, side: [(int(k), float(t) / 100) for k, t in zip(rng.choice([1, 1, 1, 2, 3], n), rng.integers(0, 3000, n), strict=True)]
+    ref, est = ev(400, 0), [*ev(300, 1), (7, 1.0)]
+    d = lambda rows: spark.createDataFrame([("c", k, t) for k, t in rows], "c string, k int, t double")
+    (got,) = B.tolerance_match(d(ref), d(est), ["c"], "k", "t", 0.05).collect()
+    want = sum(by_force.greedy_matches(sorted(t for k, t in ref if k == key), sorted(t for k, t in est if k == key), 0.05) for key in (1, 2, 3, 7))
+    assert (got["n_ref"], got["n_est"], got["n_match"]) == (400, 301, want)
+
+
+def test_drums_match_by_class(spark):
+    ev = lambda rows: spark.createDataFrame([("c", o, p, d) for o, p, d in rows], "c string, onset double, pitch int, is_drum boolean")
+    ref, est = ev([(1.0, 36, True), (2.0, 60, False), (3.0, 200, True)]), ev([(1.01, 35, True), (2.0, 61, False)])
+    clips = spark.createDataFrame([("c",), ("empty",)], "c string")
+    got = {r["c"]: tuple(r)[1:] for r in S.transcription_scores(ref, est, clips, ["c"]).collect()}
+    assert got["c"] == (0, 0, 0, 1, 1, 1) and all(map(math.isnan, got["empty"]))
