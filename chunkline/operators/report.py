@@ -95,6 +95,13 @@ def window_spans(spark: SparkSession, spec: list[list[tuple[float, float]]], fra
     return spark.createDataFrame(rows, "window string, lo int, hi int")
 
 
+def sample_spans(clips: DataFrame, frames: int, hop_length: int, codec_rate: int, rate: str = "rate") -> DataFrame:
+    """Clips (start in frames, their source's sample rate) with ``lo`` and ``hi`` in samples of the source, halves to even."""
+    per_frame = F.lit(hop_length) * F.col(rate) / F.lit(codec_rate)
+    at = lambda c: F.rint(c * per_frame).cast("long")
+    return clips.withColumn("lo", at(F.col("start"))).withColumn("hi", at(F.col("start") + frames))
+
+
 def in_windows(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """Frames with each window that holds them. The spans are a handful of configured rows."""
     return frames.join(F.broadcast(spans), (F.col("frame") >= F.col("lo")) & (F.col("frame") < F.col("hi"))).drop("lo", "hi")

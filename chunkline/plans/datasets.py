@@ -122,12 +122,12 @@ def c8(spark, sf):
     return C.condition_status(rows, dims, 5)
 
 
-@query("c8_lenient_fill", f"SELECT clip_id::VARCHAR AS rel_chunk, frame, status <> 'ok' AS filled, round(CASE WHEN status = 'ok' THEN embedding[1] ELSE 0 END::DOUBLE, 6) AS v FROM fx_clips JOIN ({VALID}) s ON s.rel_chunk = clip_id::VARCHAR")
+@query("c8_lenient_fill", f"SELECT clip_id::VARCHAR AS rel_chunk, frame, status <> 'ok' AS filled, CASE WHEN status = 'ok' THEN list_transform(embedding, lambda x: round(x::DOUBLE, 6)) ELSE list_transform(range(64), lambda x: 0::DOUBLE) END AS v FROM fx_clips JOIN ({VALID}) s ON s.rel_chunk = clip_id::VARCHAR")
 def c8_fill(spark, sf):
     rows, dims = faulty(spark, sf)
     chunks = view(spark, sf, "fx_clips").select(F.col("clip_id").cast("string").alias("rel_chunk")).distinct()
     out = C.zero_filled(chunks, rows, C.condition_status(rows, dims, 5), dims, 5)
-    return out.select("rel_chunk", "frame", "filled", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("v"))
+    return out.select("rel_chunk", "frame", "filled", F.transform("v", lambda x: F.round(x.cast("double"), 6)).alias("v"))
 
 
 RESOLVED = f"""{ATTACH}, res AS (SELECT s.rel_path, coalesce(labels, [s.folder]) AS labels, coalesce(texts, CASE WHEN doc_id % 5 = 0 THEN ['note ' || doc_id % 50] ELSE [] END) AS texts FROM fx_sources s LEFT JOIN l USING (rel_path) LEFT JOIN t USING (rel_path))"""
@@ -278,14 +278,52 @@ def d9(spark, sf):
     return out.select("rel_chunk", "start", F.transform("energy", lambda v: F.round(F.get(v, F.lit(0)), 6)).alias("a"))
 
 
+SAMPLES = """n AS (SELECT clip_id, count(*) AS n FROM fx_samples GROUP BY 1), c AS (SELECT clip_id, unnest(range((n - 20) // 15 + 1)) * 15 AS start FROM n WHERE n >= 20),
+    m AS (SELECT c.clip_id, start, k, CASE WHEN s.seq % 31 <> 5 THEN s.x END AS x FROM (SELECT clip_id, start, unnest(range(20)) AS k FROM c) c LEFT JOIN fx_samples s ON s.clip_id = c.clip_id AND s.seq = start + k),
+    w AS (SELECT clip_id, min(x) AS lo, max(x) AS hi FROM fx_samples WHERE clip_id % 4 <> 0 GROUP BY 1),
+    q AS (SELECT clip_id, start, list(round(coalesce(x, 0)::FLOAT::DOUBLE, 5) ORDER BY k) AS energy, list(x IS NOT NULL ORDER BY k) AS energy_mask FROM m GROUP BY ALL)"""
+
+
+def overlapping(spark, sf, strict):
+    """Clips of 20 frames, 15 apart, over series that lack some frames, and a vector of whole chunks that some lack."""
+    s = view(spark, sf, "fx_samples").withColumn("rel_chunk", F.col("clip_id").cast("string"))
+    n = s.groupBy("rel_chunk").agg(F.count("*").alias("n"))
+    from chunkline.operators.chunks import window_starts
+
+    clips = n.select("rel_chunk", F.explode(window_starts(F.col("n"), 20, 5)).alias("start"))
+    frames = s.where("seq % 31 <> 5").select("rel_chunk", F.lit("energy").alias("name"), F.col("seq").alias("frame"), F.array(F.col("x").cast("float")).alias("v"))
+    whole = s.where("clip_id % 4 <> 0").groupBy("rel_chunk").agg(F.array(F.min("x").cast("float"), F.max("x").cast("float")).alias("v")).select("rel_chunk", F.lit("range").alias("name"), F.lit(None).cast("int").alias("frame"), "v")
+    out = X.clip_samples(clips, frames.unionByName(whole), registry_dims(spark), 20, ["energy", "range"], strict=strict)
+    near = lambda x: F.round(x.cast("double"), 5)
+    return out.select("rel_chunk", "start", F.transform("energy", lambda v: near(F.get(v, F.lit(0)))).alias("energy"), "energy_mask", F.transform("range", near).alias("range"), "range_given")
+
+
+def registry_dims(spark):
+    return spark.createDataFrame([("energy", 1, True), ("range", 2, False)], "name string, dim int, per_frame boolean")
+
+
+_PICK = "clip_id::VARCHAR AS rel_chunk, start, {e} AS energy, energy_mask, {r} AS range, w.clip_id IS NOT NULL AS range_given FROM q LEFT JOIN w USING (clip_id)"
+_VEC = "[round(lo::FLOAT::DOUBLE, 5), round(hi::FLOAT::DOUBLE, 5)]"
+
+
+@query("d9_samples_strict", f"WITH {SAMPLES} SELECT " + _PICK.format(e="CASE WHEN list_bool_and(energy_mask) THEN energy END", r=f"CASE WHEN w.clip_id IS NOT NULL THEN {_VEC} END"))
+def d9_strict(spark, sf):
+    return overlapping(spark, sf, True)
+
+
+@query("d9_samples_filled", f"WITH {SAMPLES} SELECT " + _PICK.format(e="energy", r=f"CASE WHEN w.clip_id IS NOT NULL THEN {_VEC} ELSE [0.0::DOUBLE, 0.0::DOUBLE] END"))
+def d9_filled(spark, sf):
+    return overlapping(spark, sf, False)
+
+
 @query(
     "a9_training_shards",
-    """WITH r AS (SELECT clip_id, label, round(embedding[1]::DOUBLE, 6) AS v, row_number() OVER (ORDER BY sha1('9:' || (clip_id * 10 + frame)), clip_id * 10 + frame) - 1 AS k, count(*) OVER () AS n FROM fx_clips)
+    """WITH r AS (SELECT clip_id, label, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v, row_number() OVER (ORDER BY sha1('9:' || (clip_id * 10 + frame)), clip_id * 10 + frame) - 1 AS k, count(*) OVER () AS n FROM fx_clips)
     SELECT k // 16 AS batch, list(clip_id ORDER BY k) AS clip_id, list(label ORDER BY k) AS label, list(v ORDER BY k) AS v FROM r WHERE (k // 16 + 1) * 16 <= n GROUP BY 1""",
 )
 def a9(spark, sf):
     c = view(spark, sf, "fx_clips").withColumn("key", F.col("clip_id") * 10 + F.col("frame"))
-    c = c.withColumn("v", F.round(F.get("embedding", F.lit(0)).cast("double"), 6))
+    c = c.withColumn("v", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)))
     shards = X.training_shards(X.seeded_batches(c, "key", 16, 9, drop_last=True), "clip_id", "label", "v")
     path = new_path(spark, "shards")
     X.write_shards(shards, path)

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from chunkline.functions import series as A
 from chunkline.operators import metrics
+from chunkline.operators.chunks import clips_per_chunk
+from chunkline.operators.frames import zero_filled
 from chunkline.operators import report as R
 from chunkline.operators import stats as S
 from chunkline.plans.fixtures import view
-from chunkline.plans.notes import PAIR, pairs
+from chunkline.plans.notes import BEATS, PAIR, pairs
 from chunkline.plans.registry import Family
 from chunkline.sources.catalog import manifest_diff
 from chunkline.sources.storage import staged
@@ -99,6 +101,24 @@ def e11(spark, sf):
     return rounded(S.distribution_distances(m, "side", "part"), "fd", "kl_real_gen", "kl_gen_real")
 
 
+#: Distances of two Gaussians of two dimensions in closed form: the trace of the root of a 2 x 2 matrix is the root of its trace plus twice the root of its determinant.
+TWO = """x AS (SELECT side, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM fx_clips),
+g AS (SELECT side, avg(x) AS mx, avg(y) AS my, covar_samp(x, x) + 1e-6 AS a, covar_samp(x, y) AS b, covar_samp(y, y) + 1e-6 AS d FROM x GROUP BY side),
+p AS (SELECT r.mx - q.mx AS u, r.my - q.my AS v, r.a AS a, r.b AS b, r.d AS d, q.a AS e, q.b AS f, q.d AS h FROM g r, g q WHERE r.side = 'real' AND q.side = 'gen')"""
+
+
+@query(
+    "e11_two_dimensions",
+    f"""WITH {TWO} SELECT round(u * u + v * v + a + d + e + h - 2 * sqrt(a * e + 2 * b * f + d * h + 2 * sqrt((a * d - b * b) * (e * h - f * f))), 6) AS fd,
+    round(0.5 * ((a * h - 2 * b * f + d * e + u * u * h - 2 * u * v * f + v * v * e) / (e * h - f * f) - 2 + ln((e * h - f * f) / (a * d - b * b))), 6) AS kl_real_gen,
+    round(0.5 * ((a * h - 2 * b * f + d * e + u * u * d - 2 * u * v * b + v * v * a) / (a * d - b * b) - 2 + ln((a * d - b * b) / (e * h - f * f))), 6) AS kl_gen_real FROM p""",
+)
+def e11_two(spark, sf):
+    c = view(spark, sf, "fx_clips").select("side", F.slice("embedding", 1, 2).alias("v"))
+    m = S.moments(c, "side", "v").withColumn("part", F.lit("all"))
+    return rounded(S.distribution_distances(m, "side", "part"), "fd", "kl_real_gen", "kl_gen_real").drop("part")
+
+
 PAIRED = """c AS (SELECT sample_id, metric_key, score FROM fx_scores WHERE arm = 'cond' AND NOT isnan(score)), n AS (SELECT sample_id, metric_key, score FROM fx_scores WHERE arm = 'null' AND NOT isnan(score)),
 p AS (SELECT metric_key, avg(c.score) FILTER (c.score IS NOT NULL AND n.score IS NOT NULL) AS cond, avg(n.score) FILTER (c.score IS NOT NULL AND n.score IS NOT NULL) AS "null",
   count(*) FILTER (c.score IS NOT NULL AND n.score IS NOT NULL) AS valid, count(*) FILTER (c.score IS NULL OR n.score IS NULL) AS unpaired FROM c FULL JOIN n USING (sample_id, metric_key) GROUP BY metric_key)"""
@@ -152,6 +172,13 @@ def b22(spark, sf):
     return R.in_windows(view(spark, sf, "fx_clips"), spans).groupBy("clip_id", "window").agg(F.count("*").alias("n"))
 
 
+@query("b22_sample_clock", "SELECT clip_id, start, rate, round_even(start * (512 * rate / 44100), 0)::BIGINT AS lo, round_even((start + 20) * (512 * rate / 44100), 0)::BIGINT AS hi FROM (SELECT clip_id, unnest(range(count(*) // 20)) * 20 AS start, CASE WHEN clip_id % 3 = 0 THEN 44100 WHEN clip_id % 3 = 1 THEN 48000 ELSE 22050 END AS rate FROM fx_samples GROUP BY clip_id)")
+def b22_clock(spark, sf):
+    per = view(spark, sf, "fx_samples").groupBy("clip_id").agg(F.count("*").alias("frames"))
+    rate = F.when(F.col("clip_id") % 3 == 0, 44100).when(F.col("clip_id") % 3 == 1, 48000).otherwise(22050)
+    return R.sample_spans(clips_per_chunk(per, 20).withColumn("rate", rate), 20, 512, 44100).select("clip_id", "start", "rate", "lo", "hi")
+
+
 @query(
     "e25_windowed_eval",
     """WITH w AS (SELECT clip_id, w, frame, embedding FROM fx_clips, (VALUES ('1_0-0.5', 0, 2), ('2_0.6-1', 3, 5)) s(w, lo, hi) WHERE frame >= lo AND frame < hi)
@@ -202,3 +229,22 @@ def k5(spark, sf):
     frames = {"chroma": pairs(spark, sf).select(F.col("pair").alias("sample"), F.col("real").alias("target"), F.col("gen").alias("generated"))}
     frames["energy"] = view(spark, sf, "fx_curves").select(F.col("clip_id").alias("sample"), "target", "generated")
     return rounded(metrics.evaluate(frames, "sample", "target", "generated"), "value")
+
+
+@query(
+    "k5_mir_metrics",
+    f"""WITH RECURSIVE {BEATS}, {PAIR}, f AS (SELECT pair, len(list_filter(range(1, 13), lambda i: t[i] >= 0.5 AND g[i] >= 0.5)) AS tp, len(list_filter(t[1:12], lambda x: x >= 0.5)) AS r, len(list_filter(g[1:12], lambda x: x >= 0.5)) AS e FROM p),
+    k AS (SELECT pair, sum(tp) AS tp, sum(r) AS r, sum(e) AS e FROM f GROUP BY pair),
+    s AS (SELECT 'chord' AS cond, 'precision' AS metric, pair AS sample_id, CASE WHEN e > 0 THEN tp / e ELSE 'NaN' END::DOUBLE AS value FROM k UNION ALL SELECT 'chord', 'recall', pair, CASE WHEN r > 0 THEN tp / r ELSE 'NaN' END FROM k
+    UNION ALL SELECT 'rhythm', 'beat_f_measure', clip_id, CASE WHEN len(r) = 0 THEN 'NaN' ELSE coalesce(2 * bm.m / (len(r) + len(e)), 0) END FROM bt LEFT JOIN bm USING (clip_id)
+    UNION ALL SELECT 'rhythm', 'downbeat_f_measure', clip_id, CASE WHEN len(rd) = 0 THEN 'NaN' ELSE coalesce(2 * dm.m / (len(rd) + len(ed)), 0) END FROM bt LEFT JOIN dm USING (clip_id))
+    SELECT cond, metric, sample_id, round(value, 6) AS value FROM s""",
+)
+def k5_mir(spark, sf):
+    """Chords and rhythm by their MIR metrics (the others of the same run have no SQL)."""
+    c = zero_filled(view(spark, sf, "fx_curves"), "clip_id", 31, "target", "generated")
+    both = lambda v: F.array(F.col(v) / 100, F.when(F.col("frame") % 3 == 0, F.col(v) / 100).otherwise(0.0))
+    rhythm = c.select(F.col("clip_id").alias("sample"), "frame", both("target").alias("target"), both("generated").alias("generated"))
+    frames = {"chord": pairs(spark, sf).select(F.col("pair").alias("sample"), F.col("real").alias("target"), F.col("gen").alias("generated")), "rhythm": rhythm}
+    out = metrics.evaluate(frames, "sample", "target", "generated", "mir", fps=10.0)
+    return rounded(out.where(F.col("metric").isin("precision", "recall", "beat_f_measure", "downbeat_f_measure")), "value")
