@@ -11,8 +11,8 @@ from chunkline.plans.datasets import registry
 from chunkline.plans.fixtures import view
 from chunkline.plans.frames import CUT
 from chunkline.plans.registry import Family
-from chunkline.sources.catalog import sidecar_scan
-from chunkline.sources.storage import new_path
+from chunkline.sources.sidecar import sidecar_scan
+from chunkline.sources.storage import new_path, setting
 from chunkline.streaming import ingest as I
 
 family = Family()
@@ -111,3 +111,22 @@ def a2(spark, sf):
     s.select(F.col("pos").alias("number")).write.option("header", "true").csv(f"{root}/c")
     back = F.transform("texts", lambda t: F.regexp_replace(t, "_", " "))
     return sidecar_scan(spark, root).select("file", "labels", back.alias("texts"))
+
+
+@query("a2_sidecar_rows", "SELECT row_number() OVER (ORDER BY pos) AS row_pos, file, [label || ', \"' || text || '\"'] AS labels, [text || chr(10) || label] AS texts FROM fx_sidecar")
+def a2_rows(spark, sf):
+    """One file read in many parts, with quotes, commas and line ends in its fields: rows keep their place."""
+    s = view(spark, sf, "fx_sidecar").select("pos", "file", F.concat("label", F.lit(', "'), "text", F.lit('"')).alias("label"), F.concat("text", F.lit("\n"), "label").alias("text"))
+    root = new_path(spark, "sidecar")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    # the header is the first row of the one file
+    head = spark.createDataFrame([(-1, "file,label,text")], "pos long, line string")
+    rows = s.select("pos", F.concat_ws(",", quoted(F.col("file")), quoted(F.col("label")), quoted(F.col("text"))).alias("line"))
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("pos").select("line").write.text(f"{root}/text")
+    name = spark.read.text(f"{root}/text").select("_metadata.file_path").first()[0]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(f"{root}/csv"))
+    fs.rename(hadoop.Path(name), hadoop.Path(f"{root}/csv/one.csv"))
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "4k"):
+        return sidecar_scan(spark, f"{root}/csv").select("row_pos", "file", "labels", "texts")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +10,6 @@ from chunkline.sources.storage import staged
 
 #: Suffixes of sound files.
 SOUND = ("mp3", "wav", "flac", "ogg", "m4a", "wma", "mpc", "oma", "ape", "aac")
-#: Header names (trimmed, case-folded) of sidecar tables.
-FILE_NAMES, LABEL_NAMES, TEXT_NAMES = ("file", "filename", "file_name"), ("label", "class"), ("text", "description", "caption")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -43,34 +38,6 @@ def source_catalog(listing: DataFrame, *, extensions: tuple[str, ...] = SOUND, s
     return out.select("rel_path", "rel_parent", F.substring_index("rel_parent", "/", -1).alias("class_name"), source_id(F.col("rel_path")).alias("src_id"), "size_bytes", "mtime_ns")
 
 
-def sidecar_scan(spark: SparkSession, root: str) -> DataFrame:
-    """(file_pos, row_pos, file, labels, texts) of every usable CSV below ``root``.
-
-    Tables differ in their columns: they are read in groups of one header. A table is used if it has a file
-    column and a label or text column; the first file column counts, and all value columns.
-    """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(root, wholetext=True)
-    # one header line for each table comes to the driver
-    heads = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"^\x{FEFF}?([^\r\n]*)", 1).alias("head")).orderBy("path").collect()
-    groups: dict[str, list[tuple[int, str]]] = {}
-    for i, r in enumerate(heads):
-        groups.setdefault(r["head"], []).append((i, r["path"]))
-    out = spark.createDataFrame([], "path string, row_pos long, file string, labels array<string>, texts array<string>")
-    for head, paths in groups.items():
-        names = [n.strip().lstrip("﻿").casefold() for n in next(csv.reader(io.StringIO(head)), [])]
-        file_at = next((i for i, n in enumerate(names) if n in FILE_NAMES), None)
-        labels, texts = ([i for i, n in enumerate(names) if n in known] for known in (LABEL_NAMES, TEXT_NAMES))
-        if file_at is None or not labels + texts:
-            continue
-        schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("multiLine", "true").csv([p for _, p in paths])
-        rows = rows.withColumn("path", F.col("_metadata.file_path")).withColumn("row_pos", F.monotonically_increasing_id())
-        pick = lambda at: F.array_compact(F.array(*[F.col(f"c{i}") for i in at])) if at else F.array().cast("array<string>")
-        out = out.unionByName(rows.select("path", "row_pos", F.col(f"c{file_at}").alias("file"), pick(labels).alias("labels"), pick(texts).alias("texts")))
-    order = spark.createDataFrame([(r["path"], i) for i, r in enumerate(heads)], "path string, file_pos long")
-    return out.join(F.broadcast(order), "path").select("file_pos", "row_pos", "file", "labels", "texts")
-
-
 def attach_sidecar(sources: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((rel_path, labels, texts) of every source, unmatched rows).
 

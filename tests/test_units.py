@@ -18,7 +18,7 @@ from chunkline.operators import report as P
 from chunkline.operators import scores as S
 from chunkline.operators import splits as G
 from chunkline.operators import stats as M
-from chunkline.sources import catalog
+from chunkline.sources import catalog, sidecar, storage
 
 
 def test_allocation(spark):
@@ -256,7 +256,7 @@ def test_sidecars(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿ File ,Label,caption\nx/a.wav,one,some text\nx/b.wav,two,\n", encoding="utf-8")
     (tmp_path / "b.csv").write_text("filename,other\nq,1\n")
     (tmp_path / "c.csv").write_text('FILE_NAME,class\n"x/a.wav","thr,ee"\n')
-    got = catalog.sidecar_scan(spark, str(tmp_path)).collect()
+    got = sidecar.sidecar_scan(spark, str(tmp_path)).collect()
     assert sorted((r["file"], tuple(r["labels"]), tuple(r["texts"])) for r in got) == [("x/a.wav", ("one",), ("some text",)), ("x/a.wav", ("thr,ee",), ()), ("x/b.wav", ("two",), ())]
 
 
@@ -306,3 +306,24 @@ def test_drums_match_by_class(spark):
     clips = spark.createDataFrame([("c",), ("empty",)], "c string")
     got = {r["c"]: tuple(r)[1:] for r in S.transcription_scores(ref, est, clips, ["c"]).collect()}
     assert got["c"] == (0, 0, 0, 1, 1, 1) and all(map(math.isnan, got["empty"]))
+
+
+@pytest.mark.parametrize("part", ["64", "200", "100000"])
+def test_split_sidecars(spark, tmp_path, part):
+    """Against Python's reader, with files cut at any place."""
+    import csv
+
+    rng = np.random.default_rng(11)
+    words = ["a", "", "b,c", 'say "hi"', "two\nlines", ",", '"', "\n", "é"]
+    for k in range(3):
+        with open(tmp_path / f"f{k}.csv", "w", newline="", encoding="utf-8") as fh:
+            w = csv.writer(fh, lineterminator="\n", quoting=csv.QUOTE_NONNUMERIC if k == 1 else csv.QUOTE_MINIMAL)
+            w.writerow(["n", "Text", "file"] if k < 2 else ["n", "other"])
+            w.writerows([[i, *rng.choice(words, 2 if k < 2 else 1)] for i in range(60)])
+    want = []
+    for k in range(2):
+        with open(tmp_path / f"f{k}.csv", newline="", encoding="utf-8") as fh:
+            want += [(k, i, r["file"], r["Text"]) for i, r in enumerate(csv.DictReader(fh), 1)]
+    with storage.setting(spark, "spark.sql.files.maxPartitionBytes", part):
+        got = [(r["file_pos"], r["row_pos"], r["file"] or "", "".join(r["texts"])) for r in sidecar.sidecar_scan(spark, str(tmp_path)).collect()]
+    assert sorted(got) == want
