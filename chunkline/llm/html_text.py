@@ -2,8 +2,9 @@
 
 A page becomes text blocks in page order, each kept, left out or open. Blocks of an ``article`` or ``main``
 element are kept, and those around it left out; so are those in elements whose tag, role or name says menu,
-header, footer, sidebar, notice, advert, form or comment list. Open are the blocks of an element whose name only
-has such a word in it (``related-work`` may be text), and all blocks of pages without an article or main element.
+header, footer, sidebar, notice, advert, form or comment list, alone or with words of layout (``comment-list``). Open are the
+blocks of an element whose name has such a word beside others (``related-work``, ``ad-hoc`` may be text), blocks in an
+article that are mostly links, and all blocks of pages without an article or main element.
 
 The blocks of a page with open ones are aligned with those of the pages before and after it in the host's URL order by
 longest common subsequence. An open block that stands in both (in one, at either end of a host) is the host's,
@@ -34,7 +35,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split()
 )
 LEFT_OUT = frozenset("nav aside footer form head menu dialog button select fieldset".split())
-#: Words of class and id names (split at marks) that name a frame around the text, and those that do so as a whole name only.
+#: Words of class and id names (split at marks) that name a frame around the text, those that do so as a whole name only, and words of layout.
 FRAME_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored cookie cookies consent gdpr newsletter "
     "popup modal sidebar menu nav navbar navigation navigator breadcrumb breadcrumbs topbar footer comment comments commentlist disqus pagination pager toolbar".split()
@@ -42,13 +43,17 @@ FRAME_NAMES = frozenset(
 WHOLE_NAMES = frozenset(
     "promo promotion notice alert subscribe subscription signup overlay respond reply replies related recommended share sharing social widget widgets skip search login".split()
 )
+LAYOUT_WORDS = frozenset(
+    "list section area box wrap wrapper container block item items bar left right top bottom inner outer body content row col column main site page post global primary secondary "
+    "links link form panel button slot unit head header title holder group module region text wide small large mobile desktop".split()
+)
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+SPLIT_NAME = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 #: What becomes of a block.
 OUT, OPEN, KEPT = 0, 1, 2
-#: Of an open block in an article: the share of its text in links from which it is a list of links.
+#: The share of a block's text in links from which it is a list of links: an open one goes, one in an article is open.
 LINKS = 0.5
 
 
@@ -66,11 +71,12 @@ def standing(tag: str, attrs: str, in_text: bool) -> int:
         if name == "role" and value.lower() in FRAME_ROLES:
             return OUT
         if name in ("class", "id"):
-            words = {w.lower() for w in SPLIT_NAME.split(value) if w}
-            if words & FRAME_NAMES or {w.lower() for w in value.split()} & WHOLE_NAMES or (not in_text and "header" in words):
-                return OUT
-            if words & WHOLE_NAMES and tag in BLOCK:
-                found = OPEN
+            for whole in value.split():
+                words = {w.lower() for w in SPLIT_NAME.split(whole) if w and not w.isdigit()}
+                if whole.lower() in WHOLE_NAMES or (not in_text and "header" in words) or (words & FRAME_NAMES and words <= FRAME_NAMES | WHOLE_NAMES | LAYOUT_WORDS):
+                    return OUT
+                if words & (FRAME_NAMES | WHOLE_NAMES) and tag in BLOCK:
+                    found = OPEN
     return found
 
 
@@ -88,8 +94,8 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         for kind, parts in ((OUT, aside), (now or KEPT, held)):
             if parts:
                 if text := " ".join(entities.unescape("".join(parts)).split()):
-                    listed = kind == OPEN and linked > LINKS * sum(map(len, parts))
-                    found.append((OUT if listed else kind, inside, text))
+                    listed = linked > LINKS * sum(map(len, parts))
+                    found.append((max(kind - 1, OUT) if listed else kind, inside, text))
                 parts.clear()
         linked = 0
 
