@@ -1,12 +1,6 @@
-import sys
-from pathlib import Path
-
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = Path(__file__).resolve().parent.parent
-sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
-
 
 @pytest.fixture(scope="session")
 def spark():
