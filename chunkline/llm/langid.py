@@ -118,26 +118,44 @@ def word_scores(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarra
 
 
 def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Expected piece counts over all segmentations of the words, in one language (``prob``: pieces)."""
-    total = np.zeros(pieces.n)
+    """Expected piece counts over all segmentations of the words, in one language (``prob``: pieces).
+
+    Sums from the start and from the end of a word go block by block of its letters, each with a scale of its own.
+    """
+    total, column, longest = np.zeros(pieces.n), prob[:, None], pieces.longest
     by_len: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_len.setdefault(len(w), []).append(i)
     for size, every in by_len.items():
-        for a in range(0, len(every), 20_000):
-            at = every[a : a + 20_000]
-            ids = pieces.ids(places([words[i] for i in at], size))
-            alpha, n = forward(ids, prob[:, None])[:, :, 0], len(at)
-            beta = np.zeros((size + 2, n))
-            beta[-1] = 1
-            share = weights[at] / np.maximum(alpha[-1], 1e-300)
-            for i in range(size, -1, -1):
-                for k in range(1, min(size + 1 - i, len(ids)) + 1):
-                    got = ids[k - 1][:, i]
-                    has = np.flatnonzero(got >= 0)
-                    p = prob[got[has]] * SCALE**k * beta[i + k][has]
-                    beta[i][has] += p
-                    total += np.bincount(got[has], alpha[i][has] * p * share[has], minlength=pieces.n)
+        end = size + 1
+        step = min(20_000, max(1, 4_000_000 // end))
+        for first in range(0, len(every), step):
+            at = every[first : first + step]
+            codes, n = places([words[i] for i in at], size), len(at)
+            alpha, log_a = np.ones((end + 1, n)), np.zeros((end + 1, n))
+            tail, logs = None, np.zeros(n)
+            for a in range(0, end, BLOCK):
+                held, z = 0 if tail is None else len(tail) - 1, min(a + BLOCK, end)
+                rows = forward(pieces.ids(codes[:, a - held : z]), column, tail)
+                alpha[a + 1 : z + 1], log_a[a + 1 : z + 1] = rows[held + 1 :, :, 0], logs
+                most = rows[-longest:].max(0)
+                tail, logs = rows[-longest:] / most, logs + np.log(most[:, 0])
+            after, log_b = np.zeros((longest, n)), np.zeros(n)
+            after[0] = 1
+            for a in range(0, end, BLOCK)[::-1]:
+                z = min(a + BLOCK, end)
+                ids = pieces.ids(codes[:, a : z + longest - 1])
+                beta = np.concatenate([np.zeros((z - a, n)), after])
+                share = weights[at] / alpha[end] * np.exp(log_a[a:z] + log_b - log_a[end])
+                for i in range(z - a - 1, -1, -1):
+                    for k in range(1, min(end - a - i, len(ids)) + 1):
+                        got = ids[k - 1][:, i]
+                        has = np.flatnonzero(got >= 0)
+                        p = prob[got[has]] * SCALE**k * beta[i + k][has]
+                        beta[i][has] += p
+                        total += np.bincount(got[has], alpha[a + i][has] * p * share[i][has], minlength=pieces.n)
+                most = beta[:longest].max(0)
+                after, log_b = beta[:longest] / most, log_b + np.log(most)
     return total
 
 
@@ -155,12 +173,11 @@ class LanguageModel:
         self.vocab_path, self.langs, self.prob = vocab_path, langs, prob
 
 
-def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_per_lang: int = 4000, train_letters: int = 48, rounds: int = 3) -> LanguageModel:
+def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_per_lang: int = 4000, rounds: int = 3) -> LanguageModel:
     """Learns from about ``train_per_lang`` rows of each language, chosen by a hash of the id.
 
-    The sample holds their words of at most ``train_letters`` letters; prediction takes words of any length. Rows
-    without text or language are passed over, repeated rows count as often as they stand. A table without any
-    gives a model that knows no language. Other columns are not read.
+    Words of any length are learned from whole. Rows without text or language are passed over, repeated rows count
+    as often as they stand. A table without any gives a model that knows no language. Other columns are not read.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
@@ -174,7 +191,7 @@ def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_co
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
-                c = Counter(w for t in texts for w in words_of(t) if len(w) <= train_letters)
+                c = Counter(w for t in texts for w in words_of(t))
                 if c:
                     yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
