@@ -45,6 +45,8 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*names).agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
 
 
+# Labels of subsets (all, only_x, no_x, names joined by +), keywords (all, loo, leave_one_out, singletons,
+# each) and labels of windows (number, _, spans a-b joined by +) are those that users of such reports know.
 def subset_label(members: list[str], active: list[str]) -> str:
     """``all``, ``only_x``, ``no_x`` for the one that is left out, else the names with ``+`` between."""
     left_out = [a for a in active if a not in members]
