@@ -231,28 +231,12 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """(id_col, class_id, judged) for each row: the smallest id of its class of near-duplicates.
+def grouped(banded: DataFrame, wanted: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
+    """(node, comp) for the nodes of buckets: the components of all pairs in a bucket that have the likeness.
 
-    Null and empty texts (and texts without words) are near nothing: each is a class of its own. Rows that
-    share an id are one document (of several texts, that with the least hash of shingles, then of its own); each comes
-    back. ``judged`` is the xxhash64 of the text that stands for the id (null texts as empty). A null id
-    counts as the smallest and comes back as null. An empty table gives an empty table. Other columns are
-    ignored, whatever their names.
+    ``banded``: (node, h), a row for each bucket of a node. ``wanted``: (node, degree), the number of its candidates.
+    ``els``: (id, n, bits, els) as of ``elements``. All three are staged.
     """
-    no_id = -(2**63)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    sigs = signatures(docs).groupBy("id").agg(F.count("*").cast("int").alias("rows"), F.min(F.struct("k1", "k2", "n", "h", "bands")).alias("s"))
-    sigs = staged(sigs.select("id", "rows", "s.*"), "signatures")
-    nodes = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "bands")).alias("s"))
-    nodes = staged(nodes.select("k1", "k2", F.col("s.id").alias("node"), "s.bands"), "nodes")
-    banded = nodes.select("node", "k1", F.explode("bands").alias("h"))
-    crowds = banded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    banded = staged(banded.join(crowds, "h"), "shared-bands")
-    wanted = banded.groupBy("node").agg(F.min("k1").alias("k1"), F.sum("m").alias("degree"))
-    wanted = staged(wanted, "candidates")
-    els = staged(elements(docs.drop("h"), wanted.select(F.col("node").alias("id"), "k1")), "elements")
-
     # each node of a bucket against its leader
     ranked = banded.select("node", "h").join(wanted.select("node", "degree"), "node")
     leaders = ranked.groupBy("h").agg(F.min(F.struct((-F.col("degree")).alias("degree"), "node")).alias("top")).select("h", F.col("top.node").alias("b"))
@@ -273,8 +257,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = joined(labels, verified(pairs, els, similarity))
     # what may still be alike and apart
     open_ = of_several(labels).select("node", "comp").distinct()
-    labels = joined(labels, verified(rare_pairs(staged(open_, "open-nodes"), els, similarity), els, similarity))
+    return joined(labels, verified(rare_pairs(staged(open_, "open-nodes"), els, similarity), els, similarity))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """(id_col, class_id, judged) for each row: the smallest id of its class of near-duplicates.
+
+    Null and empty texts (and texts without words) are near nothing: each is a class of its own. Rows that
+    share an id are one document (of several texts, that with the least hash of shingles, then of its own); each comes
+    back. ``judged`` is the xxhash64 of the text that stands for the id (null texts as empty). A null id
+    counts as the smallest and comes back as null. An empty table gives an empty table. Other columns are
+    ignored, whatever their names.
+    """
+    no_id = -(2**63)
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    sigs = signatures(docs).groupBy("id").agg(F.count("*").cast("int").alias("rows"), F.min(F.struct("k1", "k2", "n", "h", "bands")).alias("s"))
+    sigs = staged(sigs.select("id", "rows", "s.*"), "signatures")
+    nodes = sigs.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "bands")).alias("s"))
+    nodes = staged(nodes.select("k1", "k2", F.col("s.id").alias("node"), "s.bands"), "nodes")
+    banded = nodes.select("node", "k1", F.explode("bands").alias("h"))
+    crowds = banded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    banded = staged(banded.join(crowds, "h"), "shared-bands")
+    wanted = banded.groupBy("node").agg(F.min("k1").alias("k1"), F.sum("m").alias("degree"))
+    wanted = staged(wanted, "candidates")
+    els = staged(elements(docs.drop("h"), wanted.select(F.col("node").alias("id"), "k1")), "elements")
 
+    labels = grouped(banded, wanted, els, similarity)
     out = sigs.select("id", "rows", "h", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").withColumn("node", F.coalesce("node", "id"))
     out = out.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     value = lambda c: F.when(F.col(c) != no_id, F.col(c))

@@ -2,7 +2,12 @@
 
 A signature is a common word (the anchor) with the chain of content words that follow it. The multiset of a
 text's signatures, as sorted 32-bit hashes in base64, is its fingerprint; they are compared by Jaccard
-likeness, and pairs whose set lengths already rule out the asked likeness are pruned.
+likeness.
+
+Near pairs: fingerprints are parted by set length so that two that can be alike lie in one part or in
+neighbouring parts. In a part they meet by their rarest signatures (of two sets with a likeness of s, each
+holds one of the other's rarest ``n - ceil(s n) + 1``); of those that meet, pairs are pruned by their lengths
+and by parity bitmaps, and the others are compared.
 """
 
 from __future__ import annotations
@@ -13,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkline.llm.common import in_parts
+from chunkline.llm.common import in_parts, owned_tables, staged
+from chunkline.llm.minhash import WORDS, grouped
 from chunkline.llm.wordhash import chained, mix, word_hash, words_hashed
 
 #: Common words of English, French, German and Spanish.
@@ -30,6 +35,12 @@ ANCHORS = (
 CHAIN = 2
 #: Words between which an anchor looks for its chain, and without a common word for which any word is an anchor.
 REACH = 8
+#: Values of a signature's hash by which signatures are counted (a fixed size); the counts only put signatures in order.
+TALLY = 1 << 18
+#: Ranges of ids are as many as shuffle tasks; their cuts (two numbers each) are known to the driver.
+MOST_RANGES = 100_000
+#: Stands for a null id.
+NO_ID = -(2**63)
 
 
 def anchors() -> np.ndarray:
@@ -64,18 +75,9 @@ def signature_keys(texts: list[str | None], marks: np.ndarray) -> np.ndarray:
     return np.unique((doc << np.uint64(32)) | (mix(sig + kth.astype(np.uint64)) >> np.uint64(32)))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, n: int, floor: float = 0.0) -> np.ndarray:
-    """Jaccard likeness of the sets of text i in ``a`` and ``b``, for i below n.
-
-    Pairs are split by the ratio of their set lengths, the most that their likeness can be; those under
-    ``floor`` are pruned and get 0. Two empty sets are alike (1).
-    """
-    in_a, in_b = a >> np.uint64(32), b >> np.uint64(32)
-    na, nb = np.bincount(in_a.astype(np.int64), minlength=n), np.bincount(in_b.astype(np.int64), minlength=n)
-    bound = np.minimum(na, nb) / np.maximum(np.maximum(na, nb), 1)
-    open_ = (bound >= floor) & (bound > 0)
-    if not open_.all():
-        a, b = a[open_[in_a.astype(np.int64)]], b[open_[in_b.astype(np.int64)]]
+def likeness(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Jaccard likeness of the sets of text i in ``a`` and ``b``, for i below n. Two empty sets are alike (1)."""
+    na, nb = (np.bincount((x >> np.uint64(32)).astype(np.int64), minlength=n) for x in (a, b))
     both = np.bincount((np.intersect1d(a, b, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=n)
     return np.where((na == 0) & (nb == 0), 1.0, both / np.maximum(na + nb - both, 1))
 
@@ -99,44 +101,158 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def with_next(docs: DataFrame, *, rows_per_bucket: int = 1000) -> DataFrame:
-    """(doc_id, text, tail, to) dealt by ranges of doc_id and sorted, for work on neighbours in id order.
+def tally(docs: DataFrame) -> np.ndarray:
+    """Counts of signatures by ``hash % TALLY`` over all texts (a fixed size)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, n = anchors(), np.zeros(TALLY, np.int64)
+        for b in batches:
+            for part in in_parts(b, b["text"].str.len().fillna(0)):
+                n += np.bincount((signature_keys(list(part["text"]), marks) & np.uint64(TALLY - 1)).astype(np.int64), minlength=TALLY)
+        yield pd.DataFrame({"at": np.flatnonzero(n), "n": n[n > 0]})
+
+    got = docs.select("text").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(TALLY, np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def signature_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(id, h, n, k1, k2, bits, els) for (id, h, text): the signatures, rarest first, a hash of their set in two halves, and its parity bitmap."""
+    known = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, wide = anchors(), WORDS * 64
+        for batch in batches:
+            for b in in_parts(batch, batch["text"].str.len().fillna(0)):
+                keys = signature_keys(list(b["text"]), marks)
+                doc, el = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+                order = np.lexsort((el, known.value[(el & np.uint64(TALLY - 1)).astype(np.int64)], doc))
+                doc, el = doc[order], el[order]
+                n = np.bincount(doc, minlength=len(b))
+                k1, k2 = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64)
+                np.add.at(k1, doc, mix(el))
+                np.add.at(k2, doc, mix(el ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+                odd = np.bincount(doc * wide + (el % np.uint64(wide)).astype(np.int64), minlength=len(b) * wide) & 1
+                bits = np.packbits(odd.astype(np.uint8).reshape(len(b), wide), axis=1).view(np.int64)
+                els = np.split(el.astype(np.uint32).view(np.int32), np.cumsum(n)[:-1])
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "h": b["h"].to_numpy(), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "bits": list(bits), "els": els})
+
+    return docs.select("id", "h", "text").mapInPandas(run, "id long, h long, n long, k1 long, k2 long, bits array<long>, els array<int>")
+
+
+def length_part(n: Column, similarity: float) -> Column:
+    """Part of a set length: of two lengths with a ratio of ``similarity`` or more, the parts are the same or neighbours."""
+    return F.floor(F.log(n.cast("double")) / (float(-np.log(similarity)) * (1 + 1e-9)))
+
 
-    Each partition holds whole ranges (``to``). The first row of a range is also sent, with ``tail`` 1, to
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """(key, h, class_key): class of each text, the smallest id that near pairs of fingerprints lead to.
+
+    ``key`` is the id and ``h`` the xxhash64 of the text (null as empty); there is one row for each distinct
+    (id, text). Rows that share an id are one document: its class is found with the text of least ``h``. Texts
+    without signatures are near nothing. A null id counts as the smallest and is NO_ID here. An empty table gives
+    an empty table. Other columns are ignored, whatever their names. ``similarity`` is above 0 and below 1.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    with owned_tables(docs.sparkSession) as own:
+        sets = staged(signature_sets(docs, tally(docs)), "signature-sets")
+        firsts = staged(sets.groupBy("id").agg(F.min(F.struct("h", "k1", "k2", "n")).alias("s")).select("id", "s.*"), "first-texts")
+        nodes = firsts.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
+        nodes = staged(nodes, "set-nodes")
+        heads = nodes.join(firsts.select(F.col("id").alias("node"), "h"), "node").select(F.col("node").alias("id"), "h")
+        els = staged(sets.join(heads, ["id", "h"], "left_semi").select("id", "n", "bits", "els").dropDuplicates(["id"]), "node-sets")
+        # each node in its own part of lengths and in the next
+        few = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).cast("int")
+        rare = els.select(F.col("id").alias("node"), length_part(F.col("n"), similarity).alias("part"), F.explode(F.slice("els", F.lit(1), few)).alias("el"))
+        rows = rare.select("node", F.explode(F.array(F.xxhash64("el", "part"), F.xxhash64("el", F.col("part") + 1))).alias("h"))
+        crowds = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+        rows = staged(rows.join(crowds, "h"), "shared-signatures")
+        wanted = staged(rows.groupBy("node").agg(F.sum("m").alias("degree")), "candidates")
+        labels = grouped(rows.select("node", "h"), wanted, els, similarity)
+        out = firsts.select("id", "k1", "k2").join(nodes, ["k1", "k2"], "left").select("id", F.coalesce("node", "id").alias("node")).join(labels, "node", "left")
+        out = sets.select("id", "h").distinct().join(out, "id").select(F.col("id").alias("key"), "h", F.coalesce("comp", "node").alias("class_key"))
+        out = staged(out, "near-classes")
+        own.pop()
+    return out
+
+
+def id_cuts(rows: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least (key, h) of each of about ``ranges`` ranges of rows."""
+    dealt = rows.select("key", "h").repartitionByRange(ranges, "key", "h")
+    least = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "h")).alias("m")).select("m.*").orderBy("key", "h").toArrow()
+    return least["key"].to_numpy(), least["h"].to_numpy()
+
+
+def range_of(cuts: tuple[np.ndarray, np.ndarray], key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (key, h) the number of the range that holds it, and whether it is that range's least."""
+    keys, hs = cuts
+    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    at = low - 1
+    # rows of an id that cuts fall on lie on either side by their texts
+    for i in np.unique(low[low < high]):
+        on = np.flatnonzero((low == i) & (low < high))
+        at[on] = i + np.searchsorted(hs[i : high[on[0]]], h[on], "right") - 1
+    held = np.maximum(at, 0)
+    return held, (keys[held] == key) & (hs[held] == h)
+
+
+def with_next(docs: DataFrame, classes: DataFrame, *, rows_per_range: int = 1000) -> DataFrame:
+    """(key, text, class_key, tail) dealt by ranges of doc_id and sorted, for work on neighbours in id order.
+
+    Each partition is a range. The first row of a range is also sent, with ``tail`` 1, to
     the end of the range before it (that of the first range to the last): every row with ``tail`` 0 is
     followed by its successor. Equal ids are ordered by a hash of their texts; a null id comes first.
+    ``classes`` (key, h, class_key) go the same way, so texts are shuffled once: a row of theirs, with a null text, stands
+    before the texts that it is for.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    n = max(1, docs.count() // rows_per_bucket)
-    cuts = docs.select(F.percentile_approx("key", F.lit([i / n for i in range(1, n)]), 10 * n)).first()[0] if n > 1 else []
-    splits = [float("-inf"), *sorted({float(c) + 0.5 for c in cuts or []}), float("inf")]
-    if len(splits) > 2:
-        dealt = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(docs.withColumn("at", F.col("key").cast("double")))
-    else:
-        dealt = docs.withColumn("bucket", F.lit(0))
-    dealt = dealt.select("doc_id", "text", "key", "h", F.col("bucket").cast("int").alias("bucket"))
-    # one row for each range comes to the driver: ids and hashes only
-    heads = dealt.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("m")).orderBy("bucket").collect()
-    before = [heads[i - 1]["bucket"] for i in range(len(heads))]
-    first = spark.createDataFrame([(r["m"]["key"], r["m"]["h"], b) for r, b in zip(heads, before, strict=True)], "key long, h long, before int")
-    dealt = dealt.join(F.broadcast(first), ["key", "h"], "left")
-    own = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("tail"))
-    sent = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("to"), F.lit(1).alias("tail"))))
-    return dealt.select("doc_id", "text", "key", "h", F.inline(sent)).repartition(len(splits) - 1, "to").sortWithinPartitions("to", "tail", "key", "h").select("doc_id", "text", "tail")
-
-
-def compare_edited(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text, of its edited text and of the next document, and their likeness.
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"), F.lit(0).cast("long").alias("class_key"))
+    ranges = max(1, min(MOST_RANGES, docs.count() // rows_per_range))
+    known = docs.sparkSession.sparkContext.broadcast(id_cuts(docs, ranges))
+
+    @F.pandas_udf("to int, first boolean")
+    def placed(key: pd.Series, h: pd.Series) -> pd.DataFrame:
+        to, first = range_of(known.value, key.to_numpy(), h.to_numpy())
+        return pd.DataFrame({"to": to, "first": first})
+
+    n = max(1, len(known.value[0]))
+    rows = docs.unionByName(classes.select("key", "h", F.lit(None).cast("string").alias("text"), "class_key"))
+    rows = rows.withColumn("at", placed("key", "h"))
+    here = F.struct(F.col("at.to").alias("to"), F.lit(0).alias("tail"))
+    before = F.struct(F.pmod(F.col("at.to") - 1, F.lit(n)).alias("to"), F.lit(1).alias("tail"))
+    sent = F.when(F.col("at.first") & F.col("text").isNotNull(), F.array(here, before)).otherwise(F.array(here))
+    rows = rows.select("key", "h", "text", "class_key", F.inline(sent))
+    return rows.repartitionById(n, "to").sortWithinPartitions("to", "tail", "key", "h", F.col("text").isNotNull()).select("key", "text", "class_key", "tail")
+
+
+def known_ids(keys: pd.Series) -> pd.Series:
+    return keys.astype("Int64").mask(keys == NO_ID)
+
+
+def compare_edited(docs: DataFrame, *, similarity: float = 0.8, rows_per_range: int = 1000) -> DataFrame:
+    """Fingerprints of each text, of its edited text and of the next document, their likeness, and the text's class.
 
     The edited text has the last quarter of the code points (rounded down) replaced by as many from the
     start of the next document in id order (all, if that is shorter; after the last comes the first). Null
-    texts are empty. An empty table gives an empty table; a single document is its own successor.
+    texts are empty. ``class_id`` is the smallest id that pairs with a likeness of ``similarity`` lead to; rows of one id
+    are one class, a null id counts as the smallest and comes back as null. Repeated rows each come back, and follow each
+    other. An empty table gives an empty table; a single document is its own successor. Other columns are ignored,
+    whatever their names.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks, held = anchors(), None
+        marks, held, last = anchors(), None, NO_ID
         for b in batches:
+            # the class of a text stands before it
+            of_class = b["text"].isna().to_numpy()
+            at = np.maximum.accumulate(np.where(of_class, np.arange(1, len(b) + 1), 0))
+            known = np.concatenate([[last], b["class_key"].to_numpy(np.int64)])[at]
+            b = b.assign(class_key=known)[~of_class]
+            last = known[-1] if len(known) else last
+            if b.empty:
+                continue
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             held = b.iloc[-1:]
             for at in in_parts(pd.DataFrame({"i": np.arange(len(b) - 1)}), b["text"].str.len().iloc[:-1]):
@@ -148,12 +264,14 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                 one = np.uint64(1) << np.uint64(32)
                 mine, following = keys[: np.searchsorted(keys, np.uint64(n) << np.uint64(32))], keys[np.searchsorted(keys, one) :] - one
                 yield pd.DataFrame({
-                    "doc_id": b["doc_id"].iloc[i:z].to_numpy(), "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
+                    "doc_id": known_ids(b["key"].iloc[i:z]), "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
                     "fingerprint": printed(mine, n), "edited_fingerprint": printed(edits, n), "near_edited": likeness(mine, edits, n), "near_next": likeness(mine, following, n),
+                    "class_id": known_ids(b["class_key"].iloc[i:z]),
                 })[own]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_next(docs).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = with_next(docs, near_classes(docs, similarity=similarity), rows_per_range=rows_per_range)
+    return dealt.mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long")
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
