@@ -231,17 +231,18 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
 
 
-def grouped(banded: DataFrame, wanted: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
+def grouped(banded: DataFrame, wanted: DataFrame, els: DataFrame, similarity: float, verify=verified) -> DataFrame:
     """(node, comp) for the nodes of buckets: the components of all pairs in a bucket that have the likeness.
 
     ``banded``: (node, h), a row for each bucket of a node. ``wanted``: (node, degree), the number of its candidates.
     ``els``: (id, n, bits, els) as of ``elements``. All three are staged.
+    ``verify`` returns the pairs (a, b) of its first argument that have the likeness.
     """
     # each node of a bucket against its leader
     ranked = banded.select("node", "h").join(wanted.select("node", "degree"), "node")
     leaders = ranked.groupBy("h").agg(F.min(F.struct((-F.col("degree")).alias("degree"), "node")).alias("top")).select("h", F.col("top.node").alias("b"))
     stars = banded.select(F.col("node").alias("a"), "h").join(leaders, "h").where("a <> b").select("a", "b").distinct()
-    labels = joined(wanted.select("node", F.col("node").alias("comp")), verified(stars, els, similarity))
+    labels = joined(wanted.select("node", F.col("node").alias("comp")), verify(stars, els, similarity))
 
     def of_several(labels: DataFrame) -> DataFrame:
         """(node, h, comp) of the buckets that hold several components."""
@@ -254,10 +255,10 @@ def grouped(banded: DataFrame, wanted: DataFrame, els: DataFrame, similarity: fl
     draw = [F.min(F.struct(F.xxhash64(F.lit(k), "h", "node").alias("x"), "node", "comp")).alias(f"d{k}") for k in range(DRAWN)]
     drawn = open_.groupBy("h").agg(*draw).select("h", F.explode(F.array(*[F.struct(f"d{k}.node", f"d{k}.comp") for k in range(DRAWN)])).alias("d"))
     pairs = open_.join(drawn, "h").where("comp <> d.comp").select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
-    labels = joined(labels, verified(pairs, els, similarity))
+    labels = joined(labels, verify(pairs, els, similarity))
     # what may still be alike and apart
     open_ = of_several(labels).select("node", "comp").distinct()
-    return joined(labels, verified(rare_pairs(staged(open_, "open-nodes"), els, similarity), els, similarity))
+    return joined(labels, verify(rare_pairs(staged(open_, "open-nodes"), els, similarity), els, similarity))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkline.llm.common import in_parts, owned_tables, staged
-from chunkline.llm.minhash import WORDS, grouped
+from chunkline.llm.common import TIDY, in_parts, owned_tables, release, setting, staged
+from chunkline.llm.minhash import WORDS, grouped, may_be_alike, verified
 from chunkline.llm.wordhash import chained, mix, word_hash, words_hashed
 
 #: Common words of English, French, German and Spanish.
@@ -111,7 +111,8 @@ def tally(docs: DataFrame) -> np.ndarray:
                 n += np.bincount((signature_keys(list(part["text"]), marks) & np.uint64(TALLY - 1)).astype(np.int64), minlength=TALLY)
         yield pd.DataFrame({"at": np.flatnonzero(n), "n": n[n > 0]})
 
-    got = docs.select("text").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    with setting(docs.sparkSession, TIDY, "true"):
+        got = docs.select("text").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(TALLY, np.int64)
     out[got["at"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -146,6 +147,13 @@ def length_part(n: Column, similarity: float) -> Column:
     return F.floor(F.log(n.cast("double")) / (float(-np.log(similarity)) * (1 + 1e-9)))
 
 
+def pruned(pairs: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) with the likeness: lengths and bitmaps are compared first, sets only of the pairs that they leave."""
+    a, b = (els.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", "bits")]) for x in "ab")
+    met = pairs.join(a, "a").join(b, "b").where(may_be_alike("a", "b", similarity)).select("a", "b")
+    return verified(staged(met, "open-pairs"), els, similarity)
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(key, h, class_key): class of each text, the smallest id that near pairs of fingerprints lead to.
 
@@ -157,22 +165,24 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     with owned_tables(docs.sparkSession) as own:
-        sets = staged(signature_sets(docs, tally(docs)), "signature-sets")
-        firsts = staged(sets.groupBy("id").agg(F.min(F.struct("h", "k1", "k2", "n")).alias("s")).select("id", "s.*"), "first-texts")
-        nodes = firsts.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
-        nodes = staged(nodes, "set-nodes")
-        heads = nodes.join(firsts.select(F.col("id").alias("node"), "h"), "node").select(F.col("node").alias("id"), "h")
-        els = staged(sets.join(heads, ["id", "h"], "left_semi").select("id", "n", "bits", "els").dropDuplicates(["id"]), "node-sets")
-        # each node in its own part of lengths and in the next
+        sets = staged(signature_sets(docs, tally(docs)).withColumn("row", F.monotonically_increasing_id()), "signature-sets")
+        texts = staged(sets.drop("bits", "els"), "texts")
+        firsts = staged(texts.groupBy("id").agg(F.min(F.struct("h", "row", "k1", "k2", "n")).alias("s")).select("id", "s.*"), "first-texts")
+        nodes = staged(firsts.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("s")).select("k1", "k2", F.col("s.id").alias("node"), "s.row"), "set-nodes")
+        els = staged(sets.join(nodes.select("row"), "row", "left_semi").select("id", "n", "bits", "els"), "node-sets")
+        release(docs.sparkSession, sets)
         few = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).cast("int")
-        rare = els.select(F.col("id").alias("node"), length_part(F.col("n"), similarity).alias("part"), F.explode(F.slice("els", F.lit(1), few)).alias("el"))
-        rows = rare.select("node", F.explode(F.array(F.xxhash64("el", "part"), F.xxhash64("el", F.col("part") + 1))).alias("h"))
+        rare = els.select(F.col("id").alias("node"), length_part(F.col("n"), similarity).cast("short").alias("part"), F.explode(F.slice("els", F.lit(1), few)).alias("el"))
+        # signatures of one node alone go first; the others stand in the node's own part of lengths and in the next
+        shared = rare.groupBy("el").agg(F.count("*").alias("m")).where("m > 1").select("el")
+        rare = staged(rare.join(shared, "el"), "rare-signatures")
+        rows = rare.select("node", F.explode(F.array(F.xxhash64("el", "part"), F.xxhash64("el", (F.col("part") + 1).cast("short")))).alias("h"))
         crowds = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
         rows = staged(rows.join(crowds, "h"), "shared-signatures")
         wanted = staged(rows.groupBy("node").agg(F.sum("m").alias("degree")), "candidates")
-        labels = grouped(rows.select("node", "h"), wanted, els, similarity)
-        out = firsts.select("id", "k1", "k2").join(nodes, ["k1", "k2"], "left").select("id", F.coalesce("node", "id").alias("node")).join(labels, "node", "left")
-        out = sets.select("id", "h").distinct().join(out, "id").select(F.col("id").alias("key"), "h", F.coalesce("comp", "node").alias("class_key"))
+        labels = grouped(rows.select("node", "h"), wanted, els, similarity, pruned)
+        out = firsts.select("id", "k1", "k2").join(nodes.drop("row"), ["k1", "k2"], "left").select("id", F.coalesce("node", "id").alias("node")).join(labels, "node", "left")
+        out = texts.select("id", "h").distinct().join(out, "id").select(F.col("id").alias("key"), "h", F.coalesce("comp", "node").alias("class_key"))
         out = staged(out, "near-classes")
         own.pop()
     return out
@@ -181,7 +191,8 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def id_cuts(rows: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """The least (key, h) of each of about ``ranges`` ranges of rows."""
     dealt = rows.select("key", "h").repartitionByRange(ranges, "key", "h")
-    least = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "h")).alias("m")).select("m.*").orderBy("key", "h").toArrow()
+    with setting(rows.sparkSession, TIDY, "true"):
+        least = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "h")).alias("m")).select("m.*").orderBy("key", "h").toArrow()
     return least["key"].to_numpy(), least["h"].to_numpy()
 
 
