@@ -191,12 +191,29 @@ def verified(pairs: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
     return met.withColumn("both", both).where(F.col("both") >= similarity * (F.col("an") + F.col("bn") - F.col("both")) - 1e-9).select("a", "b")
 
 
+def apart_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of two components that share an ``el`` and can have the likeness.
+
+    ``rows``: (el, node, comp, size, n, bits, early), staged; ``size`` is the component's, and of a pair the shorter must be ``early``.
+    The nodes outside the largest component of an ``el`` meet all others; a crowded one is dealt in parts.
+    """
+    met = rows.groupBy("el").agg(F.count("*").alias("m"), F.max(F.struct("size", "comp")).alias("big"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    met = met.where("lo <> hi").select("el", F.col("big.comp").alias("big"), F.ceil(F.col("m") / DEAL).cast("int").alias("parts"))
+    rows = rows.drop("size").join(met, "el")
+    some = rows.where("comp <> big").select("el", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.struct("node", "comp", "n", "bits", "early").alias("l"))
+    every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # of two nodes outside the largest component, one order is enough
+    apart = (F.col("comp") != F.col("l.comp")) & ((F.col("comp") == F.col("big")) | (F.col("node") < F.col("l.node")))
+    early = F.when(F.col("n") < F.col("l.n"), F.col("early")).when(F.col("n") > F.col("l.n"), F.col("l.early")).otherwise(F.col("early") & F.col("l.early"))
+    pairs = every.join(some, ["el", "part"]).where(apart & early & may_be_alike("", "l.", similarity))
+    return pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+
+
 def rare_pairs(nodes: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of ``nodes`` (node, comp) of two components that can have the likeness, by prefix filter.
 
     The elements of a node are ordered by the number of nodes that hold them. Those of one node alone only
-    take places in its prefix. Of a shared element, the nodes outside its largest component meet all others;
-    a crowded element is dealt in parts.
+    take places in its prefix.
     """
     sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
     own = staged(nodes.join(sizes, "comp").join(els.select(F.col("id").alias("node"), "n", "bits", "els"), "node"), "own-elements")
@@ -208,16 +225,7 @@ def rare_pairs(nodes: DataFrame, els: DataFrame, similarity: float) -> DataFrame
     rows = own.drop("els").join(prefix, "node").where(places(similarity) > 0)
     rows = rows.select("node", "comp", "size", "n", "bits", places(2 * similarity / (1 + similarity)).alias("few"), F.posexplode(F.slice(F.col("rare.el"), F.lit(1), places(similarity))).alias("pos", "el"))
     rows = staged(rows.select("node", "comp", "size", "n", "bits", (F.col("pos") < F.col("few")).alias("early"), "el"), "rare-elements")
-    met = rows.groupBy("el").agg(F.count("*").alias("m"), F.max(F.struct("size", "comp")).alias("big"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    met = met.where("lo <> hi").select("el", F.col("big.comp").alias("big"), F.ceil(F.col("m") / DEAL).cast("int").alias("parts"))
-    rows = rows.drop("size").join(met, "el")
-    some = rows.where("comp <> big").select("el", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.struct("node", "comp", "n", "bits", "early").alias("l"))
-    every = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # of two nodes outside the largest component, one order is enough
-    apart = (F.col("comp") != F.col("l.comp")) & ((F.col("comp") == F.col("big")) | (F.col("node") < F.col("l.node")))
-    early = F.when(F.col("n") < F.col("l.n"), F.col("early")).when(F.col("n") > F.col("l.n"), F.col("l.early")).otherwise(F.col("early") & F.col("l.early"))
-    pairs = every.join(some, ["el", "part"]).where(apart & early & may_be_alike("", "l.", similarity))
-    return pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+    return apart_pairs(rows, similarity)
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -231,12 +239,13 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "labels")
 
 
-def grouped(banded: DataFrame, wanted: DataFrame, els: DataFrame, similarity: float, verify=verified) -> DataFrame:
+def grouped(banded: DataFrame, wanted: DataFrame, els: DataFrame, similarity: float, verify=verified, by_prefix: bool = False) -> DataFrame:
     """(node, comp) for the nodes of buckets: the components of all pairs in a bucket that have the likeness.
 
     ``banded``: (node, h), a row for each bucket of a node. ``wanted``: (node, degree), the number of its candidates.
     ``els``: (id, n, bits, els) as of ``elements``. All three are staged.
-    ``verify`` returns the pairs (a, b) of its first argument that have the likeness.
+    ``verify`` returns the pairs (a, b) of its first argument that have the likeness. ``by_prefix``: the buckets are those of
+    a prefix filter already, so what is left apart in them needs no other.
     """
     # each node of a bucket against its leader
     ranked = banded.select("node", "h").join(wanted.select("node", "degree"), "node")
@@ -257,8 +266,15 @@ def grouped(banded: DataFrame, wanted: DataFrame, els: DataFrame, similarity: fl
     pairs = open_.join(drawn, "h").where("comp <> d.comp").select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")).distinct()
     labels = joined(labels, verify(pairs, els, similarity))
     # what may still be alike and apart
-    open_ = of_several(labels).select("node", "comp").distinct()
-    return joined(labels, verify(rare_pairs(staged(open_, "open-nodes"), els, similarity), els, similarity))
+    open_ = of_several(labels)
+    nodes = staged(open_.select("node", "comp").distinct(), "open-nodes")
+    if by_prefix:
+        sizes = nodes.groupBy("comp").agg(F.count("*").alias("size"))
+        light = staged(nodes.join(sizes, "comp").join(els.select(F.col("id").alias("node"), "n", "bits"), "node"), "open-lengths")
+        rest = apart_pairs(open_.select(F.col("h").alias("el"), "node").join(light.withColumn("early", F.lit(True)), "node"), similarity)
+    else:
+        rest = rare_pairs(nodes, els, similarity)
+    return joined(labels, verify(rest, els, similarity))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -180,7 +180,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         crowds = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
         rows = staged(rows.join(crowds, "h"), "shared-signatures")
         wanted = staged(rows.groupBy("node").agg(F.sum("m").alias("degree")), "candidates")
-        labels = grouped(rows.select("node", "h"), wanted, els, similarity, pruned)
+        labels = grouped(rows.select("node", "h"), wanted, els, similarity, pruned, by_prefix=True)
         out = firsts.select("id", "k1", "k2").join(nodes.drop("row"), ["k1", "k2"], "left").select("id", F.coalesce("node", "id").alias("node")).join(labels, "node", "left")
         out = texts.select("id", "h").distinct().join(out, "id").select(F.col("id").alias("key"), "h", F.coalesce("comp", "node").alias("class_key"))
         out = staged(out, "near-classes")
