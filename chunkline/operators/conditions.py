@@ -88,12 +88,20 @@ def add_conditions(chunks: DataFrame, stored: DataFrame, conditions: list[Condit
     return stored.unionByName(fresh)
 
 
-def condition_status(stored: DataFrame, dims: DataFrame, frames: int) -> DataFrame:
-    """(rel_chunk, name, status): ok, unknown, bad_shape or non_finite."""
+def condition_status(stored: DataFrame, dims: DataFrame, frames: int | DataFrame) -> DataFrame:
+    """(rel_chunk, name, status): ok, unknown, bad_shape or non_finite.
+
+    ``frames`` is how many frames every chunk has, or a table (rel_chunk, frames) with the numbers of each chunk's own, as
+    the last chunk of a source may be shorter.
+    """
     per = stored.groupBy("rel_chunk", "name").agg(
         F.count("*").alias("n"), F.count("frame").alias("n_frames"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi"), F.bool_or(F.exists("v", not_finite)).alias("bad")
     )
-    shape = (F.col("lo") == F.col("dim")) & (F.col("hi") == F.col("dim")) & F.when(F.col("per_frame"), F.col("n_frames") == frames).otherwise((F.col("n") == 1) & (F.col("n_frames") == 0))
+    if isinstance(frames, int):
+        per = per.withColumn("wanted", F.lit(frames))
+    else:
+        per = per.join(frames.select("rel_chunk", F.size("frames").alias("wanted")), "rel_chunk", "left").fillna(0, ["wanted"])
+    shape = (F.col("lo") == F.col("dim")) & (F.col("hi") == F.col("dim")) & F.when(F.col("per_frame"), F.col("n_frames") == F.col("wanted")).otherwise((F.col("n") == 1) & (F.col("n_frames") == 0))
     status = F.when(F.col("dim").isNull(), "unknown").when(~shape, "bad_shape").when(F.col("bad"), "non_finite").otherwise("ok")
     return per.join(F.broadcast(dims), "name", "left").select("rel_chunk", "name", status.alias("status"))
 
@@ -106,11 +114,15 @@ def require_valid(status: DataFrame) -> DataFrame:
     return status
 
 
-def zero_filled(chunks: DataFrame, stored: DataFrame, status: DataFrame, dims: DataFrame, frames: int) -> DataFrame:
-    """Lenient reading: every chunk and known condition, with zeros (and ``filled``) where there is nothing usable."""
+def zero_filled(chunks: DataFrame, stored: DataFrame, status: DataFrame, dims: DataFrame, frames: int | None = None) -> DataFrame:
+    """Lenient reading: every chunk and known condition, with zeros (and ``filled``) where there is nothing usable.
+
+    Without ``frames``, ``chunks`` has a column of that name with the numbers of each chunk's own.
+    """
     good = stored.join(status.where("status = 'ok'").select("rel_chunk", "name"), ["rel_chunk", "name"])
-    at = F.when(F.col("per_frame"), F.sequence(F.lit(0), F.lit(frames - 1))).otherwise(F.array(F.lit(None).cast("int")))
-    grid = chunks.select("rel_chunk").crossJoin(F.broadcast(dims)).select("rel_chunk", "name", "dim", F.explode(at).alias("frame"))
+    own = F.col("frames") if frames is None else F.sequence(F.lit(0), F.lit(frames - 1))
+    at = F.when(F.col("per_frame"), own).otherwise(F.array(F.lit(None).cast("int")))
+    grid = chunks.crossJoin(F.broadcast(dims)).select("rel_chunk", "name", "dim", F.explode(at).alias("frame"))
     g = good.select(F.col("rel_chunk").alias("c"), F.col("name").alias("m"), F.col("frame").alias("f"), "v")
     met = grid.join(g, (F.col("rel_chunk") == F.col("c")) & (F.col("name") == F.col("m")) & F.col("frame").eqNullSafe(F.col("f")), "left")
     zeros = F.transform(F.sequence(F.lit(1), F.col("dim")), lambda _: F.lit(0.0).cast("float"))
