@@ -20,14 +20,17 @@ def not_finite(x: Column) -> Column:
     return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
 
 
-def latent_status(frames: DataFrame, key: str, value: str, dims: int, count: int) -> DataFrame:
-    """(key, status) of chunks of frames: ok, unreadable (a null frame), bad_shape, short or non_finite."""
+def latent_status(frames: DataFrame, key: str, value: str, dims: int, count: int | Column) -> DataFrame:
+    """(key, status) of chunks of frames: ok, unreadable (a null frame), bad_shape, short or non_finite.
+
+    ``count`` is how many frames a chunk has to have: one number, or a column with each chunk's own.
+    """
     v = F.col(value)
     bad = lambda c: F.sum(F.when(c, 1).otherwise(0)) > 0
     per = frames.groupBy(key).agg(
-        F.count("*").alias("n"), bad(v.isNull()).alias("unreadable"), bad(v.isNotNull() & (F.size(v) != dims)).alias("shape"), bad(F.coalesce(F.exists(v, not_finite), F.lit(False))).alias("nan")
+        F.count("*").alias("n"), F.max(F.lit(count)).alias("wanted"), bad(v.isNull()).alias("unreadable"), bad(v.isNotNull() & (F.size(v) != dims)).alias("shape"), bad(F.coalesce(F.exists(v, not_finite), F.lit(False))).alias("nan")
     )
-    status = F.when(F.col("unreadable"), "unreadable").when(F.col("shape"), "bad_shape").when(F.col("n") < count, "short").when(F.col("nan"), "non_finite").otherwise("ok")
+    status = F.when(F.col("unreadable"), "unreadable").when(F.col("shape"), "bad_shape").when(F.col("n") < F.col("wanted"), "short").when(F.col("nan"), "non_finite").otherwise("ok")
     return per.select(key, status.alias("status"))
 
 

@@ -18,7 +18,7 @@ def cut_off(spark, path, n):
 
 
 @pytest.mark.parametrize("n", [492, 386, 331, 391])
-@pytest.mark.parametrize("name", ["c8_condition_validity", "c8_lenient_fill"])
+@pytest.mark.parametrize("name", ["a5_chunk_sink", "c8_condition_validity", "c8_lenient_fill"])
 def test_last_clip_is_shorter(spark, tmp_path, name, n):
     """Two frames of a sound clip; one of clips that are at fault in each way (77, 66, 78)."""
     compare(spark, cut_off(spark, tmp_path / "sf", n), entry.queries()[name], entry.oracle_sql()[name])
