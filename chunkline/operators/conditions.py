@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,20 +53,26 @@ def extract(chunks: DataFrame, conditions: list[Condition]) -> DataFrame:
     """
     of = {c.name: c for c in conditions}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(c: Condition, chunk: np.ndarray, got: list[np.ndarray]) -> pa.RecordBatch:
+        """The rows of all signals of one length together: a batch for each chunk costs more than its values."""
+        got = [np.asarray(a, np.float32) for a in got]
+        for k, a in zip(chunk, got, strict=True):
+            if a.ndim != 1 + c.per_frame or a.shape[-1] != c.dim or not np.isfinite(a).all():
+                raise ValueError(f"{c.name}: unusable values for {k}")
+        n = np.array([len(a) if c.per_frame else 1 for a in got])
+        frame = pa.array(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), pa.int32()) if c.per_frame else pa.nulls(len(n), pa.int32())
+        v = pa.ListArray.from_arrays(pa.array(np.arange(n.sum() + 1) * c.dim, pa.int32()), pa.array(np.concatenate([a.ravel() for a in got])))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(chunk, n), pa.string()), pa.array(np.repeat(c.name, n.sum()), pa.string()), frame, v], ["rel_chunk", "name", "frame", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.to_pandas()
             for name, c in of.items():
                 rows = b[[name in list(n) for n in b["names"]]]
                 for _, g in rows.groupby(rows["x"].map(len)):
-                    got = c.extract(np.stack([np.asarray(x, float) for x in g["x"]]))
-                    for chunk, a in zip(g["rel_chunk"], got, strict=True):
-                        a = np.asarray(a, np.float32)
-                        if a.shape[-1] != c.dim or a.ndim != 1 + c.per_frame or not np.isfinite(a).all():
-                            raise ValueError(f"{name}: unusable values for {chunk}")
-                        frames = list(range(len(a))) if c.per_frame else [None]
-                        yield pd.DataFrame({"rel_chunk": chunk, "name": name, "frame": pd.array(frames, "Int32"), "v": list(a) if c.per_frame else [a]})
-
-    return chunks.select("rel_chunk", "x", "names").mapInPandas(run, LONG)
+                    yield rows_of(c, g["rel_chunk"].to_numpy(object), c.extract(np.stack([np.asarray(x, float) for x in g["x"]])))
+
+    return chunks.select("rel_chunk", "x", "names").mapInArrow(run, LONG)
 
 
 def missing_names(chunks: DataFrame, stored: DataFrame, names: list[str], force: bool = False) -> DataFrame:

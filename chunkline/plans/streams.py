@@ -12,7 +12,7 @@ from chunkline.plans.fixtures import view
 from chunkline.plans.frames import CUT
 from chunkline.plans.registry import Family
 from chunkline.sources.sidecar import sidecar_scan
-from chunkline.sources.storage import new_path, setting
+from chunkline.sources.storage import new_path, setting, staged
 from chunkline.streaming import ingest as I
 
 family = Family()
@@ -42,7 +42,8 @@ GATED = sql(GATED, G="GROUP@rel_path")
 
 def ingested(spark, sf):
     """Clips in four files of listings, gated, cut, numbered and annotated; a fifth has other times for some."""
-    clips = view(spark, sf, "fx_samples").select(F.concat(F.lit("clips/clip_"), "clip_id").alias("rel_path"), "seq", "x")
+    # the sources stand as they are: a batch reads them without numbering all samples anew
+    clips = staged(view(spark, sf, "fx_samples").select(F.concat(F.lit("clips/clip_"), "clip_id").alias("rel_path"), "seq", "x"), "clips")
     listing = clips.groupBy("rel_path").agg(F.count("*").alias("size_bytes")).withColumn("mtime_ns", F.lit(1).cast("long"))
     src, out = in_files(listing, new_path(spark, "listing"), 4), new_path(spark, "ingested")
     load = lambda fresh: clips.join(fresh.select("rel_path"), "rel_path", "left_semi")

@@ -24,7 +24,7 @@ from chunkline.operators.splits import SPLITS as NAMES
 from chunkline.operators.splits import check_ratios
 from chunkline.operators.stats import merge_moments, partial_moments
 from chunkline.sources.log import RunLog
-from chunkline.sources.storage import setting
+from chunkline.sources.storage import setting, staged
 
 #: Spark's setting and class of the state store that keyed state needs.
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -70,7 +70,8 @@ class NewVersions(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
         now = max((int(m), int(s)) for part in rows for s, m in zip(part["size_bytes"], part["mtime_ns"], strict=True))
         version = (now[1], now[0])
-        if not self.seen.exists() or tuple(self.seen.get()) != version:
+        seen = self.seen.get()  # one call to the store a source; None if there is nothing
+        if seen is None or tuple(seen) != version:
             self.seen.update(version)
             yield pd.DataFrame({"rel_path": [key[0]], "size_bytes": [version[0]], "mtime_ns": [version[1]]})
 
@@ -103,12 +104,14 @@ class Cutting:
         if self.load is None:
             cut = fresh.select("rel_path", F.posexplode(window_starts(F.col("size_bytes"), self.size, self.overlap)).alias("idx", "start"))
             return cut.select("rel_path", name, "idx", "start"), None
-        samples = self.load(fresh)
+        # both are read several times: gates, lengths, levels and signals; numbers and names
+        samples = staged(self.load(fresh), "samples")
         if self.source_gates:
             samples = samples.join(source_gates(samples, "rel_path", **self.source_gates), "rel_path", "left_semi")
         rows = cut_chunks(samples, "rel_path", self.size, self.overlap)
         kept = numbered_chunks(chunk_levels(rows, "rel_path"), "rel_path", **self.chunk_gates)
         kept = kept.select("rel_path", name, F.col("idx").cast("int").alias("idx"), F.col("start").cast("long").alias("start"))
+        kept = staged(kept, "kept-chunks")
         signal = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x"))), lambda s: s["x"])
         signals = rows.join(kept, ["rel_path", "start"]).groupBy("rel_chunk").agg(signal.alias("x"))
         names = F.array(*[F.lit(c.name) for c in self.conditions])

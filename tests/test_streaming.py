@@ -104,3 +104,21 @@ def test_runs_are_merged_by_levels(spark):
     assert len(log.marks.ids()) == KEPT_MARKS
     with pytest.raises(OSError):
         log.marks.write(66, [])
+
+
+def test_a_batch_loads_its_sources_once(spark):
+    """Gates, lengths, levels and signals need the samples; loading them again for each would grow with all sources."""
+    loaded = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            loaded.add(len(p))
+            yield p
+
+    plain = cutting(spark)
+    once = I.Cutting(8, 0, lambda fresh: plain.load(fresh).mapInPandas(counted, "rel_path string, seq long, x double"), plain.source_gates, plain.chunk_gates, plain.conditions)
+    rows, (a, b) = [("a/x", 20, 1), ("a/y", 33, 1), ("a/z", 5, 1)], (new_path(spark, "ingested"), new_path(spark, "ingested"))
+    I.ingest(a, once)(listing(spark, rows), 0)
+    I.ingest(b, plain)(listing(spark, rows), 0)
+    assert loaded.value == 58
+    assert seen(spark, a) == seen(spark, b)
