@@ -59,6 +59,11 @@ def logit_curve(x: Column) -> Column:
     return F.greatest(F.least(1 / (1 + F.exp(-x)), F.lit(1.0)), F.lit(0.0))
 
 
+def signed_round(x: Column, digits: int) -> Column:
+    """Rounded, halves away from zero; what rounds to zero from below is -0.0, as in SQL engines that round the number itself."""
+    return F.round(F.abs(x), digits) * F.signum(x)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chunkline.functions.series import signed_round
 from chunkline.operators import beats as B
 from chunkline.operators import frames as R
 from chunkline.operators import notes as N
@@ -26,7 +27,7 @@ def cells(spark, sf):
 
 
 def rounded(df, *names):
-    return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
+    return df.select(*[signed_round(F.col(c), 6).alias(c) if c in names else c for c in df.columns])
 
 
 DRUM = "MAP {" + ", ".join(f"{p}: {k}" for k, ps in enumerate(N.DRUMS) for p in ps) + "}[pitch]"

@@ -21,7 +21,7 @@ query = family.query
 
 
 def rounded(df, *names):
-    return df.select(*[F.round(c, 6).alias(c) if c in names else c for c in df.columns])
+    return df.select(*[A.signed_round(F.col(c), 6).alias(c) if c in names else c for c in df.columns])
 
 
 STATUS = """f AS (SELECT clip_id, frame, CASE WHEN clip_id % 11 = 0 AND frame = 1 THEN embedding[1:10] ELSE embedding END AS v, clip_id % 13 = 0 AND frame = 2 AS nan FROM fx_clips WHERE NOT (clip_id % 7 = 0 AND frame = 4)),
@@ -69,14 +69,14 @@ def b19(spark, sf):
     dims = view(spark, sf, "fx_latent_dims").withColumn("v", F.col("v").cast("double"))
     stats = staged(S.channel_stats(dims), "stats")
     z = S.normalize(dims, stats).withColumn("z", F.col("v"))
-    return S.normalize(z, stats, inverse=True).select("clip_id", "frame", "d", F.round("z", 5).alias("z"), F.round("v", 5).alias("back"))
+    return S.normalize(z, stats, inverse=True).select("clip_id", "frame", "d", A.signed_round(F.col("z"), 5).alias("z"), A.signed_round(F.col("v"), 5).alias("back"))
 
 
 @query("b20_dot_similarity", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
 def b20(spark, sf):
     e = view(spark, sf, "embeddings")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return e.join(nxt, "vec_id").select("vec_id", F.round(A.unit_similarity(F.col("embedding"), F.col("other")), 6).alias("s"))
+    return e.join(nxt, "vec_id").select("vec_id", A.signed_round(A.unit_similarity(F.col("embedding"), F.col("other")), 6).alias("s"))
 
 
 def wholes(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chunkline.functions.series import signed_round
 from chunkline.operators.scores import ledger
 from chunkline.operators.stats import covariances
 from chunkline.plans.catalog import GROWN_SQL, keyed, sources, sql
@@ -90,7 +91,7 @@ def j3(spark, sf):
     src, out = in_files(rows, new_path(spark, "latents"), 4), new_path(spark, "moments")
     I.run_stream(spark, src, rows.schema, f"{out}-checkpoint", I.moments_of_batches(out, "side", "v"))
     c = covariances(I.running_moments(spark, out, "side", "string"), "side")
-    return c.select("side", "i", "j", F.round("cov", 6).alias("cov"))
+    return c.select("side", "i", "j", signed_round(F.col("cov"), 6).alias("cov"))
 
 
 @query("j4_running_coverage", "SELECT arm, metric_key AS cond, CASE WHEN isnan(score) THEN 'non_finite' ELSE 'ok' END AS status, count(*) AS n FROM fx_scores GROUP BY ALL")
