@@ -20,6 +20,8 @@ DRUMS = (
     (51, 53, 59, 82),
 )
 ONSET0, DRUM0 = KEYS, 2 * KEYS
+#: Notes that a task joins with windows.
+NOTES_PER_TASK = 100_000
 
 
 def drum_class(pitch: Column) -> Column:
@@ -32,11 +34,14 @@ def notes_in_windows(notes: DataFrame, windows: DataFrame, key: str, length: flo
     """Notes (key, onset, offset, ...) with every window (key, t0) they sound in; times become relative.
 
     Windows start at multiples of ``length`` apart (in any offset): both sides are dealt by the number of
-    the length they touch, so the join stays an equi-join for long sources.
+    the length they touch, so the join stays an equi-join for long sources. Tasks are as many as the notes ask for
+    (``NOTES_PER_TASK``), so that none grows with the table.
     """
     at = lambda c: F.floor(c / length)
+    tasks = max(1, -(-notes.count() // NOTES_PER_TASK))
     touched = notes.withColumn("_b", F.explode(F.sequence(at(F.col("onset")), F.greatest(at(F.col("offset")), at(F.col("onset"))))))
     spans = windows.withColumn("_b", F.explode(F.sequence(at(F.col("t0")), at(F.col("t0") + length))))
+    touched, spans = (d.repartition(tasks, key, "_b") for d in (touched, spans))
     met = touched.join(spans, [key, "_b"]).where((F.col("offset") - F.col("t0") > 0) & (F.col("onset") - F.col("t0") < length))
     # a pair meets in one bucket only: the first that both touch
     met = met.where(F.col("_b") == F.greatest(at(F.col("onset")), at(F.col("t0"))))
