@@ -117,11 +117,14 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
     return [(k, x / sum(w)) for k, x in zip(range(-r, r + 1), w, strict=True)]
 
 
-def gaussian_smooth(cells: DataFrame, keys: list[str], sigma: float, frames: int) -> DataFrame:
-    """(keys, slot, frame, v): lit cells spread along time; nothing comes from beyond the ends."""
+def gaussian_spread(cells: DataFrame, sigma: float, frames: int) -> DataFrame:
+    """The lit cells with a row, and its weight ``w``, for each frame that they reach; nothing comes from beyond the ends."""
     kernel = F.map_from_arrays(*[F.array(*[F.lit(x) for x in xs]) for xs in zip(*gaussian_kernel(sigma), strict=True)])
-    spread = cells.select(*keys, "slot", "frame", F.explode(kernel).alias("k", "w"))
-    spread = spread.select(*keys, "slot", (F.col("frame") + F.col("k")).alias("frame"), "w").where(F.col("frame").between(0, frames - 1))
-    return spread.groupBy(*keys, "slot", "frame").agg(F.sum("w").alias("v"))
+    rest = [c for c in cells.columns if c != "frame"]
+    spread = cells.select(*rest, "frame", F.explode(kernel).alias("k", "w"))
+    return spread.select(*rest, (F.col("frame") + F.col("k")).alias("frame"), "w").where(F.col("frame").between(0, frames - 1))
 
 
+def gaussian_smooth(cells: DataFrame, keys: list[str], sigma: float, frames: int) -> DataFrame:
+    """(keys, slot, frame, v): lit cells spread along time."""
+    return gaussian_spread(cells.select(*keys, "slot", "frame"), sigma, frames).groupBy(*keys, "slot", "frame").agg(F.sum("w").alias("v"))

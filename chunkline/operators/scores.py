@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkline.functions.series import dot
 from chunkline.operators.beats import tolerance_match
-from chunkline.operators.notes import DRUM0, KEYS, ONSET0, drum_class, gaussian_smooth
+from chunkline.operators.notes import DRUM0, KEYS, ONSET0, drum_class, gaussian_spread
 
 
 def nan() -> Column:
@@ -45,28 +45,41 @@ def pearson_fidelity(frames: DataFrame, keys: list[str], target: str, generated:
     return sums.select(*keys, F.when(F.col("n") >= (2 if voiced_only else 1), score).otherwise(nan()).alias("score"))
 
 
-def onset_correlation(target: DataFrame, generated: DataFrame, keys: list[str], slots: int, frames: int, sigma: float = 2.0) -> DataFrame:
-    """(keys, score) of lit cells smoothed along time, over all slots and frames. Keys without target cells are not returned."""
-    t, g = (gaussian_smooth(c, keys, sigma, frames) for c in (target, generated))
-    both = t.withColumnRenamed("v", "x").join(g.withColumnRenamed("v", "y"), [*keys, "slot", "frame"], "full_outer").fillna(0.0, ["x", "y"])
+#: Clips whose rolls a task compares.
+CLIPS_PER_TASK = 500
+
+
+def two_rolls(target: DataFrame, generated: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame, slot, t, g): the lit cells of both rolls under each other, ``t`` or ``g`` 1."""
+    side = lambda d, t, g: d.select(*keys, "frame", "slot", F.lit(t).alias("t"), F.lit(g).alias("g"))
+    return side(target, 1, 0).unionByName(side(generated, 0, 1))
+
+
+def onset_correlation(both: DataFrame, keys: list[str], slots: int, frames: int, sigma: float = 2.0) -> DataFrame:
+    """(keys, score) of lit cells of two rolls smoothed along time, over all slots and frames. Keys without target cells are not returned."""
     s = lambda c: F.sum(c)
-    x, y = F.col("x"), F.col("y")
-    sums = both.groupBy(*keys).agg(s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(y * y).alias("syy"), s(x * y).alias("sxy"))
+    w, x, y = F.col("w"), F.col("x"), F.col("y")
+    cells = gaussian_spread(both, sigma, frames).groupBy(*keys, "slot", "frame").agg(s(w * F.col("t")).alias("x"), s(w * F.col("g")).alias("y"))
+    sums = cells.groupBy(*keys).agg(s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(y * y).alias("syy"), s(x * y).alias("sxy"))
     r = pearson(F.lit(slots * frames), *[F.col(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
     return sums.where("sx > 0").select(*keys, F.when(F.col("sy") == 0, 0.0).otherwise(r).alias("score"))
 
 
 def roll_fidelity(target: DataFrame, generated: DataFrame, clips: DataFrame, keys: list[str], frames: int) -> DataFrame:
-    """(keys, cosine, onset_corr, drum_corr) of two rolls of lit cells, for every row of ``clips`` (keys)."""
-    slot = F.col("slot")
-    sound = lambda d, n: d.where(slot < KEYS).select(*keys, "frame", "slot", F.lit(1).alias(n))
-    both = sound(target, "t").join(sound(generated, "g"), [*keys, "frame", "slot"], "full_outer")
-    per = both.groupBy(*keys, "frame").agg(F.count("t").alias("nt"), F.count("g").alias("ng"), F.count(F.when(F.col("t").isNotNull() & F.col("g").isNotNull(), 1)).alias("both"))
+    """(keys, cosine, onset_corr, drum_corr) of two rolls of lit cells, for every row of ``clips`` (keys).
+
+    The rolls of a clip are dealt to one task before they are spread, ``CLIPS_PER_TASK`` clips to each, so that spread cells are
+    not shuffled and no task grows with the table.
+    """
+    slot, clips = F.col("slot"), clips.select(*keys).distinct()
+    tasks = max(1, -(-clips.count() // CLIPS_PER_TASK))
+    part = lambda lo, hi: two_rolls(*(d.where(slot.between(lo, hi - 1)) for d in (target, generated)), keys).repartition(tasks, *keys)
+    cells = part(0, KEYS).groupBy(*keys, "frame", "slot").agg(F.max("t").alias("t"), F.max("g").alias("g"))
+    per = cells.groupBy(*keys, "frame").agg(F.sum("t").alias("nt"), F.sum("g").alias("ng"), F.sum(F.col("t") * F.col("g")).alias("both"))
     cos = F.when((F.col("nt") > 0) & (F.col("ng") > 0), F.col("both") / F.sqrt(F.col("nt") * F.col("ng"))).otherwise(0.0)
-    out = clips.select(*keys).distinct().join(per.groupBy(*keys).agg(F.avg(cos).alias("cosine")), keys, "left")
+    out = clips.join(per.groupBy(*keys).agg(F.avg(cos).alias("cosine")), keys, "left")
     for name, lo, hi in (("onset_corr", ONSET0, DRUM0), ("drum_corr", DRUM0, DRUM0 + 9)):
-        part = lambda d, lo=lo, hi=hi: d.where(slot.between(lo, hi - 1))
-        out = out.join(onset_correlation(part(target), part(generated), keys, hi - lo, frames).withColumnRenamed("score", name), keys, "left")
+        out = out.join(onset_correlation(part(lo, hi), keys, hi - lo, frames).withColumnRenamed("score", name), keys, "left")
     return out.select(*keys, *[F.coalesce(c, nan()).alias(c) for c in ("cosine", "onset_corr", "drum_corr")])
 
 

@@ -11,6 +11,7 @@ from chunkline.operators import notes as N
 from chunkline.operators import scores as S
 from chunkline.plans.fixtures import view
 from chunkline.plans.registry import Family
+from chunkline.sources.storage import staged
 
 family = Family()
 query = family.query
@@ -153,7 +154,7 @@ CORR = """{n} AS (SELECT clip_id, CASE WHEN sum(y) = 0 THEN 0 WHEN sqrt(greatest
     FROM (SELECT DISTINCT clip_id FROM fx_notes) LEFT JOIN c USING (clip_id) LEFT JOIN o USING (clip_id) LEFT JOIN d USING (clip_id)""",
 )
 def e17(spark, sf):
-    c = cells(spark, sf)
+    c = staged(cells(spark, sf), "cells")
     s = S.roll_fidelity(c.where("side = 0").drop("side"), c.where("side = 1").drop("side"), notes(spark, sf), ["clip_id"], T)
     return rounded(s, "cosine", "onset_corr", "drum_corr")
 
