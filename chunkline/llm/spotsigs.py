@@ -6,23 +6,27 @@ likeness.
 
 Near pairs: fingerprints are parted by set length so that two that can be alike lie in one part or in
 neighbouring parts. In a part they meet by their rarest signatures (of two sets with a likeness of s, each
-holds one of the other's rarest ``n - ceil(s n) + 1``); of those that meet, pairs are pruned by their lengths
-and by parity bitmaps, and the others are compared.
+holds one of the other's rarest ``n - ceil(s n) + 1``). Rounds of one leader a bucket and one pair a node make large
+groups one component first; of the components that are left all pairs that meet are taken. Pairs are pruned by their
+lengths and by parity bitmaps, and the others are compared by their sets.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkline.llm.common import TIDY, in_parts, owned_tables, release, setting, staged
-from chunkline.llm.minhash import WORDS, grouped, may_be_alike, verified
+from chunkline.llm.common import AT_ONCE, TIDY, bits_of, has_bit, in_parts, owned_tables, release, setting, staged
+from chunkline.llm.minhash import DEAL, WORDS, joined, may_be_alike, verified
 from chunkline.llm.wordhash import chained, mix, word_hash, words_hashed
 
 #: Common words of English, French, German and Spanish.
@@ -35,8 +39,10 @@ ANCHORS = (
 CHAIN = 2
 #: Words between which an anchor looks for its chain, and without a common word for which any word is an anchor.
 REACH = 8
-#: Values of a signature's hash by which signatures are counted (a fixed size); the counts only put signatures in order.
-TALLY = 1 << 18
+#: Signatures are counted by cells of their hash, so many to a cell up to 16 MB of cells; the counts only put signatures in order.
+LOAD, SEGMENT, MOST_CELLS = 128, 1 << 14, 1 << 24
+#: Rounds in which a node is held against one leader before all pairs of components that are left.
+ROUNDS = 2
 #: Ranges of ids are as many as shuffle tasks; their cuts (two numbers each) are known to the driver.
 MOST_RANGES = 100_000
 #: Stands for a null id.
@@ -101,26 +107,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def tally(docs: DataFrame) -> np.ndarray:
-    """Counts of signatures by ``hash % TALLY`` over all texts (a fixed size)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks, n = anchors(), np.zeros(TALLY, np.int64)
-        for b in batches:
-            for part in in_parts(b, b["text"].str.len().fillna(0)):
-                n += np.bincount((signature_keys(list(part["text"]), marks) & np.uint64(TALLY - 1)).astype(np.int64), minlength=TALLY)
-        yield pd.DataFrame({"at": np.flatnonzero(n), "n": n[n > 0]})
-
-    with setting(docs.sparkSession, TIDY, "true"):
-        got = docs.select("text").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TALLY, np.int64)
-    out[got["at"].to_numpy()] = got["n"].to_numpy()
-    return out
-
-
-def signature_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(id, h, n, k1, k2, bits, els) for (id, h, text): the signatures, rarest first, a hash of their set in two halves, and its parity bitmap."""
-    known = docs.sparkSession.sparkContext.broadcast(counts)
+def signature_sets(docs: DataFrame) -> DataFrame:
+    """(id, h, n, k1, k2, bits, els) for (id, h, text): the signatures, a hash of their set in two halves, and its parity bitmap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks, wide = anchors(), WORDS * 64
@@ -128,8 +116,6 @@ def signature_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             for b in in_parts(batch, batch["text"].str.len().fillna(0)):
                 keys = signature_keys(list(b["text"]), marks)
                 doc, el = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
-                order = np.lexsort((el, known.value[(el & np.uint64(TALLY - 1)).astype(np.int64)], doc))
-                doc, el = doc[order], el[order]
                 n = np.bincount(doc, minlength=len(b))
                 k1, k2 = np.zeros(len(b), np.uint64), np.zeros(len(b), np.uint64)
                 np.add.at(k1, doc, mix(el))
@@ -142,16 +128,163 @@ def signature_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("id", "h", "text").mapInPandas(run, "id long, h long, n long, k1 long, k2 long, bits array<long>, els array<int>")
 
 
+def cells_for(signatures: int) -> int:
+    """Cells of the tally: a power of two that grows with the signatures, from SEGMENT to MOST_CELLS."""
+    return min(MOST_CELLS, max(SEGMENT, 1 << (signatures // LOAD).bit_length()))
+
+
+def tally(sets: DataFrame) -> np.ndarray:
+    """A coarse logarithm of the number of signatures in each cell ``hash % cells``, a byte each."""
+    cells = cells_for(sets.agg(F.sum("n")).first()[0] or 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, np.int32)
+        for b in batches:
+            at, some = np.unique(b.column("els").flatten().to_numpy().view(np.uint32) & np.uint32(cells - 1), return_counts=True)
+            n[at] += some.astype(np.int32)
+        parts = n.reshape(-1, SEGMENT)
+        held = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in held], pa.binary())], ["at", "n"])
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(SEGMENT, np.int64)
+        for x in parts["n"]:
+            n += np.frombuffer(zlib.decompress(x), np.int32)
+        return pd.DataFrame({"at": parts["at"].iloc[:1], "n": [np.rint(8 * np.log2(n + 1.0)).clip(0, 255).astype(np.uint8).tobytes()]})
+
+    with setting(sets.sparkSession, TIDY, "true"):
+        got = sets.select("els").mapInArrow(run, "at int, n binary").groupBy("at").applyInPandas(added, "at int, n binary").toArrow()
+    out = np.zeros((cells // SEGMENT, SEGMENT), np.uint8)
+    for at, n in zip(got["at"].to_pylist(), got["n"].to_pylist(), strict=True):
+        out[at] = np.frombuffer(n, np.uint8)
+    return out.reshape(-1)
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(row, n, bits, rare) of sets: ``rare`` are the rarest signatures, one of which a set with the likeness must hold among its own."""
+    known = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = np.flatnonzero(np.diff(np.cumsum(batch.column("n").to_numpy()) // AT_ONCE)) + 1
+            for i, z in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                b = batch.slice(i, z - i)
+                n, el = b.column("n").to_numpy(), b.column("els").flatten().to_numpy()
+                cell, doc = known.value[el.view(np.uint32) & np.uint32(len(known.value) - 1)], np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((el, cell, doc))
+                few = (n - np.ceil(n * similarity - 1e-6) + 1).astype(np.int64).clip(0, n)
+                first = np.arange(len(el)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(few, n)
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]), pa.int32()), pa.array(el[order][first]))
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n"), b.column("bits"), rare], ["row", "n", "bits", "rare"])
+
+    return sets.select("row", "n", "bits", "els").mapInArrow(run, "row long, n long, bits array<long>, rare array<int>")
+
+
 def length_part(n: Column, similarity: float) -> Column:
     """Part of a set length: of two lengths with a ratio of ``similarity`` or more, the parts are the same or neighbours."""
     return F.floor(F.log(n.cast("double")) / (float(-np.log(similarity)) * (1 + 1e-9)))
 
 
-def pruned(pairs: DataFrame, els: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) with the likeness: lengths and bitmaps are compared first, sets only of the pairs that they leave."""
-    a, b = (els.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", "bits")]) for x in "ab")
-    met = pairs.join(a, "a").join(b, "b").where(may_be_alike("a", "b", similarity)).select("a", "b")
-    return verified(staged(met, "open-pairs"), els, similarity)
+def buckets(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, h, early, own, m), staged: the rows of nodes in the buckets where they meet others.
+
+    A bucket is a signature and a part of lengths; a node stands in its own part's and in the next one's. Of two nodes one must
+    be ``own``; ``m`` rows are in the bucket. The shorter of two must be ``early``: its share of the overlap that the
+    likeness asks for is larger, so even fewer of its signatures will do.
+    """
+    most = F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6) + 1
+    rare = nodes.select("node", "n", length_part(F.col("n"), similarity).alias("part"), most.alias("most"), F.posexplode("rare").alias("pos", "el"))
+    rare = rare.select("node", F.col("n").cast("int").alias("n"), F.col("part").cast("short").alias("part"), (F.col("pos") < F.col("most")).alias("early"), "el")
+    # signatures of one node alone go first
+    shared = rare.groupBy("el").agg(F.count("*").alias("m")).where("m > 1").select("el")
+    rare = staged(rare.join(shared, "el"), "rare-signatures")
+    places = F.explode(F.array(F.struct(F.col("part").cast("long").alias("to"), F.lit(True).alias("own")), F.struct((F.col("part") + 1).cast("long").alias("to"), F.lit(False).alias("own"))))
+    rows = rare.withColumn("at", places).select("node", "n", (F.col("el") * F.lit(65536).cast("long") + F.col("at.to")).alias("h"), "early", "at.own")
+    crowds = rows.groupBy("h").agg(F.count("*").alias("m"), F.max("own").alias("any")).where("m > 1 and any").select("h", "m")
+    out = staged(rows.join(crowds, "h"), "shared-signatures")
+    release(nodes.sparkSession, rare)
+    return out
+
+
+def can_meet(x: str, y: str, similarity: float) -> Column:
+    """Whether two rows of a bucket can be a pair: by component, by lengths, and as ``buckets`` says."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    n, m = c(x, "n"), c(y, "n")
+    early = F.when(n < m, c(x, "early")).when(n > m, c(y, "early")).otherwise(c(x, "early") & c(y, "early"))
+    return (c(x, "comp") != c(y, "comp")) & (c(x, "own") | c(y, "own")) & (F.least(n, m) >= similarity * F.greatest(n, m)) & early
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes with the likeness, staged: by lengths and bitmaps first, then by the sets of those left only.
+
+    A filter of fixed size spares the other sets the shuffle, not the join that decides.
+    """
+    spark = pairs.sparkSession
+    a, b = (nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", "bits")]) for x in "ab")
+    met = staged(pairs.join(a, "a").join(b, "b").where(may_be_alike("a", "b", similarity)).select("a", "b"), "open-pairs")
+    wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = staged(wanted.join(nodes.select("node", "row"), "node"), "open-nodes")
+    filter_ = spark.sparkContext.broadcast(bits_of(wanted.select(F.col("node").alias("key"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(has_bit(filter_.value, b.column("id").to_numpy().view(np.uint64))))
+
+    picked = sets.select("id", "row", "n", "bits", "els").mapInArrow(run, "id long, row long, n long, bits array<long>, els array<int>")
+    els = staged(picked.join(wanted.select("row"), "row", "left_semi").drop("row"), "open-sets")
+    filter_.destroy()
+    out = staged(verified(met, els, similarity), "near-pairs")
+    release(spark, met, wanted, els)
+    return out
+
+
+def rest_pairs(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of two components that meet in a bucket of ``rows`` (node, n, h, early, own, comp) and can be alike.
+
+    The nodes outside the largest component of a bucket meet all others; a crowded one is dealt in parts. Bitmaps are
+    folded to two words here: texts differ in no more bits of these.
+    """
+    fold = [reduce(lambda x, y: x.bitwiseXOR(y), [F.get("bits", F.lit(i)) for i in range(k, WORDS, 2)]).alias(f"f{k}") for k in (0, 1)]
+    sizes = rows.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+    rows = rows.join(sizes, "comp").join(nodes.select("node", *fold), "node")
+    met = rows.groupBy("h").agg(F.count("*").alias("m"), F.max(F.struct("size", "comp")).alias("big"))
+    met = met.select("h", F.col("big.comp").alias("big"), F.ceil(F.col("m") / DEAL).cast("int").alias("parts"))
+    rows = rows.drop("size").join(met, "h")
+    some = rows.where("comp <> big").select("h", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("deal"), F.struct("node", "comp", "n", "early", "own", "f0", "f1").alias("l"))
+    every = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # of two nodes outside the largest component, one order is enough
+    once = (F.col("comp") == F.col("big")) | (F.col("node") < F.col("l.node"))
+    apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"l.{f}"))) for f in ("f0", "f1")), F.lit(0))
+    near = apart <= (F.col("n") + F.col("l.n")) * (1 - similarity) / (1 + similarity) + 1e-6
+    pairs = every.join(some, ["h", "deal"]).where(once & can_meet("", "l.", similarity) & near)
+    return pairs.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+
+
+def near_groups(rows: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, comp): the components of all pairs that meet in a bucket and have the likeness.
+
+    In each of ROUNDS rounds a bucket has one leader, and a node is held against one only, the one that leads most of its buckets:
+    so many copies of one text become one component by a pair each. First the nodes with the most candidates lead, later nodes
+    drawn by a hash. Then all pairs of components that are left in a bucket are compared.
+    """
+    degrees = staged(rows.groupBy("node").agg(F.sum("m").alias("weight")), "candidates")
+    labels, weights = degrees.select("node", F.col("node").alias("comp")), degrees
+
+    def still_open(rows: DataFrame, labels: DataFrame, weights: DataFrame) -> DataFrame:
+        """The rows of the buckets that hold several components, with their component and the bucket's leader ``l``."""
+        held = rows.select("node", "n", "h", "early", "own").join(labels.join(weights, "node"), "node")
+        lead = held.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("weight", "node", "comp", "n", "early", "own")).alias("l"))
+        return staged(held.drop("weight").join(lead.where("lo <> hi").select("h", "l"), "h"), "open-buckets")
+
+    for k in range(ROUNDS):
+        rows = still_open(rows, labels, weights)
+        led = rows.where(can_meet("", "l.", similarity)).groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("m"))
+        best = led.groupBy("a").agg(F.max(F.struct("m", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+        pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        labels = joined(labels, alike(pairs, nodes, sets, similarity))
+        weights = degrees.select("node", F.xxhash64(F.lit(k), "node").alias("weight"))
+    rows = still_open(rows, labels, weights).drop("l")
+    return joined(labels, alike(rest_pairs(rows, nodes, similarity), nodes, sets, similarity))
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -165,24 +298,13 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     with owned_tables(docs.sparkSession) as own:
-        sets = staged(signature_sets(docs, tally(docs)).withColumn("row", F.monotonically_increasing_id()), "signature-sets")
-        texts = staged(sets.drop("bits", "els"), "texts")
-        firsts = staged(texts.groupBy("id").agg(F.min(F.struct("h", "row", "k1", "k2", "n")).alias("s")).select("id", "s.*"), "first-texts")
-        nodes = staged(firsts.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("s")).select("k1", "k2", F.col("s.id").alias("node"), "s.row"), "set-nodes")
-        els = staged(sets.join(nodes.select("row"), "row", "left_semi").select("id", "n", "bits", "els"), "node-sets")
-        release(docs.sparkSession, sets)
-        few = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).cast("int")
-        rare = els.select(F.col("id").alias("node"), length_part(F.col("n"), similarity).cast("short").alias("part"), F.explode(F.slice("els", F.lit(1), few)).alias("el"))
-        # signatures of one node alone go first; the others stand in the node's own part of lengths and in the next
-        shared = rare.groupBy("el").agg(F.count("*").alias("m")).where("m > 1").select("el")
-        rare = staged(rare.join(shared, "el"), "rare-signatures")
-        rows = rare.select("node", F.explode(F.array(F.xxhash64("el", "part"), F.xxhash64("el", (F.col("part") + 1).cast("short")))).alias("h"))
-        crowds = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-        rows = staged(rows.join(crowds, "h"), "shared-signatures")
-        wanted = staged(rows.groupBy("node").agg(F.sum("m").alias("degree")), "candidates")
-        labels = grouped(rows.select("node", "h"), wanted, els, similarity, pruned, by_prefix=True)
-        out = firsts.select("id", "k1", "k2").join(nodes.drop("row"), ["k1", "k2"], "left").select("id", F.coalesce("node", "id").alias("node")).join(labels, "node", "left")
-        out = texts.select("id", "h").distinct().join(out, "id").select(F.col("id").alias("key"), "h", F.coalesce("comp", "node").alias("class_key"))
+        sets = staged(signature_sets(docs).withColumn("row", F.monotonically_increasing_id()), "signature-sets")
+        firsts = staged(sets.groupBy("id").agg(F.min(F.struct("h", "row", "k1", "k2", "n")).alias("s")).select("id", "s.*"), "first-texts")
+        names = staged(firsts.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("s")).select("k1", "k2", F.col("s.id").alias("node"), "s.row"), "set-nodes")
+        nodes = staged(prefixes(sets, tally(sets), similarity).join(names.select("node", "row"), "row"), "node-prefixes")
+        labels = near_groups(buckets(nodes, similarity), nodes, sets, similarity)
+        out = firsts.select("id", "k1", "k2").join(names.drop("row"), ["k1", "k2"], "left").select("id", F.coalesce("node", "id").alias("node")).join(labels, "node", "left")
+        out = sets.select("id", "h").distinct().join(out, "id").select(F.col("id").alias("key"), "h", F.coalesce("comp", "node").alias("class_key"))
         out = staged(out, "near-classes")
         own.pop()
     return out

@@ -123,3 +123,26 @@ def test_neighbours_in_id_order(spark, per_range):
         assert len(base64.b64decode(r["fingerprint"])) % 4 == 0
     # one class for each id
     assert all(len(c) == 1 for c in of.values()) and of[2**60 + 1] == {2**60 + 1}
+
+
+def test_a_large_group_is_few_pairs(spark, monkeypatch):
+    """Many copies of one text, each with a change of its own, become one class without a pair for each two of them."""
+    rng, seen = random.Random(3), []
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lt", "rn", "sk", "mp")]
+    first = [w for k in range(60) for w in ("the", rng.choice(words), f"own{k}")]
+    texts = {0: " ".join(first)}
+    for i in range(1, 150):
+        t = list(first)
+        t[3 * rng.randrange(60) + 2] = f"new{i}"
+        texts[i] = " ".join(t)
+    kept = spotsigs.verified
+    monkeypatch.setattr(spotsigs, "verified", lambda pairs, *rest: (seen.append(pairs.count()), kept(pairs, *rest))[1])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert set(classes(d).values()) == {0} and sum(seen) < 2 * len(texts)
+
+
+def test_tally_grows_with_the_signatures():
+    """Cells of the tally hold about as many signatures whatever their number, so rare ones are told from common ones."""
+    for n in (10**7, 10**8, 10**9):
+        assert spotsigs.LOAD / 2 <= n / spotsigs.cells_for(n) <= spotsigs.LOAD
+    assert spotsigs.cells_for(0) == spotsigs.SEGMENT and spotsigs.cells_for(10**12) == spotsigs.MOST_CELLS
